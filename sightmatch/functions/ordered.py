@@ -113,12 +113,21 @@ def previous(
 
 
 def newest(
-    df: DataFrame, keys: list[str], order: str, values: dict[str, Column], size: int
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    values: dict[str, Column],
+    size: int,
+    *,
+    before: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add each value's newest not-null occurrence at or before the row (an as-of fill)."""
-    chunked = in_chunks(df, order, size)
-    for name, value in values.items():
-        chunked = chunked.withColumn(f"_v_{name}", value)
+    """Add each value's newest not-null occurrence at or before the row (an as-of fill);
+    for the values in `before`, strictly before the row."""
+    before = before or {}
+    both = {**values, **before}
+    chunked = in_chunks(df, order, size).withColumns(
+        {f"_v_{name}": value for name, value in both.items()}
+    )
     carried = carry(
         chunked,
         keys,
@@ -127,17 +136,16 @@ def newest(
                 F.col(f"_v_{name}"),
                 F.when(F.col(f"_v_{name}").isNotNull(), F.col(order)),
             )
-            for name in values
+            for name in both
         },
-        {f"_c_{name}": "last" for name in values},
+        {f"_c_{name}": "last" for name in both},
     )
-    window = chunk_window(keys, F.col(order)).rowsBetween(Window.unboundedPreceding, 0)
-    columns = [
-        F.coalesce(
-            F.last(F.col(f"_v_{name}"), ignorenulls=True).over(window), F.col(f"_c_{name}")
-        ).alias(name)
-        for name in values
-    ]
+    window = chunk_window(keys, F.col(order))
+    columns = []
+    for name in both:
+        span = window.rowsBetween(Window.unboundedPreceding, -1 if name in before else 0)
+        here = F.last(F.col(f"_v_{name}"), ignorenulls=True).over(span)
+        columns.append(F.coalesce(here, F.col(f"_c_{name}")).alias(name))
     return carried.select(*df.columns, *columns)
 
 
@@ -152,36 +160,36 @@ def running_max(
 
 
 def next_at_or_after(
-    probes: DataFrame, marks: DataFrame, keys: list[str], due: str, mark: str, name: str
+    probes: DataFrame, marks: DataFrame, keys: list[str], due: str, time: str, values: list[str]
 ) -> DataFrame:
-    """Forward as-of: for each probe the first mark of its key at or after `due`, or null."""
+    """Forward as-of: add to each probe the `values` of the first mark of its key whose time is
+    at or after `due`; null without one.  The values must not decrease with the time."""
     both = marks.select(
-        *keys, F.col(mark).alias("_at"), F.col(mark).alias("_mark"), F.lit(0).alias("_probe")
+        *keys, F.col(time).alias("_at"), F.lit(0).alias("_probe"), *values
     ).unionByName(
-        probes.select(
-            *keys,
-            F.col(due).alias("_at"),
-            F.lit(None).cast("bigint").alias("_mark"),
-            F.lit(1).alias("_probe"),
-        ).distinct()
+        probes.select(*keys, F.col(due).alias("_at"), F.lit(1).alias("_probe")).distinct(),
+        allowMissingColumns=True,
     )
     carried = carry(
         in_chunks(both, "_at", SLICE_MS),
         keys,
-        {"_later": F.min("_mark")},
-        {"_later": "min"},
+        {f"_later_{c}": F.min(c) for c in values},
+        {f"_later_{c}": "min" for c in values},
         backwards=True,
     )
     window = (
         Window.partitionBy(*keys, CHUNK)
-        .orderBy(F.col("_at").desc(), F.col("_probe"))
+        .orderBy(F.col("_at").desc(), F.col("_probe"), *[F.col(c).desc() for c in values])
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    found = F.coalesce(F.last("_mark", ignorenulls=True).over(window), F.col("_later"))
+    found = [
+        F.coalesce(F.last(c, ignorenulls=True).over(window), F.col(f"_later_{c}")).alias(c)
+        for c in values
+    ]
     answers = (
-        carried.withColumn(name, found)
+        carried.select(*keys, "_at", "_probe", *found)
         .where("_probe = 1")
-        .select(*keys, F.col("_at").alias(due), name)
+        .select(*keys, F.col("_at").alias(due), *values)
     )
     return probes.join(answers, [*keys, due], "left")
 
@@ -228,6 +236,8 @@ def thin(
     time: str,
     gaps: dict[str, int],
     size: int = SLICE_MS,
+    *,
+    link: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Flag, per named gap, the rows a greedy "at least gap ms since the last kept" rule keeps.
 
@@ -235,8 +245,10 @@ def thin(
     is.  For a longer key every chunk reports how it maps a chain that enters it to the one
     that leaves it; composing these small maps in chunk order tells each chunk where the
     chain stands, and all chunks are then scanned in parallel, in constant memory.
-    `order` breaks ties and must agree with `time`.
+    `order` breaks ties and must agree with `time`.  `link` names two more columns for the
+    order value and the time of the row before.
     """
+    before, after = ("_before_order", "_before_time"), tuple(link or ())
     chunked = in_chunks(df, time, size)
     names = list(gaps)
     long_keys = (
@@ -245,17 +257,21 @@ def thin(
         .where("_a < _b")
         .select(*keys)
     )
-    narrow = chunked.select(*keys, CHUNK, time).join(long_keys, keys, "left_semi")
+    narrow = chunked.select(*keys, CHUNK, order, time).join(long_keys, keys, "left_semi")
     key_fields = [narrow.schema[k] for k in keys]
     map_schema = T.StructType(
-        [*key_fields, T.StructField(CHUNK, T.LongType()), *[T.StructField(n, _EXITS) for n in names]]
+        [
+            *key_fields,
+            *[T.StructField(c, T.LongType()) for c in (CHUNK, *before)],
+            *[T.StructField(n, _EXITS) for n in names],
+        ]
     )
 
     def chunk_map(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         times = sorted(table.column(time).to_pylist())
         row = dict(zip([*keys, CHUNK], [k.as_py() for k in key], strict=True))
-        for n in names:
-            row[n] = _entry_exits(times, gaps[n])
+        row |= {n: _entry_exits(times, gaps[n]) for n in names}
+        row |= dict(zip(before, (max(table.column(order).to_pylist()), times[-1]), strict=True))
         return pa.Table.from_pylist([row], schema=table_schema)
 
     table_schema = _arrow(map_schema)
@@ -268,10 +284,20 @@ def thin(
     )
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = dict.fromkeys(names)
+        last = dict.fromkeys([*names, *before])
         for batch in batches:
             firsts = batch.column("_first").to_pylist()
-            before = []
+            states = []
+            for c in before:
+                values = batch.column(c).to_pylist()
+                shifted = [last[c], *values[:-1]]
+                states.append(
+                    pa.array(
+                        [None if f else s for f, s in zip(firsts, shifted, strict=True)],
+                        pa.int64(),
+                    )
+                )
+                last[c] = values[-1] if values else last[c]
             for n in names:
                 column, at = [], last[n]
                 for first, exits in zip(firsts, batch.column(n).to_pylist(), strict=True):
@@ -280,10 +306,10 @@ def thin(
                     reached = (e for e in exits if at is None or e["enter"] >= at + gaps[n])
                     at = next((e["leave"] for e in reached), at)
                 last[n] = at
-                before.append(pa.array(column, pa.int64()))
+                states.append(pa.array(column, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in (*keys, CHUNK)] + before,
-                names=[*keys, CHUNK, *[f"_last_{n}" for n in names]],
+                [batch.column(c) for c in (*keys, CHUNK)] + states,
+                names=[*keys, CHUNK, *before, *[f"_last_{n}" for n in names]],
             )
 
     entries = maps.mapInArrow(
@@ -291,7 +317,7 @@ def thin(
         T.StructType(
             [
                 *key_fields,
-                T.StructField(CHUNK, T.LongType()),
+                *[T.StructField(c, T.LongType()) for c in (CHUNK, *before)],
                 *[T.StructField(f"_last_{n}", T.LongType()) for n in names],
             ]
         ),
@@ -301,7 +327,7 @@ def thin(
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = dict.fromkeys(names)
+        last = dict.fromkeys([*names, order, time])
         for batch in batches:
             times = batch.column(time).to_pylist()
             firsts = batch.column("_first").to_pylist()
@@ -318,13 +344,28 @@ def thin(
                     kept.append(keep)
                 last[n] = at
                 flags.append(pa.array(kept, pa.bool_()))
+            for carried, c, _ in zip(before, (order, time), after, strict=False):
+                values = batch.column(c).to_pylist()
+                shifted = [last[c], *values[:-1]]
+                begin = batch.column(carried).to_pylist()
+                flags.append(
+                    pa.array(
+                        [b if f else s for f, b, s in zip(firsts, begin, shifted, strict=True)],
+                        pa.int64(),
+                    )
+                )
+                last[c] = values[-1] if values else last[c]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in columns] + flags, names=[*columns, *names]
+                [batch.column(c) for c in columns] + flags, names=schema.names
             )
 
     columns = df.columns
     schema = T.StructType(
-        [*df.schema.fields, *[T.StructField(n, T.BooleanType()) for n in names]]
+        [
+            *df.schema.fields,
+            *[T.StructField(n, T.BooleanType()) for n in names],
+            *[T.StructField(n, T.LongType()) for n in after],
+        ]
     )
     return placed.mapInArrow(scan, schema)
 

@@ -95,7 +95,7 @@ class EvidenceParams:
     def declarative(self) -> bool:
         """True when a loss always outlives window, separation and throttle, so that the
         state machine decomposes into ordered flags, a window count and episodes."""
-        return self.separation_ms <= self.window_ms <= self.grace_ms
+        return 0 < self.separation_ms <= self.window_ms <= self.grace_ms
 
 
 @dataclass(frozen=True)
