@@ -41,19 +41,19 @@ def _run_model(
         model = factory()
         for pdf in batches:
             out = []
-            for row in pdf.itertuples(index=False):
-                shape = (int(row._h), int(row._w), int(row._c))
-                pixels = np.frombuffer(row._data, np.uint8).reshape(shape)
-                key = {k: getattr(row, k) for k in keys}
-                out += [key | seen for seen in model(pixels)]
+            for *key, height, width, channels, data in pdf.itertuples(index=False, name=None):
+                shape = (int(height), int(width), int(channels))
+                pixels = np.frombuffer(data, np.uint8).reshape(shape)
+                known = dict(zip(keys, key, strict=True))
+                out += [known | seen for seen in model(pixels)]
             yield pd.DataFrame(out, columns=[*keys, *names])
 
     pictures = images.select(
         *keys,
-        F.col("image.height").alias("_h"),
-        F.col("image.width").alias("_w"),
-        F.col("image.nChannels").alias("_c"),
-        F.col("image.data").alias("_data"),
+        "image.height",
+        "image.width",
+        "image.nChannels",
+        "image.data",
     )
     return pictures.mapInPandas(run, schema)
 

@@ -94,8 +94,10 @@ def score_quality(faces: DataFrame, profile: QualityProfile = SEARCH) -> DataFra
     light = F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("brightness") - 130.0) / 130.0)
 
     def posed(name: str, limit: float) -> Column:
-        off = F.abs(_optional(faces, name)) / limit
-        return F.coalesce(F.greatest(F.lit(0.0), 1.0 - off), F.lit(1.0))
+        # greatest() skips nulls, so an unknown angle is set apart first.
+        angle = _optional(faces, name)
+        kept = F.greatest(F.lit(0.0), 1.0 - F.abs(angle) / limit)
+        return F.when(angle.isNull(), 1.0).otherwise(kept)
 
     pose = posed("roll_degrees", 45.0) * posed("yaw_proxy", 1.0)
     total = (
