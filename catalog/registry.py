@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog import history, vision
+from catalog import admit, history, scoring, vision
 
-QUERIES = {**vision.QUERIES, **history.QUERIES}
+QUERIES = {**vision.QUERIES, **history.QUERIES, **admit.QUERIES, **scoring.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
