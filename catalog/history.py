@@ -42,29 +42,29 @@ def confirm_two(spark, sf):
 
 # The evidence rules as a recursion over the observations of each key.  A loss between two
 # observations, or after the last one, is stamped by the first frame at or after its deadline.
-def _state_views(thresholds, required):
+def state_views(thresholds, required, seen="seen"):
     values = ", ".join(f"{t}" for t in thresholds)
     return {
         "obs": f"""
  SELECT t.threshold, s.*, similarity >= threshold AS hit,
-   row_number() OVER (PARTITION BY threshold, target_id, source_id ORDER BY frame_id) AS n,
-   lead(frame_id) OVER (PARTITION BY threshold, target_id, source_id ORDER BY frame_id) AS next_frame
- FROM seen s CROSS JOIN (SELECT unnest([{values}])::DOUBLE AS threshold) t""",
-        "deadlines": """
+   row_number() OVER (PARTITION BY threshold, target_id, source_id, track_id ORDER BY frame_id) AS n,
+   lead(frame_id) OVER (PARTITION BY threshold, target_id, source_id, track_id ORDER BY frame_id) AS next_frame
+ FROM {seen} s CROSS JOIN (SELECT unnest([{values}])::DOUBLE AS threshold) t""",
+        "deadlines": f"""
  SELECT o.source_id, o.frame_id AS hit_frame, f.frame_id AS due_frame, f.captured_ms AS due_ms FROM (
-   SELECT o.source_id, o.frame_id, min(f.frame_id) AS due FROM (SELECT DISTINCT source_id, frame_id, captured_ms FROM seen) o
+   SELECT o.source_id, o.frame_id, min(f.frame_id) AS due FROM (SELECT DISTINCT source_id, frame_id, captured_ms FROM {seen}) o
    JOIN frames f ON f.source_id = o.source_id AND f.captured_ms >= o.captured_ms + 2000 GROUP BY ALL) o
  JOIN frames f ON f.source_id = o.source_id AND f.frame_id = o.due""",
         # kept: evidence times; held: confirmed; shown: last candidate; due: deadline of the last hit.
         "walk": f"""
- SELECT threshold, target_id, source_id, 0::BIGINT AS n, []::BIGINT[] AS kept, false AS held,
+ SELECT threshold, target_id, source_id, track_id, 0::BIGINT AS n, []::BIGINT[] AS kept, false AS held,
    NULL::BIGINT AS shown, NULL::BIGINT AS due_frame, NULL::BIGINT AS due_ms,
    NULL::DOUBLE AS similarity, NULL::DOUBLE AS quality, NULL::BIGINT AS frame_id, NULL::BIGINT AS captured_ms,
    false AS candidate, false AS confirmed, false AS lost_before, false AS lost_at, NULL::BIGINT AS lost_frame,
    NULL::BIGINT AS lost_ms, NULL::DOUBLE AS lost_similarity, NULL::DOUBLE AS lost_quality
  FROM obs WHERE n = 1
  UNION ALL
- SELECT threshold, target_id, source_id, n,
+ SELECT threshold, target_id, source_id, track_id, n,
    CASE WHEN lost_at THEN [] ELSE kept END,
    CASE WHEN lost_at THEN false ELSE held OR confirmed END,
    CASE WHEN lost_at THEN NULL WHEN candidate THEN captured_ms ELSE shown END,
@@ -82,7 +82,7 @@ def _state_views(thresholds, required):
      CASE WHEN lost_before THEN old_similarity ELSE similarity END AS lost_similarity,
      CASE WHEN lost_before THEN old_quality ELSE quality END AS lost_quality
    FROM (
-     SELECT o.threshold, o.target_id, o.source_id, o.n, o.hit, o.similarity, o.quality, o.frame_id, o.captured_ms,
+     SELECT o.threshold, o.target_id, o.source_id, o.track_id, o.n, o.hit, o.similarity, o.quality, o.frame_id, o.captured_ms,
        w.similarity AS old_similarity, w.quality AS old_quality, w.due_frame AS old_frame, w.due_ms AS old_ms,
        coalesce(w.held AND w.due_frame < o.frame_id, false) AS lost_before,
        CASE WHEN coalesce(w.held AND w.due_frame < o.frame_id, false) THEN NULL ELSE w.due_frame END AS old_due_frame,
@@ -96,17 +96,17 @@ def _state_views(thresholds, required):
          THEN list_append(list_filter(w.kept, lambda k: o.captured_ms - k <= 1500), o.captured_ms)
          ELSE list_filter(w.kept, lambda k: o.captured_ms - k <= 1500) END AS kept
      FROM walk w JOIN obs o ON o.threshold = w.threshold AND o.target_id = w.target_id
-       AND o.source_id = w.source_id AND o.n = w.n + 1
+       AND o.source_id = w.source_id AND o.track_id = w.track_id AND o.n = w.n + 1
      LEFT JOIN deadlines d ON d.source_id = o.source_id AND d.hit_frame = o.frame_id))""",
         "told": """
- SELECT threshold, source_id, target_id, frame_id, captured_ms, 'candidate' AS state, similarity, quality,
+ SELECT threshold, source_id, track_id, target_id, frame_id, captured_ms, 'candidate' AS state, similarity, quality,
    len(kept) AS evidence_count FROM walk WHERE candidate
- UNION ALL SELECT threshold, source_id, target_id, frame_id, captured_ms, 'confirmed', similarity, quality, len(kept)
+ UNION ALL SELECT threshold, source_id, track_id, target_id, frame_id, captured_ms, 'confirmed', similarity, quality, len(kept)
  FROM walk WHERE confirmed
- UNION ALL SELECT threshold, source_id, target_id, lost_frame, lost_ms, 'lost', lost_similarity, lost_quality, 0
+ UNION ALL SELECT threshold, source_id, track_id, target_id, lost_frame, lost_ms, 'lost', lost_similarity, lost_quality, 0
  FROM walk WHERE lost_before OR lost_at
- UNION ALL SELECT threshold, source_id, target_id, due_frame, due_ms, 'lost', similarity, quality, 0 FROM (
-   SELECT *, row_number() OVER (PARTITION BY threshold, target_id, source_id ORDER BY n DESC) AS last FROM walk)
+ UNION ALL SELECT threshold, source_id, track_id, target_id, due_frame, due_ms, 'lost', similarity, quality, 0 FROM (
+   SELECT *, row_number() OVER (PARTITION BY threshold, target_id, source_id, track_id ORDER BY n DESC) AS last FROM walk)
  WHERE last = 1 AND held AND due_frame IS NOT NULL""",
     }
 
@@ -117,6 +117,23 @@ _EVENT_SQL = (
 )
 
 
+_LIVE = {
+    "placed": """
+ SELECT a.*, m.target_id, m.similarity, t.track_id, row_number() OVER (PARTITION BY a.source_id, a.frame_id, a.face_idx
+   ORDER BY (t.x2-t.x1)*(t.y2-t.y1), t.track_id) AS n
+ FROM accepted a JOIN top1 m USING (vec_id) JOIN tracks0 t ON a.source_id = t.source_id AND a.frame_id = t.frame_id
+   AND (a.x1+a.x2)/2 BETWEEN t.x1 AND t.x2 AND (a.y1+a.y2)/2 BETWEEN t.y1 AND t.y1 + 0.6*(t.y2-t.y1)
+ WHERE m.similarity >= 0.20""",
+    "seen_live": """
+ SELECT source_id, track_id, target_id, frame_id, captured_ms, similarity, quality FROM placed WHERE n = 1""",
+    **state_views([0.20], 3, "seen_live"),
+    "live": """
+ SELECT t.* FROM told t LEFT JOIN (
+   SELECT target_id, min(frame_id) AS first FROM told WHERE state = 'confirmed' GROUP BY target_id) f USING (target_id)
+ WHERE f.first IS NULL OR t.frame_id <= f.first""",
+}
+
+
 def live_search(spark, sf):
     """A live search over the derived tracks; found targets are retired."""
     events = pipelines.live_search(
@@ -140,7 +157,7 @@ def event_history(spark, sf):
         derived.targets(spark, sf),
         0.20,
     )
-    return pipelines.event_history(events, 256).drop("event_id")
+    return pipelines.event_history(events, 256).drop("event_id", "data")
 
 
 def evidence_with_box(spark, sf):
@@ -460,11 +477,11 @@ def deletable(spark, sf):
 QUERIES = {
     "confirm": (
         confirm,
-        v.sql(_EVENT_SQL.format(more="threshold, "), **_state_views(THRESHOLDS, 3)),
+        v.sql(_EVENT_SQL.format(more="threshold, "), **state_views(THRESHOLDS, 3)),
     ),
     "confirm_required_two": (
         confirm_two,
-        v.sql(_EVENT_SQL.format(more=""), **_state_views([0.25], 2)),
+        v.sql(_EVENT_SQL.format(more=""), **state_views([0.25], 2)),
     ),
     "evidence_with_box": (
         evidence_with_box,
@@ -472,11 +489,28 @@ QUERIES = {
             """
  SELECT e.source_id, e.target_id, e.frame_id, e.state, round(t.x1, 6) AS x1, round(t.y2, 6) AS y2
  FROM told e JOIN tracks0 t ON t.source_id = e.source_id AND t.frame_id = e.frame_id AND t.track_id % 10 = 0""",
-            **_state_views([0.25], 3),
+            **state_views([0.25], 3),
+        ),
+    ),
+    "live_search": (
+        live_search,
+        v.sql(
+            """
+ SELECT source_id, target_id, track_id, frame_id, state, CAST(evidence_count AS BIGINT) AS evidence_count,
+   round(similarity, 6) AS similarity FROM live""",
+            **_LIVE,
+        ),
+    ),
+    "event_history": (
+        event_history,
+        v.sql(
+            """
+ SELECT '1' AS schema_version, 1::BIGINT AS search_id, seq, state AS type, captured_ms AS occurred_at FROM (
+   SELECT *, row_number() OVER (ORDER BY captured_ms, frame_id, target_id, track_id, state) AS seq, count(*) OVER () AS n
+   FROM live) WHERE seq > n - 256""",
+            **_LIVE,
         ),
     ),
-    "live_search": (live_search, None),
-    "event_history": (event_history, None),
     "thin_evidence": (
         thin_evidence,
         v.sql(

@@ -319,5 +319,25 @@ QUERIES = {
         ),
     ),
     "validate_manifest": (validate_manifest, _MANIFEST_SQL),
-    "evaluate": (evaluate, None),
+    "evaluate": (
+        evaluate,
+        v.sql(
+            _METRICS_SQL,
+            thresholds=_THRESHOLDS,
+            placed="""
+ SELECT a.*, a.source_id AS target_id, t.track_id, row_number() OVER (PARTITION BY a.source_id, a.frame_id, a.face_idx
+   ORDER BY (t.x2-t.x1)*(t.y2-t.y1), t.track_id) AS n,
+   list_inner_product(f.embedding::DOUBLE[], g.embedding::DOUBLE[]) AS similarity
+ FROM accepted a JOIN embeddings f USING (vec_id) JOIN embeddings g ON g.vec_id = a.source_id
+ JOIN tracks0 t ON a.source_id = t.source_id AND a.frame_id = t.frame_id
+   AND (a.x1+a.x2)/2 BETWEEN t.x1 AND t.x2 AND (a.y1+a.y2)/2 BETWEEN t.y1 AND t.y1 + 0.6*(t.y2-t.y1)""",
+            seen_case="""
+ SELECT source_id, track_id, target_id, frame_id, captured_ms, similarity, quality FROM placed WHERE n = 1""",
+            **history.state_views(THRESHOLDS, 3, "seen_case"),
+            confirmed="SELECT source_id AS case_id, threshold, captured_ms FROM told WHERE state = 'confirmed'",
+            inside=_INSIDE,
+            case_metrics=_CASE_METRICS,
+            metrics=_metrics_view(REACHABLE),
+        ),
+    ),
 }
