@@ -26,6 +26,18 @@ def in_chunks(df: DataFrame, order: str, size: int) -> DataFrame:
     return df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(size)).cast("bigint"))
 
 
+def one_chunk(df: DataFrame, **sizes: int) -> dict[str, bool]:
+    """For each order column whether all its values fall into one chunk of the given size, so
+    that nothing has to be carried.  Reads df once: meant for tables already written."""
+    bounds = df.agg(
+        *[f(c).alias(f"{f.__name__}_{c}") for c in sizes for f in (F.min, F.max)]
+    ).first()
+    return {
+        c: bounds[f"min_{c}"] is None or bounds[f"min_{c}"] // size == bounds[f"max_{c}"] // size
+        for c, size in sizes.items()
+    }
+
+
 def carry(
     df: DataFrame,
     keys: list[str],
@@ -120,15 +132,17 @@ def newest(
     size: int,
     *,
     before: dict[str, Column] | None = None,
+    single: bool = False,
 ) -> DataFrame:
     """Add each value's newest not-null occurrence at or before the row (an as-of fill);
-    for the values in `before`, strictly before the row."""
+    for the values in `before`, strictly before the row.  `single` says that one chunk holds
+    everything (see one_chunk)."""
     before = before or {}
     both = {**values, **before}
     chunked = in_chunks(df, order, size).withColumns(
         {f"_v_{name}": value for name, value in both.items()}
     )
-    carried = carry(
+    carried = chunked if single else carry(
         chunked,
         keys,
         {
@@ -145,7 +159,9 @@ def newest(
     for name in both:
         span = window.rowsBetween(Window.unboundedPreceding, -1 if name in before else 0)
         here = F.last(F.col(f"_v_{name}"), ignorenulls=True).over(span)
-        columns.append(F.coalesce(here, F.col(f"_c_{name}")).alias(name))
+        columns.append(
+            (here if single else F.coalesce(here, F.col(f"_c_{name}"))).alias(name)
+        )
     return carried.select(*df.columns, *columns)
 
 
@@ -229,28 +245,15 @@ _EXITS = T.ArrayType(
 )
 
 
-def thin(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    time: str,
-    gaps: dict[str, int],
-    size: int = SLICE_MS,
-    *,
-    link: tuple[str, str] | None = None,
-) -> DataFrame:
-    """Flag, per named gap, the rows a greedy "at least gap ms since the last kept" rule keeps.
+_LINK = ("_before_order", "_before_time")
 
-    The rule is a chain through all rows of a key.  A key inside one chunk is scanned as it
-    is.  For a longer key every chunk reports how it maps a chain that enters it to the one
-    that leaves it; composing these small maps in chunk order tells each chunk where the
-    chain stands, and all chunks are then scanned in parallel, in constant memory.
-    `order` breaks ties and must agree with `time`.  `link` names two more columns for the
-    order value and the time of the row before.
-    """
-    before, after = ("_before_order", "_before_time"), tuple(link or ())
-    chunked = in_chunks(df, time, size)
-    names = list(gaps)
+
+def _chain_entries(
+    chunked: DataFrame, keys: list[str], order: str, time: str, gaps: dict[str, int]
+) -> DataFrame:
+    """Per (key, chunk) of the keys that span several chunks: where every chain, and the row
+    before, stand when the chunk begins."""
+    before, names = _LINK, list(gaps)
     long_keys = (
         chunked.groupBy(*keys)
         .agg(F.min(CHUNK).alias("_a"), F.max(CHUNK).alias("_b"))
@@ -312,7 +315,7 @@ def thin(
                 names=[*keys, CHUNK, *before, *[f"_last_{n}" for n in names]],
             )
 
-    entries = maps.mapInArrow(
+    return maps.mapInArrow(
         compose,
         T.StructType(
             [
@@ -322,7 +325,38 @@ def thin(
             ]
         ),
     )
-    placed = chunked.join(entries, [*keys, CHUNK], "left").withColumn(
+
+
+def thin(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    time: str,
+    gaps: dict[str, int],
+    size: int = SLICE_MS,
+    *,
+    link: tuple[str, str] | None = None,
+    single: bool = False,
+) -> DataFrame:
+    """Flag, per named gap, the rows a greedy "at least gap ms since the last kept" rule keeps.
+
+    The rule is a chain through all rows of a key.  A key inside one chunk is scanned as it
+    is.  For a longer key every chunk reports how it maps a chain that enters it to the one
+    that leaves it; composing these small maps in chunk order tells each chunk where the
+    chain stands, and all chunks are then scanned in parallel, in constant memory.
+    `order` breaks ties and must agree with `time`.  `link` names two more columns for the
+    order value and the time of the row before.  `single` as in `newest`.
+    """
+    before, after = _LINK, tuple(link or ())
+    names = list(gaps)
+    carried = [*before, *[f"_last_{n}" for n in names]]
+    chunked = in_chunks(df, time, size)
+    if single:
+        placed = chunked.withColumns({c: F.lit(None).cast("bigint") for c in carried})
+    else:
+        entries = _chain_entries(chunked, keys, order, time, gaps)
+        placed = chunked.join(entries, [*keys, CHUNK], "left")
+    placed = placed.withColumn(
         "_first", F.row_number().over(chunk_window(keys, F.col(order))) == 1
     )
 

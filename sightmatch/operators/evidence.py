@@ -110,57 +110,55 @@ def confirm(
     seen = cut(
         observations.select(*keys, "frame_id", "captured_ms", "similarity", "quality")
     )
-    hits = cut(
-        window_count(
-            ordered.thin(
-                seen.where(F.col("similarity") >= limit),
-                keys,
-                "frame_id",
-                "captured_ms",
-                {"kept": params.separation_ms, "emit": params.throttle_ms},
-                size,
-                link=("before_frame", "before_ms"),
-            ),
-            keys,
-            params,
-            size,
-        )
+    single = ordered.one_chunk(seen, captured_ms=size, frame_id=ordered.SLICE_IDS)
+    flagged = ordered.thin(
+        seen.where(F.col("similarity") >= limit),
+        keys,
+        "frame_id",
+        "captured_ms",
+        {"kept": params.separation_ms, "emit": params.throttle_ms},
+        size,
+        link=("before_frame", "before_ms"),
+        single=single["captured_ms"],
     )
-    ends = _episode_ends(hits, frames, keys, params)
+    hits = cut(window_count(flagged, keys, params, size))
+    ends = cut(_episode_ends(hits, frames, keys, params))
     starts = ends.where("next_frame IS NOT NULL").select(
         *keys, F.col("next_frame").alias("frame_id"), F.lit(True).alias("_starts")
     )
+    over = ends.select(
+        *keys, F.col("end_frame").alias("frame_id"), "tick_frame", "tick_ms", "due_ms"
+    )
+    at_frame = [*keys, "frame_id"]
     ready = F.when(F.col("evidence_count") >= params.required, F.col("frame_id"))
     told = ordered.newest(
-        hits.join(starts, [*keys, "frame_id"], "left"),
+        hits.join(starts, at_frame, "left").join(over, at_frame, "left"),
         keys,
         "frame_id",
         {"_start": F.when(F.col("_starts"), F.col("frame_id")), "_ready": ready},
         ordered.SLICE_IDS,
         before={"_ready_before": ready},
+        single=single["frame_id"],
     )
     start = F.coalesce(F.col("_start"), F.lit(-1))
     still_open = F.col("_ready_before").isNull() | (F.col("_ready_before") < start)
-    told = told.select(
-        *keys,
-        "frame_id",
-        "captured_ms",
-        "similarity",
-        "quality",
-        "evidence_count",
-        (still_open & F.col("emit")).alias("_candidate"),
-        (still_open & (F.col("evidence_count") >= params.required)).alias("_confirmed"),
-        F.coalesce(F.col("_ready") >= start, F.lit(False)).alias("_held"),
-        F.col("kept").alias("_kept"),
-    )
     states = F.array_compact(
         F.array(
-            F.when(F.col("_candidate"), F.lit("candidate")),
-            F.when(F.col("_confirmed"), F.lit("confirmed")),
+            F.when(still_open & F.col("emit"), F.lit("candidate")),
+            F.when(
+                still_open & (F.col("evidence_count") >= params.required), F.lit("confirmed")
+            ),
+            F.when(F.col("tick_frame").isNotNull() & (F.col("_ready") >= start), F.lit("lost")),
+        )
+    )
+    events = cut(
+        told.withColumn("state", F.explode(states)).select(
+            *keys, *EVENT_COLUMNS, "kept", "tick_frame", "tick_ms", "due_ms"
         )
     )
-    live = told.withColumn("state", F.explode(states)).select(*keys, *EVENT_COLUMNS)
-    return live.unionByName(_losses(told, ends, seen, keys, params))
+    live = events.where("state <> 'lost'").select(*keys, *EVENT_COLUMNS)
+    losses = _losses(events.where("state = 'lost'"), seen, keys, params)
+    return cut(live.unionByName(losses))
 
 
 def _episode_ends(
@@ -197,14 +195,10 @@ def _episode_ends(
     )
 
 
-def _losses(
-    told: DataFrame, ends: DataFrame, seen: DataFrame, keys: list[str], params: EvidenceParams
-) -> DataFrame:
-    """One lost event per confirmed episode, with what was seen last up to its tick."""
-    held = told.where("_held").select(*keys, F.col("frame_id").alias("end_frame"), "_kept")
-    over = ends.join(held, [*keys, "end_frame"])
+def _losses(over: DataFrame, seen: DataFrame, keys: list[str], params: EvidenceParams) -> DataFrame:
+    """The lost event of each confirmed episode, with what was seen last up to its tick."""
     left_over = (
-        F.when(F.col("_kept") & (F.col("tick_ms") == F.col("due_ms")), 1).otherwise(0)
+        F.when(F.col("kept") & (F.col("tick_ms") == F.col("due_ms")), 1).otherwise(0)
         if params.grace_ms == params.window_ms
         else F.lit(0)
     )
@@ -218,10 +212,9 @@ def _losses(
     views = seen.select(
         *keys, "similarity", "quality", (F.col("frame_id") * 2).alias("_turn")
     ).join(lost.select(*keys).distinct(), keys, "left_semi")
-    both = lost.unionByName(views, allowMissingColumns=True)
     return (
         ordered.newest(
-            both,
+            lost.unionByName(views, allowMissingColumns=True),
             keys,
             "_turn",
             {"_s": F.col("similarity"), "_q": F.col("quality")},
