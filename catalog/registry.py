@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog import admit, history, scoring, vision
+from catalog import admit, flows, history, scoring, vision
 
-QUERIES = {**vision.QUERIES, **history.QUERIES, **admit.QUERIES, **scoring.QUERIES}
+QUERIES = {
+    **vision.QUERIES,
+    **history.QUERIES,
+    **admit.QUERIES,
+    **scoring.QUERIES,
+    **flows.QUERIES,
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

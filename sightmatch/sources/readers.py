@@ -6,6 +6,7 @@ import os.path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sightmatch import schemas
 
@@ -18,7 +19,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 def stream_frames(
     spark: SparkSession,
     path: str,
-    schema: str = schemas.FRAMES,
+    schema: str | StructType = schemas.FRAMES,
     files_per_trigger: int = 64,
 ) -> DataFrame:
     """The same log (or another table, by its schema) as it grows."""
@@ -92,12 +93,18 @@ def _resolve(base: str, path: Column) -> Column:
     )
 
 
-def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Cases and their labelled intervals; relative paths start at the manifest's folder."""
+def read_manifest(
+    spark: SparkSession, path: str, *, lines: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Cases and their labelled intervals; relative paths start at the manifest's folder.
+
+    One JSON document per file, or with `lines` any number of manifests, one per line, which
+    Spark can split.
+    """
     base = os.path.dirname(path)
     listed = (
         spark.read.schema(schemas.MANIFEST)
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .json(path)
         .select("version", F.posexplode("cases").alias("case_no", "c"))
     )
