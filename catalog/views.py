@@ -14,11 +14,12 @@ VIEW_PROFILE = QualityProfile(min_side=80, min_blur=20.0, min_detection=0.45)
 
 FRAME_W, FRAME_H = 640, 300
 
+# Times are cut to whole milliseconds; DuckDB's epoch_ms rounds, so the views divide.
 _VIEWS = {
     "frames": """
  SELECT user_id AS source_id, event_id,
         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS frame_id,
-        (epoch_ms(ts) - 1704067200000) // 100000 AS captured_ms, event_type, value,
+        (epoch_us(ts) // 1000 - 1704067200000) // 100000 AS captured_ms, event_type, value,
         CAST(json_extract_string(props,'$.k') AS BIGINT) AS k
  FROM events""",
     "idx": "SELECT unnest([0, 1, 2, 3])::BIGINT AS j",

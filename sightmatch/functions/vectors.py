@@ -20,19 +20,28 @@ def norm(v: Column) -> Column:
     return F.sqrt(squares)
 
 
+def _with_norm(v: Column, use) -> Column:
+    """use(norm) with the norm bound once; written out inside a lambda it would be computed
+    again for every element."""
+    return F.get(F.transform(F.array(norm(v)), use), F.lit(0))
+
+
+def _usable(length: Column) -> Column:
+    # A null, NaN or infinite element makes the norm null, NaN or infinite.
+    finite = ~F.isnan(length) & (length < F.lit(float("inf")))
+    return F.coalesce(finite & (length > MIN_NORM), F.lit(False))
+
+
 def is_valid(v: Column) -> Column:
     """Not empty, every element finite, magnitude above the zero limit."""
-    finite = F.forall(
-        v,
-        lambda x: x.isNotNull()
-        & ~F.isnan(x)
-        & (F.abs(x.cast("double")) < F.lit(float("inf"))),
-    )
-    return F.coalesce((F.size(v) > 0) & finite & (norm(v) > MIN_NORM), F.lit(False))
+    return F.coalesce(_with_norm(v, _usable), F.lit(False))
 
 
 def normalized(v: Column) -> Column:
     """Unit vector as floats; null where the vector is not valid."""
-    length = norm(v)
-    unit = F.transform(v, lambda x: (x.cast("double") / length).cast("float"))
-    return F.when(is_valid(v), unit)
+
+    def scaled(length: Column) -> Column:
+        unit = F.transform(v, lambda x: (x.cast("double") / length).cast("float"))
+        return F.when(_usable(length), unit)
+
+    return _with_norm(v, scaled)

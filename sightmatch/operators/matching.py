@@ -14,7 +14,7 @@ from sightmatch.functions import vectors as v
 from sightmatch.params import check_thresholds
 
 # A gallery up to this size goes to every executor as one matrix; a larger one is joined.
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 256 * 1024 * 1024
 BLOCK_TARGETS = 256
 SALTS = 32
 
@@ -78,33 +78,36 @@ def _by_matrix(faces: DataFrame, targets: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            searches = np.array(batch.column("search_id").to_pylist(), dtype=object)
+            coded = batch.column("search_id").dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            found, ids, ords, sims = [], [], [], []
+            groups = np.split(order, np.flatnonzero(np.diff(codes[order])) + 1)
             lists = batch.column("embedding")
-            for search in dict.fromkeys(searches.tolist()):
+            for rows in groups:
+                search = coded.dictionary[int(codes[rows[0]])].as_py() if len(rows) else None
                 if search not in shipped.value:
                     continue
-                matrix, ords, ids = shipped.value[search]
-                rows = np.flatnonzero(searches == search)
-                mine = batch.take(pa.array(rows))
-                vectors = (
-                    (lists if len(rows) == len(searches) else mine.column("embedding"))
-                    .flatten()
-                    .to_numpy(zero_copy_only=False)
-                    .reshape(len(rows), -1)
-                    .astype(np.float64)
-                )
-                best, sims = _top1(vectors, matrix)
-                yield pa.RecordBatch.from_arrays(
-                    [mine.column(c) for c in kept]
-                    + [
-                        pa.array([ids[i] for i in best], id_type),
-                        pa.array(ords[best]),
-                        pa.array(sims),
-                    ],
-                    names=schema.names,
-                )
+                matrix, target_ords, target_ids = shipped.value[search]
+                mine = lists if len(groups) == 1 else lists.take(pa.array(rows))
+                flat = mine.flatten().to_numpy(zero_copy_only=False)
+                best, top = _top1(flat.reshape(len(rows), -1).astype(np.float64), matrix)
+                found.append(rows)
+                ids += [target_ids[i] for i in best]
+                ords.append(target_ords[best])
+                sims.append(top)
+            if not found:
+                continue
+            mine = batch.take(pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays(
+                [mine.column(c) for c in kept]
+                + [
+                    pa.array(ids, id_type),
+                    pa.array(np.concatenate(ords)),
+                    pa.array(np.concatenate(sims)),
+                ],
+                names=schema.names,
+            )
 
     return faces.mapInArrow(score, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,91 +14,104 @@ from sightmatch.functions import boxes, ordered
 from sightmatch.params import TrackerParams
 from sightmatch.sources.scratch import cut
 
-# One live track: id, box (4), velocity (4), score, missed ticks.
-Track = tuple[int, np.ndarray, np.ndarray, float, int]
-
-
-def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low = np.maximum(a[:, None, :2], b[None, :, :2])
-    high = np.minimum(a[:, None, 2:], b[None, :, 2:])
-    shared = np.clip(high - low, 0.0, None).prod(axis=2)
-
-    def area(x: np.ndarray) -> np.ndarray:
-        return np.clip(x[:, 2:] - x[:, :2], 0.0, None).prod(axis=1)
-
-    union = np.maximum(area(a)[:, None] + area(b)[None, :] - shared, 1e-6)
-    # Single precision decides ties and limits.
-    return (shared / union).astype(np.float32)
-
-
-def pair_up(a: np.ndarray, b: np.ndarray, min_iou: float) -> list[tuple[int, int]]:
+# A live track is a flat list: id, box (4), velocity (4), score, missed ticks.
+Track = list
+
+# Frames with more box pairs than this are compared by arrays.
+_FEW_PAIRS = 300
+
+
+def _overlaps(a: list, b: list) -> Iterator[tuple[float, int, int]]:
+    """(-overlap, row, column) of the pairs that overlap, in single precision, which decides
+    ties and limits."""
+    if len(a) * len(b) <= _FEW_PAIRS:
+        for r, (ax1, ay1, ax2, ay2) in enumerate(a):
+            own = max(ax2 - ax1, 0.0) * max(ay2 - ay1, 0.0)
+            for c, (bx1, by1, bx2, by2, _) in enumerate(b):
+                wide = (ax2 if ax2 < bx2 else bx2) - (ax1 if ax1 > bx1 else bx1)
+                tall = (ay2 if ay2 < by2 else by2) - (ay1 if ay1 > by1 else by1)
+                if wide > 0.0 and tall > 0.0:
+                    shared = wide * tall
+                    union = own + max(bx2 - bx1, 0.0) * max(by2 - by1, 0.0) - shared
+                    yield -float(np.float32(shared / max(union, 1e-6))), r, c
+        return
+    x, y = np.array(a, float)[:, :, None], np.array(b, float).T[None, :, :]
+    wide = np.minimum(x[:, 2], y[:, 2]) - np.maximum(x[:, 0], y[:, 0])
+    tall = np.minimum(x[:, 3], y[:, 3]) - np.maximum(x[:, 1], y[:, 1])
+    shared = np.maximum(wide, 0.0) * np.maximum(tall, 0.0)
+
+    def area(z: np.ndarray) -> np.ndarray:
+        return np.maximum(z[:, 2] - z[:, 0], 0.0) * np.maximum(z[:, 3] - z[:, 1], 0.0)
+
+    iou = (shared / np.maximum(area(x) + area(y) - shared, 1e-6)).astype(np.float32)
+    rows, cols = np.nonzero(iou)
+    yield from zip((-iou[rows, cols]).tolist(), rows.tolist(), cols.tolist(), strict=True)
+
+
+def pair_up(a: list, b: list, min_iou: float) -> dict[int, int]:
     """Greedy one-to-one pairs by falling overlap; ties to the lowest row, then column."""
-    if not len(a) or not len(b):
-        return []
-    iou = _overlaps(a, b)
-    rows, cols = np.nonzero(iou >= min_iou)
-    pairs, used_rows, used_cols = [], set(), set()
-    for k in np.lexsort((cols, rows, -iou[rows, cols])):
-        r, c = int(rows[k]), int(cols[k])
-        if r not in used_rows and c not in used_cols:
-            pairs.append((r, c))
-            used_rows.add(r)
-            used_cols.add(c)
+    limit = float(np.float32(min_iou))
+    pairs, taken = {}, set()
+    for _, r, c in sorted(p for p in _overlaps(a, b) if -p[0] >= limit):
+        if r not in pairs and c not in taken:
+            pairs[r] = c
+            taken.add(c)
     return pairs
 
 
 def advance(
-    tracks: list[Track], found: np.ndarray, next_id: int, params: TrackerParams
+    tracks: list[Track], found: list, next_id: int, params: TrackerParams
 ) -> tuple[list[Track], int]:
-    """The tracks after one detector run; `found` has rows x1, y1, x2, y2, score."""
-    moved = [(i, box + speed, speed, score, missed + 1) for i, box, speed, score, missed in tracks]
-    strong = found[found[:, 4] >= params.high]
-    weak = found[(found[:, 4] >= params.low) & (found[:, 4] < params.high)]
-    fresh = np.ones(len(strong), bool)
-    waiting = list(range(len(moved)))
+    """The tracks after one detector run; `found` has rows (x1, y1, x2, y2, score)."""
+    moved = [
+        [i, a + va, b + vb, c + vc, d + vd, va, vb, vc, vd, score, missed + 1]
+        for i, a, b, c, d, va, vb, vc, vd, score, missed in tracks
+    ]
+    strong = [f for f in found if f[4] >= params.high]
+    weak = [f for f in found if params.low <= f[4] < params.high]
+    waiting, fresh = moved, strong
     for seen, min_iou in ((strong, params.first_iou), (weak, params.second_iou)):
-        if not waiting or not len(seen):
-            continue
-        taken = set()
-        predicted = np.array([moved[t][1] for t in waiting])
-        for r, c in pair_up(predicted, seen[:, :4], min_iou):
-            t = waiting[r]
-            moved[t] = (moved[t][0], seen[c, :4], seen[c, :4] - moved[t][1], float(seen[c, 4]), 0)
-            taken.add(t)
-            if seen is strong:
-                fresh[c] = False
-        waiting = [t for t in waiting if t not in taken]
-    for box in strong[fresh]:
-        moved.append((next_id, box[:4], np.zeros(4), float(box[4]), 0))
+        pairs = pair_up([t[1:5] for t in waiting], seen, min_iou) if seen and waiting else {}
+        for r, c in pairs.items():
+            track_, (x1, y1, x2, y2, score) = waiting[r], seen[c]
+            _, a, b, e, f = track_[:5]
+            track_[1:] = [x1, y1, x2, y2, x1 - a, y1 - b, x2 - e, y2 - f, score, 0]
+        waiting = [t for r, t in enumerate(waiting) if r not in pairs]
+        if seen is strong:
+            used = set(pairs.values())
+            fresh = [f for c, f in enumerate(strong) if c not in used]
+    live = [t for t in moved if t[10] <= params.buffer]
+    for x1, y1, x2, y2, score in fresh:
+        live.append([next_id, x1, y1, x2, y2, 0.0, 0.0, 0.0, 0.0, score, 0])
         next_id += 1
-    return [t for t in moved if t[4] <= params.buffer], next_id
+    return live, next_id
 
 
-def _busy_segments(ticks: DataFrame, found: DataFrame, params: TrackerParams) -> DataFrame:
+def _segments(ticks: DataFrame, found: DataFrame, params: TrackerParams) -> DataFrame:
     """Ticks with the tick number their segment starts at.
 
     Once more than `buffer` ticks in a row were empty no track is left, so what follows does
     not depend on what came before: a source falls into segments there, without loss.
     """
-    numbered = ordered.number_rows(
-        ticks, ["source_id"], ["frame_id"], "tick", ordered.SLICE_IDS
-    )
-    busy = numbered.join(
-        found.select("source_id", "frame_id").distinct(), ["source_id", "frame_id"], "left_semi"
-    )
-    starts = (
-        ordered.previous(
-            busy, ["source_id"], "tick", {"_before": "tick"}, ordered.SLICE_IDS
+    key = ["source_id", "frame_id"]
+    busy = found.groupBy(*key).agg(F.lit(True).alias("_busy"))
+    numbered = cut(
+        ordered.number_rows(
+            ticks.join(busy, key, "left"), ["source_id"], ["frame_id"], "tick", ordered.SLICE_IDS
         )
-        .where(
-            F.col("_before").isNull() | (F.col("tick") - F.col("_before") > params.buffer + 1)
-        )
-        .select("source_id", "tick", F.col("tick").alias("_starts"))
     )
-    marked = numbered.join(starts, ["source_id", "tick"], "left")
-    return ordered.newest(
-        marked, ["source_id"], "tick", {"segment": F.col("_starts")}, ordered.SLICE_IDS
-    ).where("segment IS NOT NULL")
+    single = ordered.one_chunk(numbered, tick=ordered.SLICE_IDS)["tick"]
+
+    def newest(df: DataFrame, **columns) -> DataFrame:
+        return ordered.newest(
+            df, ["source_id"], "tick", size=ordered.SLICE_IDS, single=single, **columns
+        )
+
+    mark = F.when(F.col("_busy"), F.col("tick"))
+    linked = newest(numbered, values={}, before={"_before": mark})
+    gap = F.col("_before").isNull() | (F.col("tick") - F.col("_before") > params.buffer + 1)
+    start = F.when(F.col("_busy") & gap, F.col("tick"))
+    return newest(linked, values={"segment": start}).where("segment IS NOT NULL")
 
 
 TRACK_FIELDS = [
@@ -109,13 +122,8 @@ TRACK_FIELDS = [
 ]
 
 
-def track_columns(per_tick: Iterable[tuple[tuple, list[Track]]]) -> list[tuple]:
-    """Flat rows: the key of each tick followed by one of its tracks."""
-    return [
-        (*key, i, *map(float, box), score, missed)
-        for key, tracks in per_tick
-        for i, box, _, score, missed in tracks
-    ]
+def track_rows(key: tuple, tracks: list[Track]) -> list[tuple]:
+    return [(*key, *t[:5], *t[9:]) for t in tracks]
 
 
 def track(
@@ -133,7 +141,7 @@ def track(
         "source_id", "frame_id", "det_idx", *boxes.SIDES, "score"
     )
     log = ticks.select("source_id", "frame_id", "captured_ms")
-    segments = _busy_segments(log, found, params).drop("tick", "_starts")
+    segments = _segments(log, found, params).drop("tick", "_busy", "_before")
     key = Window.partitionBy("source_id", "segment").orderBy("frame_id", "det_idx")
     rows = segments.join(found, ["source_id", "frame_id"], "left").withColumn(
         "_first", F.row_number().over(key) == 1
@@ -144,33 +152,28 @@ def track(
     sides = [*boxes.SIDES, "score"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live: list[Track] = []
-        next_id, open_key, pending = 1, None, []
-
-        def close() -> tuple[tuple, list[Track]]:
-            nonlocal live, next_id
-            found = np.array(pending, dtype=float).reshape(-1, 5)
-            live, next_id = advance(live, found, next_id, params)
-            return open_key, live
-
+        live, next_id, tick, found = [], 1, None, []
         for batch in batches:
-            done = []
-            keys = zip(*[batch.column(n).to_pylist() for n in names], strict=True)
-            values = zip(*[batch.column(s).to_pylist() for s in sides], strict=True)
-            for key_row, value, first in zip(
-                keys, values, batch.column("_first").to_pylist(), strict=True
+            rows = []
+            for key, value, first in zip(
+                zip(*[batch.column(n).to_pylist() for n in names], strict=True),
+                zip(*[batch.column(s).to_pylist() for s in sides], strict=True),
+                batch.column("_first").to_pylist(),
+                strict=True,
             ):
-                if key_row != open_key:
-                    if open_key is not None:
-                        done.append(close())
-                    open_key, pending = key_row, []
+                if key != tick:
+                    if tick is not None:
+                        live, next_id = advance(live, found, next_id, params)
+                        rows += track_rows(tick, live)
+                    tick, found = key, []
                     if first:
                         live, next_id = [], 1
                 if value[4] is not None:
-                    pending.append(value)
-            yield _batch(track_columns(done), out_types)
-        if open_key is not None:
-            yield _batch(track_columns([close()]), out_types)
+                    found.append(value)
+            yield _batch(rows, out_types)
+        if tick is not None:
+            live, next_id = advance(live, found, next_id, params)
+            yield _batch(track_rows(tick, live), out_types)
 
     local = cut(rows.mapInArrow(scan, schema))
     born = local.groupBy("source_id", "segment").agg(F.max("track_id").alias("_born"))

@@ -11,14 +11,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sightmatch import schemas
-from sightmatch.operators.tracking import advance, track_columns
+from sightmatch.operators.tracking import advance, track_rows
 from sightmatch.params import EvidenceParams, TrackerParams
 from sightmatch.streaming import state as step
 
@@ -128,24 +127,18 @@ class _Tracking(StatefulProcessor):
         newest, next_id, live = -1, 1, []
         if self.book.exists():
             newest, next_id, text = self.book.get()
-            live = [
-                (i, np.array(box), np.array(speed), score, missed)
-                for i, box, speed, score, missed in json.loads(text)
-            ]
+            live = json.loads(text)
         pdf = pdf[pdf["frame_id"] > newest]
         if pdf.empty:
             return
-        done = []
+        out = []
         for frame, part in pdf.groupby("frame_id", sort=True):
-            found = part[part["score"].notna()].sort_values("det_idx")
-            boxes = found[["x1", "y1", "x2", "y2", "score"]].to_numpy(dtype=float)
+            seen = part[part["score"].notna()].sort_values("det_idx")
+            boxes = seen[["x1", "y1", "x2", "y2", "score"]].astype(float).to_numpy().tolist()
             live, next_id = advance(live, boxes, next_id, self.params)
-            done.append(((key[0], int(frame), int(part["captured_ms"].iloc[0])), live))
-        text = json.dumps(
-            [(i, box.tolist(), speed.tolist(), score, missed) for i, box, speed, score, missed in live]
-        )
-        self.book.update((int(pdf["frame_id"].max()), int(next_id), text))
-        yield pd.DataFrame(track_columns(done), columns=_names(schemas.TRACKS))
+            out += track_rows((key[0], int(frame), int(part["captured_ms"].iloc[0])), live)
+        self.book.update((int(pdf["frame_id"].max()), int(next_id), json.dumps(live)))
+        yield pd.DataFrame(out, columns=_names(schemas.TRACKS))
 
     def close(self) -> None:
         pass
