@@ -57,9 +57,7 @@ def case_reports(spark, sf):
     """Reports per case, written and read again."""
     path = fresh_path(spark, "reports")
     metrics = scoring._case_metrics(spark, sf)
-    sinks.write_case_reports(
-        metrics.repartition("case_id"), scoring.confirmed(spark, sf).repartition("case_id"), path
-    )
+    sinks.write_case_reports(metrics, scoring.confirmed(spark, sf), path)
     reports = spark.read.schema(
         "schema_version INT, case_id BIGINT, threshold_results ARRAY<STRUCT<threshold: DOUBLE,"
         " expected_intervals: BIGINT, detected_intervals: BIGINT, interval_recall: DOUBLE,"

@@ -50,11 +50,13 @@ def write_latest(
     )
 
 
-def write_case_reports(metrics: DataFrame, events: DataFrame, path: str) -> None:
-    """Per case a JSON report of its thresholds, and its events as JSON lines next to it.
+def write_case_reports(
+    metrics: DataFrame, events: DataFrame, path: str, *, folders: bool = False
+) -> None:
+    """A JSON report per case with one entry per threshold, and the events as JSON lines.
 
-    A report holds one entry per threshold; the events, of which there can be any number, are
-    written row by row.
+    Reports are lines too; with `folders` every case gets a folder of its own, which suits
+    some hundred cases.  Events, of which there can be any number, are written row by row.
     """
     entry = F.struct(
         "threshold",
@@ -70,19 +72,15 @@ def write_case_reports(metrics: DataFrame, events: DataFrame, path: str) -> None
         without_vectors(metrics)
         .groupBy("case_id")
         .agg(F.array_sort(F.collect_list(entry)).alias("threshold_results"))
-        .select(
-            F.lit(REPORT_VERSION).alias("schema_version"),
-            "case_id",
-            F.col("case_id").alias("case"),
-            "threshold_results",
-        )
-    )
-    reports.write.mode("overwrite").partitionBy("case").option("ignoreNullFields", False).json(
-        f"{path}/reports"
+        .select(F.lit(REPORT_VERSION).alias("schema_version"), "case_id", "threshold_results")
     )
-    without_vectors(events).withColumn("case", F.col("case_id")).write.mode(
-        "overwrite"
-    ).partitionBy("case").json(f"{path}/events")
+    for table, name in ((reports, "reports"), (without_vectors(events), "events")):
+        if folders:
+            by_case = table.withColumn("case", F.col("case_id")).repartition("case")
+            writer = by_case.write.partitionBy("case")
+        else:
+            writer = table.write
+        writer.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}")
 
 
 def write_summary_report(

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sightmatch import schemas
+from sightmatch.functions.boxes import SIDES
 from sightmatch.operators.tracking import advance, track_rows
 from sightmatch.params import EvidenceParams, TrackerParams
 from sightmatch.streaming import state as step
@@ -40,64 +43,51 @@ def _gather(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True)
 
 
+def _frames(pdf: pd.DataFrame, after: int, columns: list[str], order: list[str]) -> Iterator:
+    """(frame, rows as tuples) of the frames after the newest one seen, in order."""
+    fresh = pdf[pdf["frame_id"] > after].sort_values(["frame_id", *order])
+    rows = zip(*[fresh[c].tolist() for c in ["frame_id", "captured_ms", *columns]], strict=True)
+    return groupby(rows, key=itemgetter(0, 1))
+
+
 class _Confirming(StatefulProcessor):
-    """Evidence states of one source: a map from (target, track) to its memory."""
+    """Evidence states of one source, in one value: as many as its live tracks have targets."""
 
     def __init__(self, params: EvidenceParams, threshold: float):
         self.params, self.threshold = params, threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "frame_id BIGINT")
-        self.memories = handle.getMapState(
-            "memories", "target_id BIGINT, track_id BIGINT", "memory STRING"
-        )
+        self.book = handle.getValueState("book", "frame_id BIGINT, memories STRING")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _gather(rows)
-        seen = self.newest.get()[0] if self.newest.exists() else -1
-        pdf = pdf[pdf["frame_id"] > seen]
-        if pdf.empty:
-            return
-        before = {
-            (k[0], k[1]): _restore(v[0]) for k, v in self.memories.iterator()
-        } if self.memories.exists() else {}
-        live, out = dict(before), []
-        for frame, part in pdf.groupby("frame_id", sort=True):
-            at = int(part["captured_ms"].iloc[0])
-            faces = part[part["target_id"].notna()].sort_values(["target_id", "track_id"])
+        newest, text = self.book.get() if self.book.exists() else (-1, "[]")
+        live = {(t, k): (tuple(kept), *rest) for t, k, kept, *rest in json.loads(text)}
+        columns = ["target_id", "track_id", "similarity", "quality"]
+        out = []
+        for (frame, at), part in _frames(_gather(rows), newest, columns, columns[:2]):
             events = []
-            for f in faces.itertuples():
-                who = (int(f.target_id), int(f.track_id))
+            for _, _, target, track, similarity, quality in part:
+                if target is None or target != target:
+                    continue
+                who = (int(target), int(track))
                 live[who], told = step.on_face(
-                    live.get(who, step.EMPTY), at, float(f.similarity), float(f.quality),
-                    self.threshold, self.params,
+                    live.get(who, step.EMPTY), at, similarity, quality, self.threshold, self.params
                 )
                 events += [(who, e) for e in told]
             for who in list(live):
-                memory, told = step.on_tick(live[who], at, self.params)
+                live[who], told = step.on_tick(live[who], at, self.params)
                 events += [(who, e) for e in told]
-                if memory is None:
+                if live[who] is None:
                     del live[who]
-                else:
-                    live[who] = memory
-            out += [(key[0], *who, int(frame), at, *e) for who, e in events]
-        for who in before.keys() - live.keys():
-            self.memories.removeKey(who)
-        for who, memory in live.items():
-            if before.get(who) != memory:
-                self.memories.updateValue(who, (json.dumps(memory),))
-        self.newest.update((int(pdf["frame_id"].max()),))
+            out += [(key[0], *who, frame, at, *e) for who, e in events]
+            newest = frame
+        self.book.update((newest, json.dumps([(*who, *m) for who, m in live.items()])))
         yield pd.DataFrame(out, columns=_names(schemas.EVENTS))
 
     def close(self) -> None:
         pass
 
 
-def _restore(text: str) -> tuple:
-    kept, *rest = json.loads(text)
-    return (tuple(kept), *rest)
-
-
 def confirm_stream(
     sightings: DataFrame, threshold: float, params: EvidenceParams = EvidenceParams()
 ) -> DataFrame:
@@ -123,21 +113,18 @@ class _Tracking(StatefulProcessor):
         self.book = handle.getValueState("book", "frame_id BIGINT, next_id BIGINT, tracks STRING")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _gather(rows)
         newest, next_id, live = -1, 1, []
         if self.book.exists():
             newest, next_id, text = self.book.get()
             live = json.loads(text)
-        pdf = pdf[pdf["frame_id"] > newest]
-        if pdf.empty:
-            return
+        columns = [*SIDES, "score"]
         out = []
-        for frame, part in pdf.groupby("frame_id", sort=True):
-            seen = part[part["score"].notna()].sort_values("det_idx")
-            boxes = seen[["x1", "y1", "x2", "y2", "score"]].astype(float).to_numpy().tolist()
-            live, next_id = advance(live, boxes, next_id, self.params)
-            out += track_rows((key[0], int(frame), int(part["captured_ms"].iloc[0])), live)
-        self.book.update((int(pdf["frame_id"].max()), int(next_id), json.dumps(live)))
+        for (frame, at), part in _frames(_gather(rows), newest, columns, ["det_idx"]):
+            found = [row[2:] for row in part if row[-1] == row[-1] and row[-1] is not None]
+            live, next_id = advance(live, found, next_id, self.params)
+            out += track_rows((key[0], frame, at), live)
+            newest = frame
+        self.book.update((newest, next_id, json.dumps(live)))
         yield pd.DataFrame(out, columns=_names(schemas.TRACKS))
 
     def close(self) -> None:

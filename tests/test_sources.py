@@ -59,6 +59,25 @@ def test_manifest(spark, tmp_path):
     assert evaluation.validate_intervals(intervals).isEmpty()
 
 
+def test_report_folders(spark, tmp_path):
+    metrics = evaluation.case_metrics(
+        spark.createDataFrame([("a", 0.5, 2000), ("a", 0.5, 9000)], "case_id STRING, threshold DOUBLE, captured_ms BIGINT"),
+        spark.createDataFrame([("a", 0, 1000, 3000)], "case_id STRING, idx BIGINT, start_ms BIGINT, end_ms BIGINT"),
+        spark.createDataFrame([("a", 10_000), ("b", 10_000)], "case_id STRING, duration_ms BIGINT"),
+        [0.5],
+    )
+    events = spark.createDataFrame([("a", "confirmed", 2000)], "case_id STRING, state STRING, captured_ms BIGINT")
+    sinks.write_case_reports(metrics, events, str(tmp_path / "r"), folders=True)
+    (report,) = (tmp_path / "r" / "reports" / "case=a").glob("*.json")
+    body = json.loads(report.read_text())
+    assert body["schema_version"] == 1 and body["case_id"] == "a"
+    assert body["threshold_results"][0]["interval_recall"] == 1.0
+    assert body["threshold_results"][0]["latencies_ms"] == [1000]
+    (nothing,) = (tmp_path / "r" / "reports" / "case=b").glob("*.json")
+    assert json.loads(nothing.read_text())["threshold_results"][0]["interval_recall"] is None
+    assert (tmp_path / "r" / "events" / "case=a").is_dir()
+
+
 def test_no_sink_takes_vectors(spark, tmp_path):
     df = spark.range(1).withColumn("embedding", F.array(F.lit(1.0)))
     with pytest.raises(ValueError):
