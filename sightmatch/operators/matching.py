@@ -128,16 +128,22 @@ def _arrow_type(field: T.StructField) -> pa.DataType:
     return to_arrow_type(field.dataType)
 
 
+FACE = ["search_id", "source_id", "frame_id", "face_idx"]
+
+
 def _by_blocks(faces: DataFrame, targets: DataFrame) -> DataFrame:
     """Gallery of any size: join on the search, the faces of a busy search spread over salts.
 
-    A block is at most BLOCK_TARGETS targets in one row; each face leaves a block as one
-    row, and the rows of a face are reduced to the best (combined before their shuffle).
+    A block is at most BLOCK_TARGETS targets in one row; each face leaves a block as one row.
+    Only where a search has several blocks its faces' rows are reduced to the best (combined
+    before their shuffle).
     """
-    kept = [c for c in faces.columns if c != "embedding"]
+    rest = [c for c in faces.columns if c not in (*FACE, "embedding")]
+    numbered = targets.withColumn(
+        "_block", F.floor(F.col("target_ord") / F.lit(BLOCK_TARGETS))
+    )
     blocks = (
-        targets.withColumn("_block", F.floor(F.col("target_ord") / F.lit(BLOCK_TARGETS)))
-        .groupBy("search_id", "_block")
+        numbered.groupBy("search_id", "_block")
         .agg(
             F.collect_list(F.struct("target_ord", "target_id", "embedding")).alias("_targets")
         )
@@ -155,17 +161,24 @@ def _by_blocks(faces: DataFrame, targets: DataFrame) -> DataFrame:
             t["target_id"].alias("target_id"),
         ),
     )
-    best = (
-        salted.join(blocks, ["search_id", "_salt"])
-        .select(*kept, F.array_max(scored).alias("_best"))
-        .groupBy(*kept)
-        .agg(F.max("_best").alias("_best"))
+    best = salted.join(blocks, ["search_id", "_salt"]).select(
+        *FACE, F.struct(F.array_max(scored).alias("best"), *rest).alias("_row")
     )
+    widest = numbered.groupBy("search_id").agg(
+        (F.max("_block") - F.min("_block")).alias("_span")
+    ).agg(F.max("_span"))
+    if widest.first()[0]:
+        best = best.groupBy(*FACE).agg(F.max("_row").alias("_row"))
+    columns = [
+        F.col(c) if c in FACE else F.col(f"_row.{c}").alias(c)
+        for c in faces.columns
+        if c != "embedding"
+    ]
     return best.select(
-        *kept,
-        F.col("_best.target_id").alias("target_id"),
-        (-F.col("_best.rank")).alias("target_ord"),
-        F.col("_best.similarity").alias("similarity"),
+        *columns,
+        F.col("_row.best.target_id").alias("target_id"),
+        (-F.col("_row.best.rank")).alias("target_ord"),
+        F.col("_row.best.similarity").alias("similarity"),
     )
 
 

@@ -8,6 +8,7 @@ import time
 from sightmatch import schemas
 from sightmatch.operators import evidence, searches, tracking
 from sightmatch.params import EvidenceParams
+from sightmatch.plans import live, pipelines
 from sightmatch.sources import readers, sinks
 from sightmatch.streaming import queries as streams
 
@@ -83,3 +84,40 @@ def test_outages_and_silence(spark, tmp_path):
     # Two sources have fallen silent by the end of the stream; only time can tell.
     assert [t for t in told if t not in batch] == [(1, 8900, "source_lost"), (2, 1400, "source_lost")]
     assert [t for t in batch if t not in told] == []
+
+
+def test_live_chain(spark, tmp_path):
+    """Frames to sightings to events, against the batch pipeline on the same rows."""
+    rng = random.Random(9)
+    targets = spark.createDataFrame(
+        [(1, 10, 0, [1.0, 0.0]), (1, 11, 1, [0.0, 1.0])],
+        "search_id BIGINT, target_id BIGINT, target_ord INT, embedding ARRAY<FLOAT>",
+    )
+    rows = []
+    for frame in range(50):
+        at = 1_000_000 + frame * 210 + (6000 if frame > 25 else 0)
+        faces = [
+            (i, 20.0 + 200 * i, 20.0, 40.0 + 200 * i, 40.0, rng.random(), rng.random() < 0.9,
+             [0.9, 0.1] if rng.random() < 0.5 + i / 3 else [0.2, 0.95])
+            for i in range(2) if rng.random() < 0.9
+        ]
+        tracks = [(1, 0.0, 0.0, 100.0, 200.0), (2, 200.0, 0.0, 300.0, 200.0)]
+        rows.append((1, 5, frame, at, faces, tracks))
+    table = spark.createDataFrame(rows, live.SEEN_FRAMES)
+    path = in_files(table, str(tmp_path / "in"), [(0, 20), (20, 50)])
+    stream = readers.stream_frames(spark, path, live.SEEN_FRAMES, 1)
+    seen, out = str(tmp_path / "seen"), str(tmp_path / "events")
+    live.store_sightings(stream, targets, 0.5, seen, str(tmp_path / "ck1")).awaitTermination()
+    live.store_events(spark, seen, 0.5, out, str(tmp_path / "ck2")).awaitTermination()
+    got = spark.read.parquet(out)
+
+    keys = ["search_id", "source_id", "frame_id", "captured_ms"]
+    found = pipelines.sightings(
+        table.selectExpr(*keys, "inline(faces)"),
+        table.selectExpr("source_id", "frame_id", "inline(tracks)"),
+        targets,
+        0.5,
+    )
+    want = evidence.confirm(found, table, threshold=0.5).drop("search_id")
+    assert {"candidate", "confirmed", "lost"} == {r.state for r in got.select("state").distinct().collect()}
+    assert same(got, want)
