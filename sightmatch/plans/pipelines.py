@@ -21,10 +21,11 @@ from sightmatch.sources.scratch import cut
 def enrolled(photos: DataFrame, faces: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
     """Targets, and the photos that gave none.
 
-    All or nothing per search: one bad photo and the search has no targets.
+    All or nothing per search: one bad photo and the search has no targets.  Only the verdicts
+    are written in between, never the vectors.
     """
-    checked = cut(admission.enroll(photos, faces, model))
-    bad = checked.where("error_code IS NOT NULL")
+    checked = admission.enroll(photos, faces, model)
+    bad = cut(checked.where("error_code IS NOT NULL").drop("embedding"))
     good = checked.join(bad.select("search_id"), "search_id", "left_anti")
     return good, bad
 
