@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightmatch.llm import bpe, exact_dedup, packing, sharding, token_counts
+from sightmatch.llm import bpe, exact_dedup, minhash, packing, sharding, token_counts
 
 MULTI = ("ranks", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 ENGLISH = ("json", public_tokenizers.path("byte_bpe_50k.json"))
@@ -37,6 +37,35 @@ FROM d
 """
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), words=3, threshold=(85, 100))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+ SELECT doc_id, list_filter(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+ FROM documents),
+sets AS (
+ SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+          ELSE list_distinct([array_to_string(words[i:i+2], ' ') for i in range(1, len(words) - 1)]) END AS s
+ FROM w),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+ SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n - count(*) AS total, count(*) AS common
+ FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85
+ GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+links AS (SELECT x, y FROM pairs WHERE 100 * common >= 85 * total
+          UNION ALL SELECT y, x FROM pairs WHERE 100 * common >= 85 * total),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM documents
+          UNION SELECT r.node, l.y FROM reach r JOIN links l ON r.other = l.x)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(other) AS component_id,
+       s.doc_id = min(other) AS kept
+FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, len(s)
+"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), MULTI).select(
         "doc_id",
@@ -83,6 +112,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
+    "op3_minhash": (op3_minhash, OP3_SQL),
     "op7_byte_bpe": (op7_byte_bpe, None),
     "op8_token_counts": (op8_token_counts, None),
     "op9_sharding": (op9_sharding, OP9_SQL),
