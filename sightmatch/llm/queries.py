@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightmatch.llm import bpe, exact_dedup, minhash, packing, sharding, token_counts
+from sightmatch.llm import bpe, exact_dedup, minhash, packing, ppm, sharding, token_counts
 
 MULTI = ("ranks", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 ENGLISH = ("json", public_tokenizers.path("byte_bpe_50k.json"))
@@ -37,6 +37,14 @@ FROM d
 """
 
 
+def _in_fold(modulus: int, fold: int):
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus == fold
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_documents(spark, sf_dir), held_out=_in_fold(7, 2))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), words=3, threshold=(85, 100))
 
@@ -112,6 +120,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
+    "op2_lm_scoring": (op2_lm_scoring, None),
     "op3_minhash": (op3_minhash, OP3_SQL),
     "op7_byte_bpe": (op7_byte_bpe, None),
     "op8_token_counts": (op8_token_counts, None),
