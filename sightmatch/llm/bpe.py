@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of text that are encoded at once, and distinct units whose ids are remembered.
-SLICE_BYTES, UNITS_KEPT = 4 << 20, 250_000
+SLICE_BYTES, UNITS_KEPT = 2 << 20, 200_000
 
 # A blank after another one: the cut at single blanks does not hold for such a text.
 _RUN = re.compile(r"\s ")
 _UNIT = re.compile(r"\s*\S+|\s+")
+# Letters, then marks that are neither letters, digits, blanks nor the apostrophe: two pre-tokens.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
 def byte_characters() -> list[str]:
@@ -86,23 +88,43 @@ class ByteBpe:
     def __init__(self, tokenizer, tokens: dict[int, bytes]):
         self.tokenizer = tokenizer
         self.tokens = tokens
-        self._after_blank: dict[str, bytes] = {}
-        self._as_is: dict[str, bytes] = {}
-
-    def _learn(self, units: set[str], known: dict[str, bytes], lead: str) -> None:
-        new = list(units.difference(known))
-        if len(known) + len(new) > UNITS_KEPT:
-            known.clear()
-            new = list(units)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast(
-                [lead + unit for unit in part], add_special_tokens=False
-            )
-            known.update(zip(part, (array("I", x.ids).tobytes() for x in found), strict=True))
+        self._spelling = dict(enumerate(byte_characters()))
+        # What follows a blank, and other units: those in use, and those of some time ago.
+        self._now: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self._before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self._marks: dict[str, list[int]] = {}
+
+    def _ids(self, pre_token: str) -> list[int]:
+        """Of one pre-token, by the merges alone."""
+        spelled = pre_token.encode().decode("latin-1").translate(self._spelling)
+        return [token.id for token in self.tokenizer.model.tokenize(spelled)]
+
+    def _learn(self, units: set[str], spaced: bool) -> dict[str, bytes]:
+        now, before = self._now[not spaced], self._before[not spaced]
+        lead, other = " " * spaced, []
+        for unit in units.difference(now):
+            if unit in before:
+                now[unit] = before[unit]
+            elif simple := _SIMPLE.match(unit):
+                word, marks = simple.groups()
+                ids = self._ids(lead + word)
+                if marks:
+                    if marks not in self._marks:
+                        self._marks[marks] = self._ids(marks)
+                    ids = ids + self._marks[marks]
+                now[unit] = array("I", ids).tobytes()
+            else:
+                other.append(unit)
+        for i in range(0, len(other), 10_000):
+            part = other[i : i + 10_000]
+            found = self.tokenizer.encode_batch_fast([lead + u for u in part], add_special_tokens=False)
+            now.update(zip(part, (array("I", x.ids).tobytes() for x in found), strict=True))
+        return now
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed little-endian unsigned 32-bit integers."""
+        if sum(map(len, self._now)) > UNITS_KEPT:
+            self._before, self._now, self._marks = self._now, ({}, {}), {}
         simple, other, first = {}, {}, {}
         for i, text in enumerate(texts):
             if not text:
@@ -111,9 +133,9 @@ class ByteBpe:
                 other[i] = _UNIT.findall(text)
             else:
                 first[i], *simple[i] = text.split(" ")
-        self._learn(set().union(*simple.values()), self._after_blank, " ")
-        self._learn(set(first.values()).union(*other.values()) - {""}, self._as_is, "")
-        out, spaced, plain = [], self._after_blank.__getitem__, self._as_is
+        spaced = self._learn(set().union(*simple.values()), True).__getitem__
+        plain = self._learn(set(first.values()).union(*other.values()) - {""}, False)
+        out = []
         for i in range(len(texts)):
             if i in simple:
                 lead = plain[first[i]] if first[i] else b""
@@ -165,10 +187,11 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     offsets: bool = False,
+    decoded: bool = False,
 ) -> DataFrame:
     """doc_id, ids (packed little-endian unsigned 32-bit integers), n_tokens; with offsets also
-    starts and ends, the characters each token touches. `source` as in load(); the file must be
-    present on every executor.
+    starts and ends, the characters each token touches; with decoded the bytes that the ids
+    stand for. `source` as in load(); the file must be present on every executor.
 
     Defined cases: null and empty texts give no ids. Very long texts are cut at safe blanks; a
     run of non-blanks is always encoded whole. Nulls and repeats in id_col are passed on. An empty
@@ -176,6 +199,8 @@ def encode(
     schema = "doc_id {}, ids binary, n_tokens long".format(docs.schema[id_col].dataType.simpleString())
     if offsets:
         schema += ", starts array<long>, ends array<long>"
+    if decoded:
+        schema += ", decoded binary"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(source)
@@ -191,6 +216,8 @@ def encode(
                     spans = [model.spans(t, x) for t, x in zip(texts, ids, strict=True)]
                     for name, k in (("starts", 0), ("ends", 1)):
                         columns[name] = pa.array([s[k] for s in spans], pa.list_(pa.int64()))
+                if decoded:
+                    columns["decoded"] = pa.array([model.decode(x) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -216,17 +243,3 @@ def decode(encoded: DataFrame, source: tuple) -> DataFrame:
 def as_text(decoded: bytes) -> str:
     """Characters of decoded bytes; one that the cut has split becomes U+FFFD."""
     return decoded.decode("utf-8", errors="replace")
-
-
-def round_trip(docs: DataFrame, source: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, n_tokens and decoded, in one chain without a join."""
-    encoded = encode(docs, source, id_col, text_col)
-    schema = encoded.schema.simpleString()[len("struct<") : -1] + ",decoded:binary"
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(source)
-        for batch in batches:
-            decoded = pa.array([model.decode(x) for x in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, f"struct<{schema}>")

@@ -75,7 +75,7 @@ FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, len(s)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(_documents(spark, sf_dir), MULTI).select(
+    return bpe.encode(_documents(spark, sf_dir), MULTI, decoded=True).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
