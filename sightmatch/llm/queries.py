@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightmatch.llm import bpe, exact_dedup, minhash, packing, ppm, sharding, token_counts
+from sightmatch.llm import (
+    bpe,
+    exact_dedup,
+    langid,
+    minhash,
+    packing,
+    ppm,
+    quality,
+    sharding,
+    token_counts,
+)
 
 MULTI = ("ranks", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 ENGLISH = ("json", public_tokenizers.path("byte_bpe_50k.json"))
@@ -74,6 +84,22 @@ FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, len(s)
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = _in_fold(5, 0)
+    model = langid.fit(docs, learn=~held_out)
+    return langid.predict(docs, model).withColumn("held_out", held_out)
+
+
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents labelled as good."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir), trusted_ids(spark, sf_dir))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_documents(spark, sf_dir), MULTI, decoded=True).select(
         "doc_id",
@@ -122,6 +148,8 @@ QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_lm_scoring": (op2_lm_scoring, None),
     "op3_minhash": (op3_minhash, OP3_SQL),
+    "op4_language_id": (op4_language_id, None),
+    "op5_quality": (op5_quality, None),
     "op7_byte_bpe": (op7_byte_bpe, None),
     "op8_token_counts": (op8_token_counts, None),
     "op9_sharding": (op9_sharding, OP9_SQL),
