@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sightmatch.llm import (
     bpe,
+    ego,
     exact_dedup,
     langid,
     minhash,
@@ -100,6 +101,27 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir), trusted_ids(spark, sf_dir))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP6_SQL = """
+WITH RECURSIVE e AS (
+ SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+ WHERE label IS NOT NULL AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+links AS (
+ SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+ WHERE list_dot_product(a.v, b.v) >= 0.98 * sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))),
+reach AS (SELECT vec_id AS node, vec_id AS other FROM embeddings
+          UNION SELECT r.node, l.y FROM reach r JOIN links l ON r.other = l.x),
+n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT m.vec_id, coalesce(n.n_links, 0) AS n_links, min(r.other) AS component_id,
+       m.vec_id = min(r.other) AS kept
+FROM embeddings m JOIN reach r ON r.node = m.vec_id LEFT JOIN n ON n.x = m.vec_id
+GROUP BY m.vec_id, n.n_links
+"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_documents(spark, sf_dir), MULTI, decoded=True).select(
         "doc_id",
@@ -150,6 +172,7 @@ QUERIES = {
     "op3_minhash": (op3_minhash, OP3_SQL),
     "op4_language_id": (op4_language_id, None),
     "op5_quality": (op5_quality, None),
+    "op6_embedding_dedup": (op6_embedding_dedup, OP6_SQL),
     "op7_byte_bpe": (op7_byte_bpe, None),
     "op8_token_counts": (op8_token_counts, None),
     "op9_sharding": (op9_sharding, OP9_SQL),
