@@ -111,6 +111,26 @@ def _stored(df: DataFrame, purpose: str) -> str:
     return path
 
 
+# Streams read their input a file at a time. Its rows are dealt over the files at random, so
+# the lateness must span all of them (26 s of compressed time); a last file holds one row that is late
+# enough for the watermark to pass the others.
+_LATENESS, _FILES, _LATER_MS = "60 seconds", 3, 600_000
+
+
+def _shuffled(df: DataFrame, purpose: str, key: str, time: str) -> str:
+    path = fresh_path(df.sparkSession, purpose)
+    df.repartition(_FILES).write.parquet(path)
+    kinds = dict(df.dtypes)
+    last = df.sparkSession.range(1).select(
+        *[
+            F.lit({key: -1, time: _LATER_MS}.get(c)).cast(kinds[c]).alias(c)
+            for c in df.columns
+        ]
+    )
+    last.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def _drain(stream: DataFrame, purpose: str) -> DataFrame:
     """Run a stream over everything its input holds and return what it wrote."""
     spark = stream.sparkSession
@@ -143,8 +163,11 @@ def latest_sink(spark, sf):
 
 def confirm_stream(spark, sf):
     table = streams.as_sightings(history.seen(spark, sf), v.frame_log(spark, sf))
-    stream = readers.stream_frames(spark, _stored(table, "sightings"), schemas.SIGHTINGS)
-    events = _drain(streams.confirm_stream(stream, 0.25), "confirmed")
+    path = _shuffled(table, "sightings", "source_id", "captured_ms")
+    stream = readers.stream_frames(spark, path, schemas.SIGHTINGS, 1)
+    events = _drain(
+        streams.confirm_stream(stream, 0.25, lateness=_LATENESS, origin_ms=_START_MS), "confirmed"
+    )
     return events.select(
         "source_id", "target_id", "frame_id", "captured_ms", "state", "evidence_count",
         *r6("similarity"), *r8("quality"),
@@ -152,30 +175,27 @@ def confirm_stream(spark, sf):
 
 
 def track_stream(spark, sf):
-    path = _stored(derived.detections(spark, sf), "detections")
-    stream = readers.stream_frames(spark, path, schemas.DETECTIONS)
-    tracks = _drain(streams.track_stream(stream), "tracks")
+    path = _shuffled(derived.detections(spark, sf), "detections", "source_id", "captured_ms")
+    stream = readers.stream_frames(spark, path, schemas.DETECTIONS, 1)
+    tracks = _drain(
+        streams.track_stream(stream, lateness=_LATENESS, origin_ms=_START_MS), "tracks"
+    )
     return tracks.select(
         "source_id", "frame_id", "track_id", *r6("x1", "y1", "x2", "y2", "score"), "missed"
     )
 
 
-# Streams with event-time timers run on the epoch clock; watermarks start at 0.
+# Watermarks start at 0, the derived clock does too.
 _START_MS = 1_704_067_200_000
 
 
 def outage_stream(spark, sf):
-    log = (
-        v.frame_log(spark, sf)
-        .withColumn("captured_ms", F.col("captured_ms") + _START_MS)
-        .selectExpr(
-            "source_id", "frame_id", "captured_ms",
-            "timestamp_millis(captured_ms) AS captured_at", "640 AS width", "300 AS height",
-        )
+    log = v.frame_log(spark, sf).select("source_id", "captured_ms")
+    path = _shuffled(log, "frames", "source_id", "captured_ms")
+    stream = readers.stream_frames(spark, path, log.schema, 1)
+    return _drain(
+        streams.outage_stream(stream, 1000, _LATENESS, origin_ms=_START_MS), "outages"
     )
-    stream = readers.stream_frames(spark, _stored(log, "frames"))
-    told = _drain(streams.outage_stream(stream, 1000), "outages")
-    return told.withColumn("at_ms", F.col("at_ms") - _START_MS)
 
 
 def outcome_stream(spark, sf):
@@ -193,28 +213,22 @@ def outcome_stream(spark, sf):
             " THEN 'confirmed' ELSE 'frame' END AS kind",
             "captured_ms AS at_ms", "target_id", "0L AS total_count", "0L AS timeout_ms",
         )
-    ).withColumn("at_ms", F.col("at_ms") + _START_MS).withColumn("at", F.timestamp_millis("at_ms"))
-    schema = (
-        "search_id BIGINT, kind STRING, at_ms BIGINT, target_id BIGINT, total_count BIGINT,"
-        " timeout_ms BIGINT, at TIMESTAMP"
     )
-    stream = readers.stream_frames(spark, _stored(rows, "search-log"), schema)
-    ended = _drain(streams.outcome_stream(stream), "outcomes")
-    return ended.withColumn("ended_at", F.col("ended_at") - _START_MS)
+    path = _shuffled(rows, "search-log", "search_id", "at_ms")
+    stream = readers.stream_frames(spark, path, rows.schema, 1)
+    return _drain(streams.outcome_stream(stream, _LATENESS, origin_ms=_START_MS), "outcomes")
 
 
 def dedupe_stream(spark, sf):
     requests = derived.table(spark, sf, "orders").selectExpr(
         "CAST(o_custkey AS STRING) AS request_id", "CAST(o_orderdate AS TIMESTAMP) AS at"
     )
-    stream = readers.stream_frames(
-        spark, _stored(requests, "requests"), "request_id STRING, at TIMESTAMP"
-    )
-    # One batch holds all orders, so each request id comes out once.
-    return _drain(streams.dedupe_stream(stream, "at"), "deduped").select("request_id")
-
+    path = fresh_path(spark, "requests")
+    requests.repartition(_FILES).write.parquet(path)
+    stream = readers.stream_frames(spark, path, requests.schema, 1)
+    # The lateness spans all orders, so each request id comes out once.
+    return _drain(streams.dedupe_stream(stream, "at", "4000 days"), "deduped").select("request_id")
 
-_STREAM_END = "(SELECT max(captured_ms) - 5000 FROM frames)"
 
 QUERIES = {
     "manifest": (
@@ -264,8 +278,7 @@ QUERIES = {
             f"""
  SELECT source_id, captured_ms AS at_ms, 'running' AS status FROM gaps WHERE lost_ms IS NULL OR captured_ms - lost_ms > 1000
  UNION ALL SELECT source_id, lost_ms + 1000, 'source_lost' FROM gaps WHERE captured_ms - lost_ms > 1000
- UNION ALL SELECT source_id, max(captured_ms) + 1000, 'source_lost' FROM frames GROUP BY source_id
-   HAVING max(captured_ms) + 1001 <= {_STREAM_END}""",
+ UNION ALL SELECT source_id, max(captured_ms) + 1000, 'source_lost' FROM frames GROUP BY source_id""",
             gaps=history._GAPS,
         ),
     ),
@@ -280,8 +293,7 @@ QUERIES = {
      SELECT e.search_id, e.target_id, min(e.captured_ms) AS at FROM search_events e JOIN search_list l USING (search_id)
      WHERE state = 'confirmed' AND (timeout_ms IS NULL OR captured_ms < timeout_ms) GROUP BY ALL) f
    ON f.search_id = t.search_id AND f.target_id = t.target_id GROUP BY l.search_id, l.timeout_ms)
- JOIN (SELECT search_id, max(captured_ms) AS last_ms FROM search_events GROUP BY search_id) USING (search_id)
- WHERE found = total OR timeout_ms <= greatest(last_ms, {_STREAM_END})""",
+ WHERE found = total OR timeout_ms IS NOT NULL""",
         ),
     ),
     "dedupe_stream": (

@@ -16,7 +16,7 @@ from sightmatch.params import EvidenceParams
 from sightmatch.plans.pipelines import sightings
 from sightmatch.sources.readers import stream_frames
 from sightmatch.sources.sinks import without_vectors, write_event_log
-from sightmatch.streaming.queries import as_sightings, confirm_stream
+from sightmatch.streaming.queries import LATENESS, as_sightings, confirm_stream
 
 # What a detector emits: one row per frame, with the faces it saw and the tracks it holds.
 SEEN_FRAMES = (
@@ -56,9 +56,12 @@ def store_events(
     path: str,
     checkpoint: str,
     params: EvidenceParams = EvidenceParams(),
+    lateness: str = LATENESS,
 ) -> StreamingQuery:
-    """Fold the stored sightings, batch by batch, into events."""
+    """Fold the stored sightings into events, each search for itself; a found target is retired.
+    Files may come in any order within the lateness."""
     stored = stream_frames(
         spark, f"{sightings_path}/batch=*", schemas.SIGHTINGS, files_per_trigger=1_000
     )
-    return write_event_log(confirm_stream(stored, threshold, params), path, checkpoint)
+    events = confirm_stream(stored, threshold, params, lateness, retire=True)
+    return write_event_log(events, path, checkpoint)

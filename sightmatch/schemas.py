@@ -9,14 +9,15 @@ DETECTIONS = (
     " x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, score DOUBLE"
 )
 
-# What an evidence stream carries: a row per scored face, and a row without target per frame.
+# What an evidence stream carries: a row per scored face, and a row without target (nor search)
+# per frame.
 SIGHTINGS = (
-    "source_id BIGINT, frame_id BIGINT, captured_ms BIGINT, captured_at TIMESTAMP,"
+    "search_id BIGINT, source_id BIGINT, frame_id BIGINT, captured_ms BIGINT, captured_at TIMESTAMP,"
     " target_id BIGINT, track_id BIGINT, similarity DOUBLE, quality DOUBLE"
 )
 
 EVENTS = (
-    "source_id BIGINT, target_id BIGINT, track_id BIGINT, frame_id BIGINT, captured_ms BIGINT,"
+    "search_id BIGINT, source_id BIGINT, target_id BIGINT, track_id BIGINT, frame_id BIGINT, captured_ms BIGINT,"
     " state STRING, similarity DOUBLE, quality DOUBLE, evidence_count BIGINT"
 )
 

@@ -1,9 +1,9 @@
 """Stateful operators over streams.  They share their step functions with the tests' brute
-force and give the rows the batch operators give.
+force and give the rows the batch operators give, however the input is cut into micro-batches.
 
-Each is keyed by source or search.  The rows of one frame must arrive in one micro-batch, as
-they do when a detector writes a frame at a time; frames at or before the newest one seen are
-late and dropped.
+Each is keyed by source or search.  Rows wait in the state until the watermark has passed their
+event time and are then handled in order; what comes later than the lateness allows is dropped by
+Spark and counted (late_rows).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from operator import itemgetter
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sightmatch import schemas
 from sightmatch.functions.boxes import SIDES
@@ -39,37 +39,141 @@ def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
-def _gather(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True)
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark, over the progress reports the query still holds."""
+    return sum(
+        int(operator.get("numRowsDroppedByWatermark", 0))
+        for report in query.recentProgress
+        for operator in report["stateOperators"]
+    )
+
 
+def _plain(values, kind: str) -> list:
+    """Python values of a kind, None for what pandas has for null (whole numbers become floats
+    beside it)."""
+    make = {"BIGINT": int, "DOUBLE": float}.get(kind, str)
+    return [None if x is None or x != x else make(x) for x in values.tolist()]
 
-def _frames(pdf: pd.DataFrame, after: int, columns: list[str], order: list[str]) -> Iterator:
-    """(frame, rows as tuples) of the frames after the newest one seen, in order."""
-    fresh = pdf[pdf["frame_id"] > after].sort_values(["frame_id", *order])
-    rows = zip(*[fresh[c].tolist() for c in ["frame_id", "captured_ms", *columns]], strict=True)
-    return groupby(rows, key=itemgetter(0, 1))
 
+class _InOrder(StatefulProcessor):
+    """Holds rows back until the watermark has passed them, then hands them on by time.
 
-class _Confirming(StatefulProcessor):
-    """Evidence states of one source, in one value: as many as its live tracks have targets."""
+    `columns` and `kinds` describe the rows; `_at` is their event time in milliseconds."""
 
-    def __init__(self, params: EvidenceParams, threshold: float):
-        self.params, self.threshold = params, threshold
+    columns: tuple[str, ...] = ()
+    kinds: tuple[str, ...] = ()
+    output: str = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.book = handle.getValueState("book", "frame_id BIGINT, memories STRING")
+        self.handle = handle
+        fields = [f"{c} {k}" for c, k in zip(self.columns, self.kinds, strict=True)]
+        self.waiting = handle.getListState("waiting", ", ".join(["at BIGINT", *fields]))
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        """Further state."""
+
+    def release(self, key, rows: list[tuple], now: int) -> list[tuple]:
+        """Output for rows (at, *columns) in order; everything before `now` has come."""
+        raise NotImplementedError
+
+    def next_due(self) -> int | None:
+        """When to look again though no row waits."""
+        return None
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=_names(self.output))
+
+    def _remind(self, times: list[int]) -> None:
+        due = self.next_due()
+        times = [*times, due] if due is not None else times
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if times:
+            self.handle.registerTimer(min(times))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest, text = self.book.get() if self.book.exists() else (-1, "[]")
-        live = {(t, k): (tuple(kept), *rest) for t, k, kept, *rest in json.loads(text)}
-        columns = ["target_id", "track_id", "similarity", "quality"]
+        # One reminder is enough: for the earliest row; at it, all that is due is handled.
+        times = list(self.handle.listTimers())
+        for pdf in rows:
+            # By position: computed columns come without their names.
+            parts = [
+                _plain(pdf.iloc[:, i + 1], kind) for i, kind in enumerate(("BIGINT", *self.kinds))
+            ]
+            self.waiting.appendList(list(zip(*parts, strict=True)))
+            times.append(min(parts[0]))
+        self._remind(times)
+        yield self._frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((tuple(r) for r in rows if r[0] <= now), key=_nulls_first)
+        rest = [tuple(r) for r in rows if r[0] > now]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        out = self.release(key, ready, now)
+        self._remind([r[0] for r in rest])
+        yield self._frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _nulls_first(row: tuple) -> tuple:
+    return tuple((x is not None, x if x is not None else 0) for x in row)
+
+
+def _in_order(
+    rows: DataFrame, key: str, processor: _InOrder, lateness: str, origin_ms: int, time: str
+) -> DataFrame:
+    """rows by key through the processor. Event time is the column `time` (milliseconds) counted
+    from origin_ms; watermarks start at 0, so it must be positive."""
+    use_rocksdb(rows.sparkSession)
+    at = F.col(time) + origin_ms
+    return (
+        rows.select(key, at.alias("_at"), *[c for c in processor.columns if c != key])
+        .withColumn("_time", F.timestamp_millis("_at"))
+        .withWatermark("_time", lateness)
+        .groupBy(key)
+        .transformWithStateInPandas(
+            statefulProcessor=processor,
+            outputStructType=processor.output,
+            outputMode="Append",
+            timeMode="EventTime",
+        )
+    )
+
+
+class _Confirming(_InOrder):
+    """Evidence states of one source, one per search, target and track, in one value: as many
+    as its live tracks have targets.  With `retire` a target that is found is left alone."""
+
+    columns = (
+        "frame_id", "captured_ms", "search_id", "target_id", "track_id", "similarity", "quality",
+    )
+    kinds = ("BIGINT", "BIGINT", "BIGINT", "BIGINT", "BIGINT", "DOUBLE", "DOUBLE")
+    output = schemas.EVENTS
+
+    def __init__(self, params: EvidenceParams, threshold: float, retire: bool):
+        self.params, self.threshold, self.retire = params, threshold, retire
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.book = handle.getValueState("book", "memories STRING, found STRING")
+
+    def release(self, key, rows: list[tuple], now: int) -> list[tuple]:
+        text, gone = self.book.get() if self.book.exists() else ("[]", "[]")
+        live = {(s, t, k): (tuple(kept), *rest) for s, t, k, kept, *rest in json.loads(text)}
+        found = {(s, t) for s, t in json.loads(gone)}
         out = []
-        for (frame, at), part in _frames(_gather(rows), newest, columns, columns[:2]):
+        for (frame, at), part in groupby(rows, key=itemgetter(1, 2)):
             events = []
-            for _, _, target, track, similarity, quality in part:
-                if target is None or target != target:
+            for *_, search, target, track, similarity, quality in part:
+                if target is None or (search, target) in found:
                     continue
-                who = (int(target), int(track))
+                who = (search, target, track)
                 live[who], told = step.on_face(
                     live.get(who, step.EMPTY), at, similarity, quality, self.threshold, self.params
                 )
@@ -79,195 +183,175 @@ class _Confirming(StatefulProcessor):
                 events += [(who, e) for e in told]
                 if live[who] is None:
                     del live[who]
-            out += [(key[0], *who, frame, at, *e) for who, e in events]
-            newest = frame
-        self.book.update((newest, json.dumps([(*who, *m) for who, m in live.items()])))
-        yield pd.DataFrame(out, columns=_names(schemas.EVENTS))
-
-    def close(self) -> None:
-        pass
+            out += [(s, key[0], t, k, frame, at, *e) for (s, t, k), e in events]
+            if self.retire:
+                found |= {who[:2] for who, e in events if e[0] == "confirmed"}
+                live = {who: memory for who, memory in live.items() if who[:2] not in found}
+        if live or found:
+            memories = [(*who, *memory) for who, memory in live.items()]
+            self.book.update((json.dumps(memories), json.dumps(list(found))))
+        else:
+            self.book.clear()
+        return out
 
 
 def confirm_stream(
-    sightings: DataFrame, threshold: float, params: EvidenceParams = EvidenceParams()
+    sightings: DataFrame,
+    threshold: float,
+    params: EvidenceParams = EvidenceParams(),
+    lateness: str = LATENESS,
+    origin_ms: int = 0,
+    retire: bool = False,
 ) -> DataFrame:
     """Events of a stream of sightings (schemas.SIGHTINGS): scored faces, plus one row without a
     target per frame, whose ticks stamp the losses.  Takes any parameters, also those that the
-    batch form refuses."""
-    use_rocksdb(sightings.sparkSession)
-    return sightings.groupBy("source_id").transformWithStateInPandas(
-        statefulProcessor=_Confirming(params, threshold),
-        outputStructType=schemas.EVENTS,
-        outputMode="Append",
-        timeMode="None",
-    )
+    batch form refuses.  With `retire` nothing comes after the frame that finds a target, as
+    from searches.retire_found on one source."""
+    processor = _Confirming(params, threshold, retire)
+    return _in_order(sightings, "source_id", processor, lateness, origin_ms, "captured_ms")
 
 
-class _Tracking(StatefulProcessor):
+class _Tracking(_InOrder):
     """Live tracks of one source."""
 
+    columns = ("frame_id", "captured_ms", "det_idx", *SIDES, "score")
+    kinds = ("BIGINT", "BIGINT", "BIGINT", *["DOUBLE"] * (len(SIDES) + 1))
+    output = schemas.TRACKS
+
     def __init__(self, params: TrackerParams):
         self.params = params
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.book = handle.getValueState("book", "frame_id BIGINT, next_id BIGINT, tracks STRING")
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.book = handle.getValueState("book", "next_id BIGINT, tracks STRING")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest, next_id, live = -1, 1, []
+    def release(self, key, rows: list[tuple], now: int) -> list[tuple]:
+        next_id, live = 1, []
         if self.book.exists():
-            newest, next_id, text = self.book.get()
+            next_id, text = self.book.get()
             live = json.loads(text)
-        columns = [*SIDES, "score"]
         out = []
-        for (frame, at), part in _frames(_gather(rows), newest, columns, ["det_idx"]):
-            found = [row[2:] for row in part if row[-1] == row[-1] and row[-1] is not None]
+        for (frame, at), part in groupby(rows, key=itemgetter(1, 2)):
+            found = [row[4:] for row in part if row[-1] is not None]
             live, next_id = advance(live, found, next_id, self.params)
             out += track_rows((key[0], frame, at), live)
-            newest = frame
-        self.book.update((newest, next_id, json.dumps(live)))
-        yield pd.DataFrame(out, columns=_names(schemas.TRACKS))
-
-    def close(self) -> None:
-        pass
+        self.book.update((next_id, json.dumps(live)))
+        return out
 
 
-def track_stream(detections: DataFrame, params: TrackerParams = TrackerParams()) -> DataFrame:
+def track_stream(
+    detections: DataFrame,
+    params: TrackerParams = TrackerParams(),
+    lateness: str = LATENESS,
+    origin_ms: int = 0,
+) -> DataFrame:
     """Tracks of a stream of detections (schemas.DETECTIONS); a detector run that found nothing
     is a row without score."""
-    use_rocksdb(detections.sparkSession)
-    return detections.groupBy("source_id").transformWithStateInPandas(
-        statefulProcessor=_Tracking(params),
-        outputStructType=schemas.TRACKS,
-        outputMode="Append",
-        timeMode="None",
+    return _in_order(
+        detections, "source_id", _Tracking(params), lateness, origin_ms, "captured_ms"
     )
 
 
-class _Outages(StatefulProcessor):
+class _Outages(_InOrder):
     """When a source falls silent and when it is back."""
 
+    columns = ("captured_ms",)
+    kinds = ("BIGINT",)
+    output = "source_id BIGINT, at_ms BIGINT, status STRING"
+
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "last_ms BIGINT, lost BOOLEAN")
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "last_at BIGINT, last_ms BIGINT, lost BOOLEAN")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(int(t) for t in _gather(rows)["captured_ms"])
+    def next_due(self) -> int | None:
+        if not self.seen.exists():
+            return None
+        last_at, _, lost = self.seen.get()
+        return None if lost else last_at + self.gap_ms + 1
+
+    def release(self, key, rows: list[tuple], now: int) -> list[tuple]:
+        last_at, last, lost = self.seen.get() if self.seen.exists() else (None, None, False)
         out = []
-        last, lost = self.seen.get() if self.seen.exists() else (None, False)
-        for at in times:
-            if last is None:
-                out.append((key[0], at, "running"))
-            elif at <= last:
-                continue
-            elif lost or at - last > self.gap_ms:
-                if not lost:
+        for at, ms in rows:
+            if last is None or lost or ms - last > self.gap_ms:
+                if last is not None and not lost:
                     out.append((key[0], last + self.gap_ms, "source_lost"))
-                out.append((key[0], at, "running"))
+                out.append((key[0], ms, "running"))
                 lost = False
-            last = at
-        self._remind(last)
-        self.seen.update((last, lost))
-        yield pd.DataFrame(out, columns=["source_id", "at_ms", "status"])
+            last_at, last = at, ms
+        if last is not None and not lost and now > last_at + self.gap_ms:
+            out.append((key[0], last + self.gap_ms, "source_lost"))
+            lost = True
+        if last is not None:
+            self.seen.update((last_at, last, lost))
+        return out
 
-    def _remind(self, last: int) -> None:
-        for due in list(self.handle.listTimers()):
-            self.handle.deleteTimer(due)
-        self.handle.registerTimer(last + self.gap_ms + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, lost = self.seen.get()
-        out = [] if lost else [(key[0], last + self.gap_ms, "source_lost")]
-        self.seen.update((last, True))
-        yield pd.DataFrame(out, columns=["source_id", "at_ms", "status"])
+def outage_stream(
+    frames: DataFrame, gap_ms: int, lateness: str = LATENESS, origin_ms: int = 0
+) -> DataFrame:
+    """running / source_lost transitions of a frame stream.  A silent source is reported once
+    the watermark has passed its gap."""
+    return _in_order(frames, "source_id", _Outages(gap_ms), lateness, origin_ms, "captured_ms")
 
-    def close(self) -> None:
-        pass
 
+class _Ending(_InOrder):
+    """Completion or timeout of one search, whichever comes first; its state goes with it."""
 
-def outage_stream(frames: DataFrame, gap_ms: int, lateness: str = LATENESS) -> DataFrame:
-    """running / source_lost transitions of a frame stream (with captured_at, the event time).
-    A silent source is reported once the watermark has passed its gap."""
-    use_rocksdb(frames.sparkSession)
-    return (
-        frames.withWatermark("captured_at", lateness)
-        .groupBy("source_id")
-        .transformWithStateInPandas(
-            statefulProcessor=_Outages(gap_ms),
-            outputStructType="source_id BIGINT, at_ms BIGINT, status STRING",
-            outputMode="Append",
-            timeMode="EventTime",
-        )
+    columns = ("at_ms", "kind", "target_id", "total_count", "timeout_ms")
+    kinds = ("BIGINT", "STRING", "BIGINT", "BIGINT", "BIGINT")
+    output = (
+        "search_id BIGINT, ended_at BIGINT, status STRING,"
+        " found_count BIGINT, total_count BIGINT"
     )
 
-
-class _Ending(StatefulProcessor):
-    """Completion or timeout of one search, whichever comes first."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.search = handle.getValueState(
-            "search", "due_ms BIGINT, total BIGINT, found STRING, done BOOLEAN"
+            "search", "due_at BIGINT, due_ms BIGINT, total BIGINT, found STRING, done BOOLEAN"
         )
 
-    def _row(self, key, at, status, found, total):
-        names = ["search_id", "ended_at", "status", "found_count", "total_count"]
-        return pd.DataFrame([(key[0], at, status, len(found), total)], columns=names)
+    def next_due(self) -> int | None:
+        if not self.search.exists():
+            return None
+        due_at, *_, done = self.search.get()
+        return None if done else due_at
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        due, total, text, done = (
-            self.search.get() if self.search.exists() else (None, None, "[]", False)
+    def release(self, key, rows: list[tuple], now: int) -> list[tuple]:
+        due_at, due, total, text, done = (
+            self.search.get() if self.search.exists() else (None, None, None, "[]", False)
         )
-        found = set(json.loads(text))
-        pdf = _gather(rows)
-        pdf["_start"] = pdf["kind"] != "started"
-        for r in pdf.sort_values(["at_ms", "_start"]).itertuples():
-            if r.kind == "started" and total is None:
-                total = int(r.total_count)
-                if not pd.isna(r.timeout_ms):
-                    due = int(r.at_ms + r.timeout_ms)
-                    self.handle.registerTimer(due)
+        found, out = set(json.loads(text)), []
+        # The start of a search comes before its frames of the same time.
+        for at, ms, kind, target, count, timeout in sorted(
+            rows, key=lambda r: (r[0], r[2] != "started")
+        ):
+            if kind == "started" and total is None:
+                total = count
+                if timeout is not None:
+                    due_at, due = at + timeout, ms + timeout
             if done or total is None:
                 continue
-            if due is not None and r.at_ms >= due:
+            if due is not None and ms >= due:
                 done = True
-                yield self._row(key, due, "timed_out", found, total)
-            elif r.kind == "confirmed":
-                found.add(int(r.target_id))
+                out.append((key[0], due, "timed_out", len(found), total))
+            elif kind == "confirmed":
+                found.add(target)
                 if len(found) == total:
                     done = True
-                    yield self._row(key, int(r.at_ms), "completed", found, total)
-        self.search.update((due, total, json.dumps(sorted(found)), done))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due, total, text, done = self.search.get()
-        if not done:
-            self.search.update((due, total, text, True))
-            yield self._row(key, due, "timed_out", json.loads(text), total)
-
-    def close(self) -> None:
-        pass
+                    out.append((key[0], ms, "completed", len(found), total))
+        if not done and due_at is not None and now >= due_at:
+            done = True
+            out.append((key[0], due, "timed_out", len(found), total))
+        if total is not None:
+            self.search.update((due_at, due, total, "[]" if done else json.dumps(sorted(found)), done))
+        return out
 
 
-def outcome_stream(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """How each search ends, from a stream of (search_id, kind, at, at_ms, target_id,
-    total_count, timeout_ms) with kind started, frame or confirmed; `at` is the event time."""
-    use_rocksdb(log.sparkSession)
-    return (
-        log.withWatermark("at", lateness)
-        .groupBy("search_id")
-        .transformWithStateInPandas(
-            statefulProcessor=_Ending(),
-            outputStructType=(
-                "search_id BIGINT, ended_at BIGINT, status STRING,"
-                " found_count BIGINT, total_count BIGINT"
-            ),
-            outputMode="Append",
-            timeMode="EventTime",
-        )
-    )
+def outcome_stream(log: DataFrame, lateness: str = LATENESS, origin_ms: int = 0) -> DataFrame:
+    """How each search ends, from a stream of (search_id, kind, at_ms, target_id,
+    total_count, timeout_ms) with kind started, frame or confirmed."""
+    return _in_order(log, "search_id", _Ending(), lateness, origin_ms, "at_ms")
 
 
 def dedupe_stream(requests: DataFrame, time: str, lateness: str = LATENESS) -> DataFrame:
@@ -278,11 +362,9 @@ def dedupe_stream(requests: DataFrame, time: str, lateness: str = LATENESS) -> D
 def as_sightings(scored: DataFrame, frames: DataFrame) -> DataFrame:
     """Scored faces and the frame log as one table for confirm_stream."""
     columns = _names(schemas.SIGHTINGS)
-    at = F.timestamp_millis(F.col("captured_ms"))
-    faces = scored.withColumn("captured_at", at)
-    ticks = frames.withColumn("captured_at", at)
-    return (
-        ticks.select("source_id", "frame_id", "captured_ms", "captured_at")
-        .unionByName(faces.select(*columns), allowMissingColumns=True)
-        .select(*columns)
-    )
+    at = F.timestamp_millis(F.col("captured_ms")).alias("captured_at")
+    faces = scored.select(*[c for c in columns if c in scored.columns and c != "captured_at"], at)
+    ticks = frames.select(
+        F.lit(None).cast("bigint").alias("search_id"), "source_id", "frame_id", "captured_ms", at
+    ).distinct()
+    return ticks.unionByName(faces, allowMissingColumns=True).select(*columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from sightmatch import schemas
 from sightmatch.operators import evidence, searches, tracking
 from sightmatch.params import EvidenceParams
@@ -19,11 +21,12 @@ def drain(stream, tmp_path, name):
     return stream.sparkSession.read.parquet(str(tmp_path / name))
 
 
-def in_files(df, path, split):
-    """Frames in ascending files; file age orders the micro-batches."""
-    for low, high in split:
-        df.where(f"frame_id >= {low} AND frame_id < {high}").coalesce(1).write.mode("append").parquet(path)
-        time.sleep(1.1)
+def in_files(df, path, key, n=8):
+    """Rows dealt over n files at random, then a file whose row lets the watermark pass them."""
+    df.repartition(n).write.parquet(path)
+    later = {key: -1, "captured_ms": 100_000_000}
+    last = df.sparkSession.range(1).select(*[F.lit(later.get(c)).cast(k).alias(c) for c, k in df.dtypes])
+    last.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -46,11 +49,10 @@ def test_confirm_stream(spark, tmp_path):
         seen, "target_id BIGINT, source_id BIGINT, track_id BIGINT, frame_id BIGINT, captured_ms BIGINT, similarity DOUBLE, quality DOUBLE"
     )
     log = spark.createDataFrame(log, "source_id BIGINT, frame_id BIGINT, captured_ms BIGINT")
-    path = in_files(streams.as_sightings(seen, log), str(tmp_path / "in"), [(0, 30), (30, 61), (61, 90)])
+    path = in_files(streams.as_sightings(seen, log), str(tmp_path / "in"), "source_id")
     params = EvidenceParams(required=2)
-    got = drain(
-        streams.confirm_stream(readers.stream_frames(spark, path, schemas.SIGHTINGS, 1), 0.3, params), tmp_path, "events"
-    )
+    stream = readers.stream_frames(spark, path, schemas.SIGHTINGS, 1)
+    got = drain(streams.confirm_stream(stream, 0.3, params, "1 hour"), tmp_path, "events").drop("search_id")
     want = evidence.confirm(seen, log, params, 0.3)
     assert {"lost", "confirmed"} <= {r.state for r in want.select("state").distinct().collect()}
     assert same(got, want)
@@ -63,8 +65,9 @@ def test_track_stream(spark, tmp_path):
         for s in (1, 2) for f in range(60) for d in range(3) if rng.random() < 0.8 or d == 0
     ]
     found = spark.createDataFrame(rows, schemas.DETECTIONS)
-    path = in_files(found, str(tmp_path / "in"), [(0, 25), (25, 60)])
-    got = drain(streams.track_stream(readers.stream_frames(spark, path, schemas.DETECTIONS, 1)), tmp_path, "tracks")
+    path = in_files(found, str(tmp_path / "in"), "source_id")
+    stream = readers.stream_frames(spark, path, schemas.DETECTIONS, 1)
+    got = drain(streams.track_stream(stream, lateness="1 hour", origin_ms=1), tmp_path, "tracks")
     ticks = found.select("source_id", "frame_id", "captured_ms").distinct()
     assert same(got, tracking.track(ticks, found))
 
@@ -86,38 +89,55 @@ def test_outages_and_silence(spark, tmp_path):
     assert [t for t in batch if t not in told] == []
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    path = str(tmp_path / "in")
+    kinds = "source_id BIGINT, captured_ms BIGINT"
+    for at in (100_000, 200_000, 300_000, 110_000, 400_000):
+        spark.createDataFrame([(1, at)], kinds).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.1)
+    stream = streams.outage_stream(readers.stream_frames(spark, path, kinds, 1), 1000, "10 seconds")
+    query = sinks.write_event_log(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+    query.awaitTermination()
+    assert streams.late_rows(query) == 1
+    starts = {r.at_ms for r in spark.read.parquet(str(tmp_path / "out")).where("status = 'running'").collect()}
+    assert starts == {100_000, 200_000, 300_000}
+
+
 def test_live_chain(spark, tmp_path):
-    """Frames to sightings to events, against the batch pipeline on the same rows."""
+    """Frames to sightings to events, against the batch pipeline on the same rows. Two searches
+    share a source and a target id."""
     rng = random.Random(9)
     targets = spark.createDataFrame(
-        [(1, 10, 0, [1.0, 0.0]), (1, 11, 1, [0.0, 1.0])],
+        [(1, 10, 0, [1.0, 0.0]), (1, 11, 1, [0.0, 1.0]), (2, 10, 0, [0.0, 1.0])],
         "search_id BIGINT, target_id BIGINT, target_ord INT, embedding ARRAY<FLOAT>",
     )
     rows = []
     for frame in range(50):
         at = 1_000_000 + frame * 210 + (6000 if frame > 25 else 0)
-        faces = [
-            (i, 20.0 + 200 * i, 20.0, 40.0 + 200 * i, 40.0, rng.random(), rng.random() < 0.9,
-             [0.9, 0.1] if rng.random() < 0.5 + i / 3 else [0.2, 0.95])
-            for i in range(2) if rng.random() < 0.9
-        ]
-        tracks = [(1, 0.0, 0.0, 100.0, 200.0), (2, 200.0, 0.0, 300.0, 200.0)]
-        rows.append((1, 5, frame, at, faces, tracks))
+        for search in (1, 2):
+            faces = [
+                (i, 20.0 + 200 * i, 20.0, 40.0 + 200 * i, 40.0, rng.random(), rng.random() < 0.9,
+                 [0.9, 0.1] if rng.random() < 0.5 + i / 3 else [0.2, 0.95])
+                for i in range(2) if rng.random() < 0.5
+            ]
+            tracks = [(1, 0.0, 0.0, 100.0, 200.0), (2, 200.0, 0.0, 300.0, 200.0)] if search == 1 else []
+            rows.append((search, 5, frame, at, faces, tracks))
     table = spark.createDataFrame(rows, live.SEEN_FRAMES)
-    path = in_files(table, str(tmp_path / "in"), [(0, 20), (20, 50)])
+    path = in_files(table, str(tmp_path / "in"), "source_id", 4)
     stream = readers.stream_frames(spark, path, live.SEEN_FRAMES, 1)
     seen, out = str(tmp_path / "seen"), str(tmp_path / "events")
-    live.store_sightings(stream, targets, 0.5, seen, str(tmp_path / "ck1")).awaitTermination()
-    live.store_events(spark, seen, 0.5, out, str(tmp_path / "ck2")).awaitTermination()
+    # Faces and tracks of a frame must meet in one batch; here each frame is one row per search.
+    frames = stream.where("source_id IS NOT NULL")
+    live.store_sightings(frames, targets, 0.5, seen, str(tmp_path / "ck1")).awaitTermination()
+    live.store_events(spark, seen, 0.5, out, str(tmp_path / "ck2"), lateness="1 hour").awaitTermination()
     got = spark.read.parquet(out)
 
     keys = ["search_id", "source_id", "frame_id", "captured_ms"]
-    found = pipelines.sightings(
-        table.selectExpr(*keys, "inline(faces)"),
-        table.selectExpr("source_id", "frame_id", "inline(tracks)"),
-        targets,
-        0.5,
-    )
-    want = evidence.confirm(found, table, threshold=0.5).drop("search_id")
-    assert {"candidate", "confirmed", "lost"} == {r.state for r in got.select("state").distinct().collect()}
-    assert same(got, want)
+    stored = spark.read.schema(schemas.SIGHTINGS).parquet(f"{seen}/batch=*").where("source_id = 5")
+    found = stored.where("target_id IS NOT NULL")
+    assert {r.search_id for r in found.select("search_id").distinct().collect()} >= {1}
+    ticks = table.select(*keys).drop("search_id").distinct()
+    want = searches.retire_found(evidence.confirm(found, ticks, threshold=0.5))
+    told = {(r.state, r.search_id) for r in got.collect()}
+    assert ("candidate", 1) in told and ("confirmed", 1) in told and "lost" not in {s for s, _ in told}
+    assert same(got.select(*want.columns), want)
