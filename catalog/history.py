@@ -129,8 +129,8 @@ _LIVE = {
     **state_views([0.20], 3, "seen_live"),
     "live": """
  SELECT t.* FROM told t LEFT JOIN (
-   SELECT target_id, min(frame_id) AS first FROM told WHERE state = 'confirmed' GROUP BY target_id) f USING (target_id)
- WHERE f.first IS NULL OR t.frame_id <= f.first""",
+   SELECT target_id, min(captured_ms) AS first FROM told WHERE state = 'confirmed' GROUP BY target_id) f USING (target_id)
+ WHERE f.first IS NULL OR t.captured_ms <= f.first""",
 }
 
 
@@ -322,8 +322,8 @@ def retire_found(spark, sf):
 
 _RETIRED = """
  SELECT e.* FROM search_events e LEFT JOIN (
-   SELECT search_id, target_id, min(frame_id) AS first FROM search_events WHERE state = 'confirmed' GROUP BY ALL) f
- USING (search_id, target_id) WHERE f.first IS NULL OR e.frame_id <= f.first"""
+   SELECT search_id, target_id, min(captured_ms) AS first FROM search_events WHERE state = 'confirmed' GROUP BY ALL) f
+ USING (search_id, target_id) WHERE f.first IS NULL OR e.captured_ms <= f.first"""
 
 
 def unfound_targets(spark, sf):
@@ -390,7 +390,7 @@ _OUTCOMES = """
    SELECT t.search_id, count(*) AS total_count, count(f.at) AS found_count, max(f.at) AS last_found,
      coalesce(string_agg(CASE WHEN f.at IS NULL THEN t.target_id END, ',' ORDER BY t.target_id), '') AS unfound
    FROM search_targets t LEFT JOIN (
-     SELECT e.search_id, e.target_id, max(e.captured_ms) AS at FROM search_events e JOIN search_list l USING (search_id)
+     SELECT e.search_id, e.target_id, min(e.captured_ms) AS at FROM search_events e JOIN search_list l USING (search_id)
      WHERE state = 'confirmed' AND (timeout_ms IS NULL OR captured_ms < timeout_ms) GROUP BY ALL) f
    USING (search_id, target_id) GROUP BY t.search_id) c USING (search_id)"""
 
@@ -410,12 +410,12 @@ def _found(spark, sf):
 
 def terminal_events(spark, sf):
     events = searches.terminal_events(_outcomes(spark, sf), _found(spark, sf))
-    log = eventlog.to_event_log(events, ["phase", "ord"], ["detail"])
+    log = eventlog.to_event_log(events, ["phase", "ord", "sub_ord"], ["detail"])
     return log.drop("event_id", "data")
 
 
 _FOUND = """
- SELECT r.search_id, r.target_id, r.frame_id FROM retired r JOIN search_targets USING (search_id, target_id)
+ SELECT r.search_id, r.target_id, r.captured_ms FROM retired r JOIN search_targets USING (search_id, target_id)
  JOIN search_list l USING (search_id)
  WHERE state = 'confirmed' AND (timeout_ms IS NULL OR captured_ms < timeout_ms)"""
 
@@ -652,9 +652,9 @@ QUERIES = {
         v.sql(
             f"""
  SELECT '1' AS schema_version, search_id, type, ended AS occurred_at,
-   row_number() OVER (PARTITION BY search_id ORDER BY phase, frame_id, target_id) AS seq FROM (
-   SELECT search_id, 'search_status' AS type, {_ENDED_AT} AS ended, 1 AS phase, 0 AS frame_id, 0 AS target_id FROM outcomes
-   UNION ALL SELECT search_id, 'target_found', {_ENDED_AT}, 2, f.frame_id, f.target_id FROM found f JOIN outcomes USING (search_id)
+   row_number() OVER (PARTITION BY search_id ORDER BY phase, at_ms, target_id) AS seq FROM (
+   SELECT search_id, 'search_status' AS type, {_ENDED_AT} AS ended, 1 AS phase, 0 AS at_ms, 0 AS target_id FROM outcomes
+   UNION ALL SELECT search_id, 'target_found', {_ENDED_AT}, 2, f.captured_ms, f.target_id FROM found f JOIN outcomes USING (search_id)
    UNION ALL SELECT search_id, CASE WHEN complete THEN 'all_found' ELSE 'search_timeout' END, {_ENDED_AT}, 3, 0, 0
    FROM outcomes WHERE complete OR late)""",
             retired=_RETIRED,

@@ -62,14 +62,15 @@ def active_searches(views: DataFrame) -> DataFrame:
 
 
 def retire_found(events: DataFrame) -> DataFrame:
-    """Events of a live search: nothing about a target after the frame that first confirms it.
+    """Events of a live search: nothing about a target after the time that first confirms it.
 
-    Confirmations of several tracks on that frame all stay.
+    Confirmations of several tracks at that time all stay.  Times compare over sources, frame
+    numbers do not.
     """
-    first = _confirmed(events).groupBy(*TARGET).agg(F.min("frame_id").alias("_found"))
+    first = _confirmed(events).groupBy(*TARGET).agg(F.min("captured_ms").alias("_found"))
     return (
         events.join(first, TARGET, "left")
-        .where(F.col("_found").isNull() | (F.col("frame_id") <= F.col("_found")))
+        .where(F.col("_found").isNull() | (F.col("captured_ms") <= F.col("_found")))
         .drop("_found")
     )
 
@@ -124,8 +125,9 @@ def search_view(searches: DataFrame, targets: DataFrame, events: DataFrame) -> D
 def search_outcomes(searches: DataFrame, targets: DataFrame, events: DataFrame) -> DataFrame:
     """How each search(search_id, started_ms, timeout_ms, ended_ms) ends.
 
-    A timeout is checked before a frame, so confirmations at or after it do not count.
-    `ended_ms` is the last frame of the log.
+    A timeout is checked before a frame, so confirmations at or after it do not count.  A target
+    is found by its first confirmation, and the last target found ends the search.
+    `ended_ms` is the last frame of the log.  A search without targets is never complete.
     """
     due = F.col("started_ms") + F.col("timeout_ms")
     limits = searches.select("search_id", due.alias("_due"))
@@ -134,7 +136,7 @@ def search_outcomes(searches: DataFrame, targets: DataFrame, events: DataFrame)
         .join(limits, "search_id")
         .where(F.col("_due").isNull() | (F.col("captured_ms") < F.col("_due")))
     )
-    found = in_time.groupBy(*TARGET).agg(F.max("captured_ms").alias("_found_at"))
+    found = in_time.groupBy(*TARGET).agg(F.min("captured_ms").alias("_found_at"))
     totals = (
         targets.join(found, TARGET, "left")
         .groupBy("search_id")
@@ -147,14 +149,14 @@ def search_outcomes(searches: DataFrame, targets: DataFrame, events: DataFrame)
             ).alias("unfound_target_ids"),
         )
     )
-    complete = F.col("found_count") == F.col("total_count")
+    complete = F.coalesce(F.col("found_count") == F.col("total_count"), F.lit(False))
     late = F.col("ended_ms") >= due
     status = (
         F.when(complete, F.lit("completed"))
         .when(late, F.lit("timed_out"))
         .otherwise("stopped")
     )
-    return searches.join(totals, "search_id").select(
+    return searches.join(totals, "search_id", "left").select(
         "search_id",
         status.alias("status"),
         F.when(complete, F.lit("all_found"))
@@ -164,8 +166,8 @@ def search_outcomes(searches: DataFrame, targets: DataFrame, events: DataFrame)
         .when(late, due)
         .otherwise(F.col("ended_ms"))
         .alias("ended_at"),
-        "found_count",
-        "total_count",
+        F.coalesce("found_count", F.lit(0)).alias("found_count"),
+        F.coalesce("total_count", F.lit(0)).alias("total_count"),
         "unfound_target_ids",
     )
 
@@ -173,8 +175,8 @@ def search_outcomes(searches: DataFrame, targets: DataFrame, events: DataFrame)
 def terminal_events(outcomes: DataFrame, found: DataFrame) -> DataFrame:
     """What is published at the end: the status, each target_found, then how it came out.
 
-    Columns (search_id, type, occurred_at, phase, ord, detail); number them by
-    (occurred_at, phase, ord).
+    Columns (search_id, type, occurred_at, phase, ord, sub_ord, detail); number them by
+    (occurred_at, phase, ord, sub_ord): found targets by time, then target order.
     """
     status = outcomes.select(
         "search_id",
@@ -182,6 +184,7 @@ def terminal_events(outcomes: DataFrame, found: DataFrame) -> DataFrame:
         F.col("ended_at").alias("occurred_at"),
         F.lit(1).alias("phase"),
         F.lit(0).cast("bigint").alias("ord"),
+        F.lit(0).cast("bigint").alias("sub_ord"),
         F.col("status").alias("detail"),
     )
     ends = outcomes.select("search_id", F.col("ended_at").alias("occurred_at"))
@@ -190,8 +193,8 @@ def terminal_events(outcomes: DataFrame, found: DataFrame) -> DataFrame:
         F.lit("target_found").alias("type"),
         "occurred_at",
         F.lit(2).alias("phase"),
-        # Publishing order: by frame, then target order.
-        (F.col("frame_id") * 1_000_000 + F.col("target_ord")).alias("ord"),
+        F.col("captured_ms").cast("bigint").alias("ord"),
+        F.col("target_ord").cast("bigint").alias("sub_ord"),
         F.col("target_id").cast("string").alias("detail"),
     )
     final = outcomes.where("event_type IS NOT NULL").select(
@@ -200,6 +203,7 @@ def terminal_events(outcomes: DataFrame, found: DataFrame) -> DataFrame:
         F.col("ended_at").alias("occurred_at"),
         F.lit(3).alias("phase"),
         F.lit(0).cast("bigint").alias("ord"),
+        F.lit(0).cast("bigint").alias("sub_ord"),
         F.when(
             F.col("event_type") == "search_timeout", F.array_join("unfound_target_ids", ",")
         ).alias("detail"),

@@ -159,7 +159,7 @@ def test_last_box_of_the_track(spark):
 
 def test_retired_target_keeps_the_whole_frame(spark):
     rows = [(1, 1, 4, "candidate"), (1, 1, 5, "confirmed"), (1, 1, 5, "confirmed"), (1, 1, 6, "lost"), (1, 2, 9, "candidate")]
-    table = spark.createDataFrame(rows, "search_id BIGINT, target_id BIGINT, frame_id BIGINT, state STRING")
+    table = spark.createDataFrame(rows, "search_id BIGINT, target_id BIGINT, captured_ms BIGINT, state STRING")
     kept = searches.retire_found(table)
-    assert sorted(r.frame_id for r in kept.collect()) == [4, 5, 5, 9]
+    assert sorted(r.captured_ms for r in kept.collect()) == [4, 5, 5, 9]
     assert searches.target_found_events(kept).agg(F.count("*")).first()[0] == 2
