@@ -32,7 +32,8 @@ def _run_model(
     images: DataFrame, keys: list[str], factory: Callable[[], Callable], fields: list
 ) -> DataFrame:
     """One output row per thing the model sees.  The factory is called once per task and
-    returns a function from an (height, width, channels) BGR array to a list of dicts."""
+    returns a function from an (height, width, channels) BGR array to a list of dicts.  Pictures
+    that could not be decoded (null) give no rows."""
     schema = T.StructType([*[images.schema[k] for k in keys], *fields])
     names = [f.name for f in fields]
 
@@ -41,6 +42,8 @@ def _run_model(
         for pdf in batches:
             out = []
             for *key, height, width, channels, data in pdf.itertuples(index=False, name=None):
+                if data is None:  # could not be decoded; its error_code stays with the photos
+                    continue
                 shape = (int(height), int(width), int(channels))
                 pixels = np.frombuffer(data, np.uint8).reshape(shape)
                 known = dict(zip(keys, key, strict=True))

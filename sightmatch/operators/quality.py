@@ -162,7 +162,8 @@ def crop_metrics(faces: DataFrame, images: DataFrame, on: list[str]) -> DataFram
 
     `images` holds one decoded picture per key in an `image` struct as Spark's image source
     gives it (height, width, nChannels, data in BGR order).  The join spreads by image, so
-    the pixels of one picture meet only its own faces, a batch at a time.
+    the pixels of one picture meet only its own faces, a batch at a time.  Faces whose picture
+    is missing or could not be decoded get nulls.
     """
     joined = faces.join(
         images.select(
@@ -173,6 +174,7 @@ def crop_metrics(faces: DataFrame, images: DataFrame, on: list[str]) -> DataFram
             F.col("image.data").alias("_data"),
         ),
         on,
+        "left",
     )
     kept = [c for c in faces.columns if c not in ("blur_variance", "brightness")]
     schema = T.StructType(
@@ -192,6 +194,9 @@ def crop_metrics(faces: DataFrame, images: DataFrame, on: list[str]) -> DataFram
             for (x1, y1, x2, y2), h, w, c, data in zip(
                 boxes_, pdf["_h"], pdf["_w"], pdf["_c"], pdf["_data"], strict=True
             ):
+                if data is None:
+                    stats.append((None, None, None, None))
+                    continue
                 left, top = max(0, int(x1)), max(0, int(y1))
                 wide = max(0, min(int(w), int(x2)) - left)
                 tall = max(0, min(int(h), int(y2)) - top)
@@ -204,7 +209,8 @@ def crop_metrics(faces: DataFrame, images: DataFrame, on: list[str]) -> DataFram
                 stats.append((wide, tall, *_crop_stats(gray)))
             out = pdf[kept].copy()
             names = ["face_width", "face_height", "blur_variance", "brightness"]
-            out[names] = pd.DataFrame(stats, columns=names, index=out.index)
+            found = pd.DataFrame(stats, columns=names, index=out.index, dtype="Float64")
+            out[names] = found.astype({"face_width": "Int32", "face_height": "Int32"})
             yield out
 
     return joined.mapInPandas(look, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sightmatch import schemas
+from sightmatch.functions import text
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +115,7 @@ def read_manifest(
         F.col("c.id").alias("case_id"),
         _resolve(base, F.col("c.photo")).alias("photo"),
         _resolve(base, F.col("c.video")).alias("video"),
-        F.trim("c.target_name").alias("target_name"),
+        text.strip(F.col("c.target_name")).alias("target_name"),
     )
     intervals = listed.select(
         F.col("c.id").alias("case_id"),

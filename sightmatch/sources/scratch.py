@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a new local one only where none is named."""
+    """The folder named in spark.checkpoint.dir; where none is named, a new local one if all work
+    is done in this process, else an error, since executors would not see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

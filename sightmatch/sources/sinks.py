@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sightmatch.params import EvalCriteria
@@ -11,9 +12,24 @@ from sightmatch.params import EvalCriteria
 REPORT_VERSION = 1
 
 
+def _vectors(kind: T.DataType, path: str) -> list[str]:
+    """Places in a schema that are called embedding or hold arrays of single precision numbers."""
+    if isinstance(kind, T.StructType):
+        named = [f"{path}.{f.name}" for f in kind if f.name == "embedding"]
+        return named + [p for f in kind for p in _vectors(f.dataType, f"{path}.{f.name}")]
+    if isinstance(kind, T.ArrayType):
+        own = [path] if isinstance(kind.elementType, T.FloatType) else []
+        return own + _vectors(kind.elementType, f"{path}[]")
+    if isinstance(kind, T.MapType):
+        return _vectors(kind.keyType, f"{path}.key") + _vectors(kind.valueType, f"{path}.value")
+    return []
+
+
 def without_vectors(df: DataFrame) -> DataFrame:
-    if "embedding" in df.columns:
-        raise ValueError("vectors must not be written out")
+    """df itself; an error if a vector is anywhere in it, however deeply nested."""
+    found = _vectors(df.schema, "")
+    if found:
+        raise ValueError(f"vectors must not be written out: {', '.join(p.lstrip('.') for p in found)}")
     return df
 
 
