@@ -6,26 +6,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightmatch.functions import vectors as v
 from sightmatch.params import check_thresholds
+from sightmatch.sources.scratch import cut
 
-# A gallery up to this size goes to every executor as one matrix; a larger one is joined.
-BROADCAST_BYTES = 256 * 1024 * 1024
-BLOCK_TARGETS = 256
-SALTS = 32
+# A gallery up to this size goes to every executor as one matrix; a larger one is joined in
+# blocks of about this many bytes, and so many faces at most share a task.
+BROADCAST_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 8 * 1024 * 1024
+FACES_PER_TASK = 500_000
 
 # Scores closer than this are summed again in one fixed order, so that equal targets tie.
 _NEAR = 1e-9
 
+FACE = ["search_id", "source_id", "frame_id", "face_idx"]
+_GALLERY = ["search_id", "_size"]
+
+
+def gallery_bytes(targets: DataFrame) -> int:
+    """Size of the matrices of all searches together."""
+    return targets.agg(F.sum(F.size("embedding").cast("bigint") * 8 + 64)).first()[0] or 0
+
 
-def gallery_fits(targets: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the matrices of all searches together stay under the byte limit."""
-    size = targets.agg(F.sum(F.size("embedding").cast("bigint") * 8 + 64)).first()[0]
-    return (size or 0) <= limit
+def _with_size(rows: DataFrame) -> DataFrame:
+    """Rows of a search whose vector is there and whole, with its length: only equal lengths are
+    compared."""
+    whole = F.forall("embedding", lambda x: x.isNotNull()) & (F.size("embedding") > 0)
+    usable = F.col("search_id").isNotNull() & F.coalesce(whole, F.lit(False))
+    return rows.where(usable).withColumn("_size", F.size("embedding"))
 
 
 def best_target(
@@ -36,149 +48,172 @@ def best_target(
     faces(search_id, source_id, frame_id, face_idx, embedding, ...),
     targets(search_id, target_id, target_ord, embedding).  Returns the face columns without
     the vector, plus target_id, target_ord, similarity.  No pair table arises: a face meets
-    its gallery inside the task and leaves as one row.
+    its gallery inside the task and leaves as one row.  Faces without a whole vector, or without a
+    target whose vector is as long, give no row.  Both ways score with the same code.
     """
-    targets = targets.select(
-        "search_id",
-        F.col("target_id"),
-        F.col("target_ord").cast("bigint").alias("target_ord"),
-        "embedding",
+    targets = _with_size(
+        targets.select(
+            "search_id",
+            "target_id",
+            F.col("target_ord").cast("bigint").alias("target_ord"),
+            "embedding",
+        )
     )
     if broadcast is None:
-        broadcast = gallery_fits(targets)
-    return _by_matrix(faces, targets) if broadcast else _by_blocks(faces, targets)
-
-
-def _by_matrix(faces: DataFrame, targets: DataFrame) -> DataFrame:
-    """Gallery under the size limit: no shuffle of the faces, one product per batch."""
-    rows = targets.orderBy("search_id", "target_ord").collect()
-    galleries: dict = {}
-    for row in rows:
-        galleries.setdefault(row.search_id, []).append(row)
-    matrices = {
-        search: (
-            np.array([r.embedding for r in members], dtype=np.float64),
-            np.array([r.target_ord for r in members], dtype=np.int64),
-            [r.target_id for r in members],
-        )
-        for search, members in galleries.items()
-    }
-    shipped = faces.sparkSession.sparkContext.broadcast(matrices)
+        broadcast = gallery_bytes(targets) <= BROADCAST_BYTES
     kept = [c for c in faces.columns if c != "embedding"]
-    id_field = T.StructField("target_id", targets.schema["target_id"].dataType)
-    schema = T.StructType(
-        [faces.schema[c] for c in kept]
-        + [
-            id_field,
+    found = T.StructType(
+        [
+            *[faces.schema[c] for c in kept],
+            T.StructField("target_id", targets.schema["target_id"].dataType),
             T.StructField("target_ord", T.LongType()),
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    id_type = _arrow_type(id_field)
+    way = _by_matrix if broadcast else _by_blocks
+    return way(_with_size(faces), targets, kept, found)
+
+
+class _Gallery:
+    """The targets of one search, by target_ord, and the best of them for faces."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("target_ord")
+        self.ids = rows.column("target_id").combine_chunks()
+        self.ords = rows.column("target_ord").to_numpy()
+        self.matrix = _matrix(rows.column("embedding").combine_chunks(), rows.num_rows)
+
+    def best(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        scores = vectors @ self.matrix.T
+        best = scores.argmax(axis=1)
+        top = scores[np.arange(len(best)), best]
+        for i in np.flatnonzero((scores >= (top - _NEAR)[:, None]).sum(axis=1) > 1):
+            best[i] = (self.matrix * vectors[i]).sum(axis=1).argmax()
+        # Summed by row, so that the value does not depend on which rows were scored together.
+        return best, (vectors * self.matrix[best]).sum(axis=1)
+
+    def answer(self, faces: pa.RecordBatch, kept: list[str], names: list[str]) -> pa.RecordBatch:
+        best, top = self.best(_matrix(faces.column("embedding"), faces.num_rows))
+        columns = [faces.column(c) for c in kept]
+        columns += [self.ids.take(pa.array(best)), pa.array(self.ords[best]), pa.array(top)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _matrix(lists: pa.Array, n: int) -> np.ndarray:
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(n, -1).astype(np.float64)
+
+
+def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows) of each stretch of equal keys."""
+    codes = np.zeros(batch.num_rows, np.int64)
+    for key in keys:
+        column = batch.column(key).dictionary_encode()
+        own = column.indices.fill_null(len(column.dictionary)).to_numpy(zero_copy_only=False)
+        codes = codes * (len(column.dictionary) + 1) + own
+    edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(edges[:-1], edges[1:], strict=True):
+        if end > start:
+            part = batch.slice(start, end - start)
+            yield tuple(part.column(k)[0].as_py() for k in keys), part
+
+
+def _by_matrix(
+    faces: DataFrame, targets: DataFrame, kept: list[str], found: T.StructType
+) -> DataFrame:
+    """Gallery under the size limit: no shuffle of the faces, one product per batch and search."""
+    shipped = faces.sparkSession.sparkContext.broadcast(targets.toArrow())
+    galleries: dict = {}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not galleries:
+            for whole in shipped.value.sort_by([(k, "ascending") for k in _GALLERY]).combine_chunks().to_batches():
+                for key, rows in _runs(whole, _GALLERY):
+                    galleries[key] = _Gallery(pa.Table.from_batches([rows]))
         for batch in batches:
-            coded = batch.column("search_id").dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(codes, kind="stable")
-            found, ids, ords, sims = [], [], [], []
-            groups = np.split(order, np.flatnonzero(np.diff(codes[order])) + 1)
-            lists = batch.column("embedding")
-            for rows in groups:
-                search = coded.dictionary[int(codes[rows[0]])].as_py() if len(rows) else None
-                if search not in shipped.value:
-                    continue
-                matrix, target_ords, target_ids = shipped.value[search]
-                mine = lists if len(groups) == 1 else lists.take(pa.array(rows))
-                flat = mine.flatten().to_numpy(zero_copy_only=False)
-                best, top = _top1(flat.reshape(len(rows), -1).astype(np.float64), matrix)
-                found.append(rows)
-                ids += [target_ids[i] for i in best]
-                ords.append(target_ords[best])
-                sims.append(top)
-            if not found:
-                continue
-            mine = batch.take(pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays(
-                [mine.column(c) for c in kept]
-                + [
-                    pa.array(ids, id_type),
-                    pa.array(np.concatenate(ords)),
-                    pa.array(np.concatenate(sims)),
-                ],
-                names=schema.names,
-            )
-
-    return faces.mapInArrow(score, schema)
-
-
-def _top1(vectors: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    scores = vectors @ matrix.T
-    best = scores.argmax(axis=1)
-    top = scores[np.arange(len(best)), best]
-    for i in np.flatnonzero((scores >= (top - _NEAR)[:, None]).sum(axis=1) > 1):
-        again = (matrix * vectors[i]).sum(axis=1)
-        best[i], top[i] = again.argmax(), again.max()
-    return best, top
-
-
-def _arrow_type(field: T.StructField) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(field.dataType)
+            order = pa.compute.sort_indices(batch, [(k, "ascending") for k in _GALLERY])
+            for key, part in _runs(batch.take(order), _GALLERY):
+                if key in galleries:
+                    yield galleries[key].answer(part, kept, found.names)
 
+    return faces.mapInArrow(score, found)
 
-FACE = ["search_id", "source_id", "frame_id", "face_idx"]
-
-
-def _by_blocks(faces: DataFrame, targets: DataFrame) -> DataFrame:
-    """Gallery of any size: join on the search, the faces of a busy search spread over salts.
 
-    A block is at most BLOCK_TARGETS targets in one row; each face leaves a block as one row.
-    Only where a search has several blocks its faces' rows are reduced to the best (combined
-    before their shuffle).
-    """
-    rest = [c for c in faces.columns if c not in (*FACE, "embedding")]
-    numbered = targets.withColumn(
-        "_block", F.floor(F.col("target_ord") / F.lit(BLOCK_TARGETS))
+def _by_blocks(
+    faces: DataFrame, targets: DataFrame, kept: list[str], found: T.StructType
+) -> DataFrame:
+    """Gallery of any size. Each search's targets are cut into blocks and its faces into shares,
+    as many as their numbers ask for; a block and a share meet in one sorted run, the targets first,
+    so that faces are scored as they stream by. Only where a search has several blocks its
+    faces' rows are reduced to the best (combined before their shuffle)."""
+    row_bytes = F.col("_size").cast("bigint") * 8
+    blocks = targets.groupBy(*_GALLERY).agg(
+        F.ceil(F.count(F.lit(1)) * F.first(row_bytes) / BLOCK_BYTES).cast("int").alias("_blocks")
     )
-    blocks = (
-        numbered.groupBy("search_id", "_block")
-        .agg(
-            F.collect_list(F.struct("target_ord", "target_id", "embedding")).alias("_targets")
-        )
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shares = faces.groupBy(*_GALLERY).agg(
+        F.ceil(F.count(F.lit(1)) / FACES_PER_TASK).cast("int").alias("_shares")
     )
-    salted = faces.withColumn(
-        "_salt",
-        F.pmod(F.xxhash64("source_id", "frame_id", "face_idx"), F.lit(SALTS)).cast("int"),
+    plan = cut(blocks.join(shares, _GALLERY))
+    own = lambda columns, n: F.pmod(F.xxhash64(*columns), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    face = F.struct(*kept)
+    face_type = T.StructType([faces.schema[c] for c in kept])
+    id_type, vector_type = (targets.schema[c].dataType for c in ("target_id", "embedding"))
+    first = targets.join(plan, _GALLERY).select(
+        *_GALLERY,
+        own(["target_id", "target_ord"], "_blocks").alias("_block"),
+        every("_shares").alias("_share"),
+        "target_ord",
+        "target_id",
+        nothing(face_type).alias("face"),
+        "embedding",
     )
-    scored = F.transform(
-        "_targets",
-        lambda t: F.struct(
-            v.dot(F.col("embedding"), t["embedding"]).alias("similarity"),
-            (-t["target_ord"]).alias("rank"),
-            t["target_id"].alias("target_id"),
-        ),
+    then = faces.join(plan, _GALLERY).select(
+        *_GALLERY,
+        every("_blocks").alias("_block"),
+        own(FACE, "_shares").alias("_share"),
+        nothing("bigint").alias("target_ord"),
+        nothing(id_type).alias("target_id"),
+        face.alias("face"),
+        F.col("embedding").cast(vector_type).alias("embedding"),
     )
-    best = salted.join(blocks, ["search_id", "_salt"]).select(
-        *FACE, F.struct(F.array_max(scored).alias("best"), *rest).alias("_row")
+    meeting = [*_GALLERY, "_block", "_share"]
+    runs = (
+        first.unionByName(then)
+        .repartition(*meeting)
+        .sortWithinPartitions(*meeting, F.col("target_ord").asc_nulls_last())
     )
-    widest = numbered.groupBy("search_id").agg(
-        (F.max("_block") - F.min("_block")).alias("_span")
-    ).agg(F.max("_span"))
-    if widest.first()[0]:
-        best = best.groupBy(*FACE).agg(F.max("_row").alias("_row"))
-    columns = [
-        F.col(c) if c in FACE else F.col(f"_row.{c}").alias(c)
-        for c in faces.columns
-        if c != "embedding"
-    ]
-    return best.select(
-        *columns,
-        F.col("_row.best.target_id").alias("target_id"),
-        (-F.col("_row.best.rank")).alias("target_ord"),
-        F.col("_row.best.similarity").alias("similarity"),
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, gallery = None, [], None
+        for batch in batches:
+            for key, part in _runs(batch, meeting):
+                if key != at:
+                    at, held, gallery = key, [], None
+                is_face = pa.compute.is_valid(part.column("face"))
+                mine = part.filter(pa.compute.invert(is_face))
+                if mine.num_rows:
+                    held.append(mine)
+                seen = part.filter(is_face)
+                if not seen.num_rows or not held:
+                    continue
+                gallery = gallery or _Gallery(pa.Table.from_batches(held))
+                fields = seen.column("face").flatten()
+                rows = pa.RecordBatch.from_arrays(
+                    [*fields, seen.column("embedding")], [*kept, "embedding"]
+                )
+                yield gallery.answer(rows, kept, found.names)
+
+    best = runs.mapInArrow(score, found)
+    if (plan.agg(F.max("_blocks")).first()[0] or 0) <= 1:
+        return best
+    rank = F.struct(F.col("similarity"), -F.col("target_ord"))
+    row = F.struct(*[c for c in found.names if c not in FACE])
+    return (
+        best.groupBy(*FACE)
+        .agg(F.max_by(row, rank).alias("_row"))
+        .select(*[F.col(c) if c in FACE else F.col(f"_row.{c}").alias(c) for c in found.names])
     )
 
 

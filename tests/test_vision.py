@@ -298,3 +298,32 @@ def test_model_slots(spark):
 def test_addresses_lose_their_secrets(spark, uri, masked):
     row = spark.createDataFrame([(uri,)], "uri STRING").select(text.mask_uri(F.col("uri"))).first()
     assert row[0] == masked
+
+
+def test_both_ways_of_matching_agree(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK_BYTES", 3 * 8 * 4)
+    monkeypatch.setattr(matching, "FACES_PER_TASK", 7)
+    rng = random.Random(6)
+    vector = lambda n=4: [rng.choice((-1.0, 0.0, 0.5, 1.0)) for _ in range(n)]
+    targets = [(s, s * 100 + i, i // 2, vector()) for s in (1, 2) for i in range(11)]
+    targets += [(2, 300, None, vector()), (1, 301, 50, None), (1, 302, 51, [1.0, None, 0.0, 0.0]), (3, 303, 1, vector(2))]
+    faces = [(rng.choice((1, 2, 3, 4)), 1, f, i, vector(), "x") for f in range(20) for i in range(2)]
+    faces += [(1, 1, 90, 0, [1.0, 1.0], "x"), (1, 1, 91, 0, None, "x"), (3, 1, 92, 0, [1.0, 0.5], "x")]
+    faces += [(1, 1, 93, 0, [], "x"), (None, 1, 94, 0, vector(), "x"), (2, 1, 95, 0, [1.0, None, 1.0, 1.0], "x")]
+    f = spark.createDataFrame(
+        faces, "search_id LONG, source_id LONG, frame_id LONG, face_idx LONG, embedding ARRAY<FLOAT>, note STRING"
+    ).repartition(3)
+    t = spark.createDataFrame(targets[:22] + targets[23:], "search_id LONG, target_id LONG, target_ord INT, embedding ARRAY<FLOAT>")
+    best = {}
+    for search, source, frame, idx, own, _ in faces:
+        scored = [
+            (sum(a * b for a, b in zip(own, v, strict=True)), -o, -i)
+            for s, i, o, v in targets[:22] + targets[23:]
+            if s == search and own and v and len(v) == len(own) and None not in own and None not in v
+        ]
+        if scored:
+            best[(search, source, frame, idx)] = (max(scored)[0], -max(scored)[1])
+    for way in (True, False):
+        got = matching.best_target(f, t, broadcast=way).collect()
+        assert {(r.search_id, r.source_id, r.frame_id, r.face_idx): (r.similarity, r.target_ord) for r in got} == best
+        assert len(got) == len(best)
