@@ -8,8 +8,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from sightmatch.operators import admission, eventlog, evaluation
-from sightmatch.sources import readers, sinks
+from sightmatch.operators import admission, eventlog, evaluation, models, quality
+from sightmatch.params import NO_THRESHOLD, THRESHOLD_RANGE, THRESHOLD_REPEATED, check_thresholds
+from sightmatch.sources import readers, scratch, sinks
 
 
 def png(width, height, bgr):
@@ -132,3 +133,58 @@ def test_status_changes(spark):
     assert sorted((r.search_id, r.seq) for r in eventlog.collapse_status(log).collect()) == [(1, 2), (1, 4), (1, 5), (1, 6), (2, 1)]
     assert {r.search_id: r.status for r in eventlog.search_status(log).collect()} == {1: "completed", 2: "stopped"}
     assert {r.search_id: r.status for r in eventlog.search_status(log, ended=False).collect()} == {1: "completed", 2: "running"}
+
+
+@pytest.mark.parametrize(
+    "schema",
+    [
+        "a BIGINT, embedding ARRAY<DOUBLE>",
+        "a BIGINT, faces ARRAY<STRUCT<quality: DOUBLE, v: ARRAY<FLOAT>>>",
+        "a BIGINT, faces ARRAY<STRUCT<quality: DOUBLE, embedding: BINARY>>",
+        "a BIGINT, m MAP<STRING, ARRAY<FLOAT>>",
+    ],
+)
+def test_vectors_are_refused_at_any_depth(spark, schema):
+    with pytest.raises(ValueError, match="vectors"):
+        sinks.without_vectors(spark.createDataFrame([], schema))
+
+
+def test_scratch_needs_a_shared_folder_beyond_one_process():
+    class Session:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default):
+                return default
+
+        class sparkContext:  # noqa: N801
+            master = "local-cluster[3,2,1024]"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session)
+
+
+def test_pictures_that_are_missing_or_broken(spark):
+    picture = (2, 2, 1, bytearray([10, 20, 30, 40]))
+    images = spark.createDataFrame(
+        [(1, picture), (2, None)],
+        "photo LONG, image STRUCT<height: INT, width: INT, nChannels: INT, data: BINARY>",
+    )
+    faces = spark.createDataFrame(
+        [(1, 0.0, 0.0, 2.0, 2.0), (2, 0.0, 0.0, 2.0, 2.0), (3, 0.0, 0.0, 2.0, 2.0)],
+        "photo LONG, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE",
+    )
+    got = {r.photo: r for r in quality.crop_metrics(faces, images, ["photo"]).collect()}
+    assert (got[1].face_width, got[1].brightness) == (2, 25.0)
+    assert all(got[i].face_width is None and got[i].blur_variance is None for i in (2, 3))
+    found = models.infer_detections(images, ["photo"], lambda: lambda pixels: [])
+    assert found.collect() == []
+
+
+@pytest.mark.parametrize(
+    ("values", "code"),
+    [([], NO_THRESHOLD), ([0.2, 1.5], THRESHOLD_RANGE), ([float("nan")], THRESHOLD_RANGE), ([0.2, 0.2], THRESHOLD_REPEATED)],
+)
+def test_thresholds(values, code):
+    assert check_thresholds([0.5, -1, 1]) == (0.5, -1.0, 1.0)
+    with pytest.raises(ValueError, match=code):
+        check_thresholds(values)
