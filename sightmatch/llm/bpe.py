@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of text that are encoded at once, and distinct units whose ids are remembered.
-SLICE_BYTES, UNITS_KEPT = 2 << 20, 200_000
+SLICE_BYTES, UNITS_KEPT = 1 << 20, 150_000
 
 # A blank after another one: the cut at single blanks does not hold for such a text.
 _RUN = re.compile(r"\s ")
@@ -168,6 +168,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         held += size
     if start < len(sizes):
         yield start, [t or "" for t in column.slice(start).to_pylist()]
+    pa.default_memory_pool().release_unused()
 
 
 _LOADED: dict[tuple, ByteBpe] = {}

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightmatch.llm.components import components
+from sightmatch.llm.components import components, least_labels
 from sightmatch.sources.scratch import cut
 
 #: Leading principal dimensions of the grid, vectors they are fitted on, bytes of a block.
@@ -169,24 +169,6 @@ def _block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     return pairs.withColumn("bits", F.lit(bits))
 
 
-def _least_labels(hits: np.ndarray, same: bool) -> np.ndarray:
-    """Component number of each row and then each column of a matrix of links."""
-    m, n = hits.shape
-    label = np.arange(m + n)
-    if same:
-        label[m:] = label[:m]
-    far = m + n
-    while True:
-        rows = np.minimum(label[:m], np.where(hits, label[m:], far).min(axis=1, initial=far))
-        columns = np.minimum(label[m:], np.where(hits, rows[:, None], far).min(axis=0, initial=far))
-        if same:
-            rows = columns = np.minimum(rows, columns)
-        new = np.concatenate([rows, columns])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.98,
@@ -263,7 +245,7 @@ def near_duplicates(
                 ids = [np.asarray(row[c].values) for c in ("ids_a", "ids_b")]
                 weight = [np.asarray(row[c].values) for c in ("copies_a", "copies_b")]
                 n = np.concatenate([hits @ weight[1], np.zeros(len(y), int) if same else hits.T @ weight[0]])
-                both, least = np.concatenate(ids), _least_labels(hits, same)
+                both, least = np.concatenate(ids), least_labels(hits, same)
                 used = np.flatnonzero(n > 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(both[used]), pa.array(both[least[used]]), pa.array(n[used].astype(np.int64))],

@@ -15,20 +15,39 @@ from sightmatch.llm.shingles import byte_slices
 
 START, END = b"\xfe", b"\xff"
 #: Bytes of text in one step, and texts (their number within the step takes 16 bits).
-SLICE_BYTES, SLICE_TEXTS = 2 << 20, 1 << 16
-
-
-def pack(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram ending at each symbol, number of its text), END included."""
-    lead = START * (n - 1)
-    raw = np.frombuffer(b"".join(lead + t + END for t in texts), np.uint8)
-    keys = np.zeros(len(raw), np.uint64)
-    for i in range(n):
-        shift = np.uint64(8 * i)
-        keys[i:] |= raw[: len(raw) - i].astype(np.uint64) << shift
-    symbol = raw != START[0]
-    owner = np.repeat(np.arange(len(texts)), [len(t) + n for t in texts])
-    return keys[symbol], owner[symbol]
+SLICE_BYTES, SLICE_TEXTS = 1 << 20, 1 << 16
+
+
+def _parts(texts: list[bytes], n: int) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Groups of (the n - 1 bytes before and some symbols of a text, number of the text), with at
+    most about SLICE_BYTES each; long texts go through several groups."""
+    parts, owners, held = [], [], 0
+    for number, text in enumerate(texts):
+        whole = START * (n - 1) + text + END
+        for at in range(0, len(text) + 1, SLICE_BYTES):
+            part = whole[at : at + SLICE_BYTES + n - 1]
+            if held and held + len(part) > SLICE_BYTES:
+                yield parts, owners
+                parts, owners, held = [], [], 0
+            parts.append(part)
+            owners.append(number)
+            held += len(part)
+    if parts:
+        yield parts, owners
+
+
+def pack(texts: list[bytes], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-gram ending at each symbol, number of its text), END included, a group at a time."""
+    for parts, owners in _parts(texts, n):
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        keys = np.zeros(len(raw), np.uint64)
+        for i in range(n):
+            keys[i:] |= raw[: len(raw) - i].astype(np.uint64) << np.uint64(8 * i)
+        lengths = np.array([len(p) for p in parts])
+        starts = np.cumsum(lengths) - lengths
+        symbol = np.ones(len(raw), bool)
+        symbol[(starts[:, None] + np.arange(n - 1)).ravel()] = False
+        yield keys[symbol], np.repeat(np.array(owners), lengths)[symbol]
 
 
 def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,15 +63,15 @@ def sums_by_text(texts: list[bytes], n: int, value_of) -> np.ndarray:
     out = np.zeros(len(texts))
     for at in range(0, len(texts), SLICE_TEXTS):
         part = texts[at : at + SLICE_TEXTS]
-        keys, owner = pack(part, n)
-        tagged = (keys << np.uint64(16)) | owner.astype(np.uint64)
-        tagged.sort()
-        tagged, times = runs(tagged)
-        keys = tagged >> np.uint64(16)
-        first = np.concatenate(([True], keys[1:] != keys[:-1]))
-        values = value_of(keys[first])[np.cumsum(first) - 1]
-        owner = (tagged & np.uint64(SLICE_TEXTS - 1)).astype(np.int64)
-        out[at : at + len(part)] = np.bincount(owner, values * times, len(part))
+        for keys, owner in pack(part, n):
+            tagged = (keys << np.uint64(16)) | owner.astype(np.uint64)
+            tagged.sort()
+            tagged, times = runs(tagged)
+            keys = tagged >> np.uint64(16)
+            first = np.concatenate(([True], keys[1:] != keys[:-1]))
+            values = value_of(keys[first])[np.cumsum(first) - 1]
+            owner = (tagged & np.uint64(SLICE_TEXTS - 1)).astype(np.int64)
+            out[at : at + len(part)] += np.bincount(owner, values * times, len(part))
     return out
 
 
@@ -85,13 +104,13 @@ def counted(docs: DataFrame, n: int) -> DataFrame:
 
         for batch in batches:
             for _, texts in byte_slices(batch.column(0), SLICE_BYTES):
-                found, _ = pack(texts, n)
-                found.sort()
-                distinct, how_often = runs(found)
-                keys, times = _merge(keys, times, distinct, how_often)
-                if len(keys) > 3_000_000:
-                    yield batch_of(keys, times)
-                    keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                for found, _ in pack(texts, n):
+                    found.sort()
+                    distinct, how_often = runs(found)
+                    keys, times = _merge(keys, times, distinct, how_often)
+                    if len(keys) > 3_000_000:
+                        yield batch_of(keys, times)
+                        keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if len(keys):
             yield batch_of(keys, times)
 

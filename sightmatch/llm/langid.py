@@ -27,11 +27,23 @@ _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """A row of unit length per text: root shares of its hashed n-grams of 1 to LONGEST bytes."""
-    out = np.zeros((len(texts), BINS), np.float32)
+    """A row of unit length per text: root shares of its hashed n-grams of 1 to LONGEST bytes.
+    A long text is counted in parts of SLICE_BYTES; n-grams over their edges are left out."""
+    counts = np.zeros((len(texts), BINS))
+    for i, text in enumerate(texts):
+        if len(text) > 2 * SLICE_BYTES:
+            for at in range(0, len(text), SLICE_BYTES):
+                counts[i] += _counts([text[at : at + SLICE_BYTES]])[0]
+    short = [i for i, text in enumerate(texts) if len(text) <= 2 * SLICE_BYTES]
+    if short:
+        counts[short] = _counts([texts[i] for i in short])
+    shares = np.sqrt(counts)
+    length = np.sqrt((shares**2).sum(axis=1, keepdims=True))
+    return (shares / np.maximum(length, 1e-9)).astype(np.float32)
+
+
+def _counts(texts: list[bytes]) -> np.ndarray:
     data = b"".join(b" " + t.lower().translate(_FOLD) + b" " for t in texts)
-    if not texts:
-        return out
     raw = np.frombuffer(data, np.uint8).astype(np.uint32)
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) + 2 for t in texts])
     counts = np.zeros(len(texts) * BINS)
@@ -47,10 +59,7 @@ def features(texts: list[bytes]) -> np.ndarray:
         counts += np.bincount(
             own[inside] * BINS + bins[inside].astype(np.int64), minlength=len(counts)
         )
-    shares = np.sqrt(counts.reshape(len(texts), BINS))
-    length = np.sqrt((shares**2).sum(axis=1, keepdims=True))
-    out[:] = shares / np.maximum(length, 1e-9)
-    return out
+    return counts.reshape(len(texts), BINS)
 
 
 def codewords(n: int) -> np.ndarray:
@@ -130,22 +139,33 @@ def fit(
     lang_col: str = "lang",
 ) -> LanguageModel:
     """Fit on at most per_language rows of each value of lang_col (most_rows in all, but 8 of
-    each), picked by a hash of id and text among the rows where `learn` holds and language and text
-    are not null. What reaches the driver is two vectors of BINS features per row, whatever
-    the texts' lengths."""
+    each), picked by a hash of id, text and place among the rows where `learn` holds and language
+    and text are not null. Rows are thinned by the hash to about eight times as many before
+    they are ranked. What reaches the driver is two vectors of BINS features per row, whatever the
+    texts' lengths."""
     rows = docs if learn is None else docs.filter(learn)
     rows = rows.select(
         F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).alias("text"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("at"),
+        F.xxhash64(id_col, text_col, F.monotonically_increasing_id()).alias("at"),
     ).filter("lang IS NOT NULL AND text IS NOT NULL")
-    n = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
-    if n > MOST_LANGUAGES:
+    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"{lang_col} has over {MOST_LANGUAGES} values")
-    per_language = min(per_language, max(8, most_rows // max(1, n)))
+    per_language = min(per_language, max(8, most_rows // max(1, len(counts))))
+    shares = docs.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, 8 * per_language / r["count"])) for r in counts],
+        "lang string, share double",
+    )
+    thin = F.pmod(F.col("at"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
-    picked = rows.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("lang", "text", "at")
-
+    picked = (
+        rows.join(F.broadcast(shares), "lang")
+        .filter(thin)
+        .withColumn("nth", nth)
+        .filter(F.col("nth") <= per_language)
+        .select("lang", "text", "at")
+    )
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = batch.column(2).to_pylist()

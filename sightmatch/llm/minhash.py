@@ -7,15 +7,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightmatch.llm.components import components
+from sightmatch.llm.components import components, least_labels
 from sightmatch.llm.shingles import byte_slices, mix, shingle_sets
 from sightmatch.sources.scratch import cut
 
 #: Bytes of text that are hashed at once; ids that may be broadcast to pick rows by.
-SLICE_BYTES, BROADCAST_IDS = 2 << 20, 1_000_000
+SLICE_BYTES, BROADCAST_IDS = 1 << 20, 1_000_000
+#: Documents and bytes of sets in a block, columns of an incidence matrix at a time.
+BLOCK_DOCS, BLOCK_BYTES, COLUMNS = 512, 2 << 20, 2_048
+#: Pairs with one document that share a task.
+SHARE_PAIRS = 200
 
 
 def _half_keys(sets: list[np.ndarray], rows: int, halves: int) -> np.ndarray:
@@ -86,16 +91,172 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return found.dropDuplicates(["doc"])
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, y, common, total (sizes of intersection and union) of pairs x, y."""
-    first = sets.select(F.col("doc").alias("x"), F.col("shingles").alias("of_x"))
-    second = sets.select(F.col("doc").alias("y"), F.col("shingles").alias("of_y"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs x, y that are linked. The y of an x are dealt out in shares; the set of x comes
+    first in each, then those of its y are compared with it as they stream by."""
+    share, whole = threshold
+    kind = pairs.schema["x"].dataType.simpleString()
+    sizes = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / SHARE_PAIRS).cast("int").alias("n"))
+    own = sets.withColumnRenamed("doc", "x")
+    nothing = F.lit(None).cast(kind)
+    first = (
+        sizes.join(own, "x")
+        .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        .select("x", "share", nothing.alias("y"), "shingles")
+    )
+    then = (
+        pairs.join(sizes, "x")
+        .select("x", F.pmod(F.xxhash64("y"), F.col("n")).cast("int").alias("share"), "y")
+        .join(sets.withColumnRenamed("doc", "y"), "y")
+        .select("x", "share", "y", "shingles")
+    )
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held = None, np.zeros(0, np.int64)
+        for batch in batches:
+            lists = batch.column(3)
+            flat = np.asarray(lists.flatten())
+            ends = np.cumsum(np.asarray(lists.value_lengths())).tolist()
+            xs, ys, start = [], [], 0
+            keys = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ends, strict=True)
+            for x, y, end in keys:
+                values, start = flat[start:end], end
+                if y is None:
+                    head, held = x, values
+                elif x == head:
+                    common = len(np.intersect1d(held, values, assume_unique=True))
+                    if common * whole >= (len(held) + len(values) - common) * share:
+                        xs.append(x)
+                        ys.append(y)
+            types = batch.schema.types
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(xs, types[0]), pa.array(ys, types[2])], ["x", "y"]
+            )
+
     return (
-        pairs.join(second, "y")
-        .join(first, "x")
-        .withColumn("common", F.size(F.array_intersect("of_x", "of_y")))
-        .select("x", "y", "common", (F.size("of_x") + F.size("of_y") - F.col("common")).alias("total"))
+        first.unionAll(then)
+        .repartition("x", "share")
+        .sortWithinPartitions("x", "share", F.col("y").asc_nulls_first())
+        .mapInArrow(compare, f"x {kind}, y {kind}")
+    )
+
+
+def _links_in_groups(apart: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links x, y that join the components of linked documents among those of `apart`
+    (pivot, doc, of_doc: component so far) that buckets connect.
+
+    Documents of a connected group are sorted by the size of their sets and cut into blocks. Two
+    blocks are compared in one task by products of their incidence matrices, unless their sizes or a
+    common component rule links out or make them needless; no pairs of documents leave a task."""
+    share, whole = threshold
+    grouped = components(apart, "pivot", "doc").withColumnRenamed("node", "doc")
+    docs = (
+        apart.select("doc", "of_doc").distinct()
+        .join(grouped, "doc", "left")
+        .select("doc", "of_doc", F.coalesce("component", "doc").alias("group"))
+        .join(sets, "doc")
+        .select("group", F.size("shingles").alias("n"), "doc", "of_doc", "shingles")
+    )
+    kind = apart.schema["doc"].dataType.simpleString()
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def block():
+            group, n, docs, of_doc, shingles = zip(*held, strict=True)
+            same = of_doc[0] if len(set(of_doc)) == 1 else None
+            values = {
+                "group": pa.array(group[:1], types[0]),
+                "at": pa.array([number], pa.int64()),
+                "low": pa.array([n[0]], pa.int64()),
+                "high": pa.array([n[-1]], pa.int64()),
+                "same": pa.array([same], types[3]),
+                "docs": pa.array([docs], pa.list_(types[2])),
+                "sizes": pa.array([n], pa.list_(pa.int64())),
+                "packed": pa.array([b"".join(shingles)], pa.binary()),
+            }
+            return pa.RecordBatch.from_pydict(values)
+
+        for batch in batches:
+            types = batch.schema.types
+            lists = batch.column(4)
+            flat = np.asarray(lists.flatten())
+            ends = np.cumsum(np.asarray(lists.value_lengths()))
+            rows = zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)
+            for i, row in enumerate(rows):
+                if held and (row[0] != held[0][0] or len(held) == BLOCK_DOCS or size > BLOCK_BYTES):
+                    yield block()
+                    number, held, size = number + 1, [], 0
+                own = np.sort(flat[ends[i] - row[1] : ends[i]].view(np.uint64)).tobytes()
+                held.append((*row, own))
+                size += len(own)
+        if held:
+            yield block()
+
+    blocks = cut(
+        docs.orderBy("group", "n", "doc").mapInArrow(
+            gather,
+            f"group {kind}, at long, low long, high long, same {kind}, docs array<{kind}>, "
+            "sizes array<long>, packed binary",
+        )
     )
+    a, b = blocks.alias("a"), blocks.alias("b")
+    met = (
+        a.join(b, F.col("a.group") == F.col("b.group"))
+        .filter("a.at <= b.at")
+        .filter(F.expr(f"a.high * {whole}L >= b.low * {share}L"))
+        .filter("a.same IS NULL OR b.same IS NULL OR a.same != b.same")
+        .select(
+            (F.col("a.at") == F.col("b.at")).alias("own"),
+            *(F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("docs", "sizes", "packed")),
+        )
+    )
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                docs, sizes, shingles = (
+                    [np.asarray(row[f"{c}_{side}"].values) for side in "ab"]
+                    if c != "packed"
+                    else [np.frombuffer(row[f"{c}_{side}"].as_buffer(), np.uint64) for side in "ab"]
+                    for c in ("docs", "sizes", "packed")
+                )
+                common = _common(sizes, shingles)
+                total = sizes[0][:, None] + sizes[1][None, :] - common
+                hits = common * whole >= total * share
+                if row["own"].as_py():
+                    np.fill_diagonal(hits, False)
+                if not hits.any():
+                    continue
+                least = least_labels(hits, row["own"].as_py())
+                both = np.concatenate(docs)
+                used = np.flatnonzero(least != np.arange(len(least)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(both[used]), pa.array(both[least[used]])], ["x", "y"]
+                )
+
+    return met.mapInArrow(compare, f"x {kind}, y {kind}").filter("x != y")
+
+
+def _common(sizes: list[np.ndarray], shingles: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of one block with every set of another."""
+    shared = np.intersect1d(np.unique(shingles[0]), np.unique(shingles[1]))
+    out = np.zeros((len(sizes[0]), len(sizes[1])))
+    places = []
+    for n, own in zip(sizes, shingles, strict=True):
+        at = np.minimum(np.searchsorted(shared, own), max(0, len(shared) - 1))
+        there = shared[at] == own if len(shared) else np.zeros(len(own), bool)
+        places.append((np.repeat(np.arange(len(n)), n)[there], at[there]))
+    for start in range(0, len(shared), COLUMNS):
+        parts = []
+        for n, (rows, at) in zip(sizes, places, strict=True):
+            inside = (at >= start) & (at < start + COLUMNS)
+            part = np.zeros((len(n), min(COLUMNS, len(shared) - start)), np.float32)
+            part[rows[inside], at[inside] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
 
 
 def near_duplicates(
@@ -118,16 +279,14 @@ def near_duplicates(
 
     Equal sets are one class and go on as its smallest id. In each bucket of a table all classes
     are compared with its smallest one, on full sets. The links found join most buckets into one
-    component each; in the others, members of different components are compared with each other
-    too, unless their overlaps with the bucket's smallest rule a link out (distances obey the
-    triangle inequality). So no linked pair that shares a key is lost, and linked groups are never
-    expanded into pairs.
+    component each; where members of a bucket are in different ones, the documents that such
+    buckets connect are compared block by block (_links_in_groups). So no linked pair that shares a
+    key is lost, and groups are never expanded into pairs of documents.
 
     Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a text
     with fewer words is one shingle. Rows with a null id are linked with nothing, component_id
     is null and kept is true. Rows with the same id count as one document (of any of their
     texts' links). An empty table gives no rows. Other columns are ignored, whatever their names."""
-    share, whole = threshold
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(_signatures(docs, words, rows, halves))
     linkable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
@@ -153,36 +312,16 @@ def near_duplicates(
     stars = cut(stars)
     ids = cut(stars.select(F.explode(F.array("x", "y")).alias("doc")).distinct())
     sets = cut(_sets(docs, ids, words))
-    seen = cut(_overlaps(stars, sets))
-    linked = F.expr(f"common * {whole}L >= total * {share}L")
-    links = seen.filter(linked).select("x", "y")
-    found = components(links, "x", "y")
+    found = components(_confirmed(stars, sets, threshold), "x", "y")
 
     # Buckets whose members are not all in one component yet.
     named = found.select(F.col("node").alias("doc"), F.col("component").alias("of_doc"))
-    far = 1 - share / whole + 1e-9
-    distance = seen.select(
-        F.col("x").alias("pivot"), F.col("y").alias("doc"), (1 - F.col("common") / F.col("total")).alias("d")
-    )
-    members = (
-        buckets.join(named, "doc", "left")
-        .withColumn("of_doc", F.coalesce("of_doc", "doc"))
-        .join(distance, ["pivot", "doc"])
-    )
+    members = buckets.join(named, "doc", "left").withColumn("of_doc", F.coalesce("of_doc", "doc"))
     mixed = members.groupBy("key").agg(
         F.min("of_doc").alias("low"), F.max("of_doc").alias("high")
     ).filter("low != high")
-    apart = members.join(mixed.select("key"), "key", "left_semi")
-    a, b = apart.alias("a"), apart.alias("b")
-    others = (
-        a.join(b, "key")
-        .filter("a.of_doc < b.of_doc")
-        .filter(F.abs(F.col("a.d") - F.col("b.d")) <= far)
-        .select(F.least("a.doc", "b.doc").alias("x"), F.greatest("a.doc", "b.doc").alias("y"))
-        .distinct()
-        .join(stars, ["x", "y"], "left_anti")
-    )
-    more = cut(_overlaps(others, sets).filter(linked).select("x", "y"))
+    apart = cut(members.join(mixed.select("key"), "key", "left_semi").select("pivot", "doc", "of_doc").distinct())
+    more = cut(_links_in_groups(apart, sets, threshold))
     if not more.isEmpty():
         trees = found.select(F.col("node").alias("x"), F.col("component").alias("y"))
         found = components(trees.unionAll(more), "x", "y")

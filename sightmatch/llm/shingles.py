@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
+_ANY_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+#: Bytes that are hashed at once, unless one word is longer.
+PART_BYTES = 1 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -37,7 +41,22 @@ def _powers(name: str, base: int, n: int) -> np.ndarray:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each word; words are what blanks (space, 9 to 13) leave between."""
+    """(hash, first byte) of each word; words are what blanks (space, 9 to 13) leave between.
+
+    Long data is cut at blanks, so that memory beyond it is for the words only."""
+    if len(data) <= 2 * PART_BYTES:
+        return _part_hashes(data)
+    found, start = [], 0
+    while start < len(data):
+        blank = _ANY_BLANK.search(data, start + PART_BYTES)
+        end = blank.start() if blank else len(data)
+        hashes, first = _part_hashes(data[start:end])
+        found.append((hashes, first + start))
+        start = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _part_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     word = np.concatenate(([False], ~_BLANK[raw], [False]))
     edges = np.flatnonzero(word[1:] != word[:-1])
@@ -86,3 +105,4 @@ def byte_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, list[bytes]
         held += size
     if start < len(sizes):
         yield start, [t or b"" for t in column.slice(start).to_pylist()]
+    pa.default_memory_pool().release_unused()

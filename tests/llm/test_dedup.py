@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sightmatch.llm import components as component_steps
 from sightmatch.llm import ego, exact_dedup, minhash
 from sightmatch.llm.components import components
 
@@ -138,7 +139,9 @@ def test_links_beyond_the_smallest_of_a_bucket(spark):
     assert sorted(map(tuple, got.collect())) == plain_near(rows, 1, 85)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(component_steps, "FEW_LINKS", few)
     rng = random.Random(2)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(500, 560)]
     links += [(5, 5), (7, None)]

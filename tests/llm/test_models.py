@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import SMALL
-from sightmatch.llm import grams, langid, ppm, quality, queries
+from sightmatch.llm import grams, langid, ppm, quality, queries, shingles
 
 SCHEMA = "doc_id long, text string, lang string, score double, n int, held_out string"
 
@@ -248,3 +248,20 @@ def test_quality_of_labelled_rows(spark):
         .collect()
     }
     assert rates[1] > 0.99 and rates[0] < 0.1
+
+
+def test_long_texts_go_through_in_parts(monkeypatch):
+    rng = random.Random(1)
+    texts = [bytes(rng.choices(b"abc  de\n", k=rng.choice([0, 1, 5, 300, 3000]))) for _ in range(60)]
+
+    def results():
+        sums = grams.sums_by_text(texts, 5, lambda keys: (keys % np.uint64(1009)).astype(float))
+        return sums, [s.tolist() for s in shingles.shingle_sets(texts, 3)], langid.features(texts)
+
+    sums, sets, shares = results()
+    monkeypatch.setattr(grams, "SLICE_BYTES", 64)
+    monkeypatch.setattr(shingles, "PART_BYTES", 40)
+    monkeypatch.setattr(langid, "SLICE_BYTES", 1000)
+    again = results()
+    assert np.allclose(sums, again[0]) and sets == again[1]
+    assert np.abs(shares - again[2]).max() < 0.02
