@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightmatch.llm.batches import small_batches
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of text that are encoded at once, and distinct units whose ids are remembered.
-SLICE_BYTES, UNITS_KEPT = 1 << 20, 150_000
+SLICE_BYTES, UNITS_KEPT = 1 << 20, 90_000
 
 # A blank after another one: the cut at single blanks does not hold for such a text.
 _RUN = re.compile(r"\s ")
@@ -222,7 +224,7 @@ def encode(
                 yield pa.RecordBatch.from_pydict(columns)
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, schema)
+    return small_batches(picked).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, source: tuple) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightmatch.llm.batches import small_batches
 from sightmatch.llm.shingles import byte_slices
 
 START, END = b"\xfe", b"\xff"
@@ -114,7 +115,7 @@ def counted(docs: DataFrame, n: int) -> DataFrame:
         if len(keys):
             yield batch_of(keys, times)
 
-    rows = docs.select("text").mapInArrow(run, "gram long, n long")
+    rows = small_batches(docs.select("text")).mapInArrow(run, "gram long, n long")
     return rows.groupBy("gram").agg(F.sum("n").alias("n"))
 
 

@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightmatch.llm.batches import small_batches
 from sightmatch.llm.shingles import byte_slices
 
 #: Bins of the n-gram features, longest n-gram, bytes of text in one step.
@@ -143,7 +144,7 @@ def fit(
     and text are not null. Rows are thinned by the hash to about eight times as many before
     they are ranked. What reaches the driver is two vectors of BINS features per row, whatever the
     texts' lengths."""
-    rows = docs if learn is None else docs.filter(learn)
+    rows = small_batches(docs if learn is None else docs.filter(learn))
     rows = rows.select(
         F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).alias("text"),
@@ -233,7 +234,7 @@ def predict(
                     ["doc_id", "lang_pred", "score", "ambiguous"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(
         run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean"
     )
 
@@ -254,4 +255,4 @@ def keep_known(
                 keep[start : start + len(texts)] = known & (score >= least)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

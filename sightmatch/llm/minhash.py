@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightmatch.llm.batches import small_batches
 from sightmatch.llm.components import components, least_labels
 from sightmatch.llm.shingles import byte_slices, mix, shingle_sets
 from sightmatch.sources.scratch import cut
@@ -287,7 +288,7 @@ def near_duplicates(
     with fewer words is one shingle. Rows with a null id are linked with nothing, component_id
     is null and kept is true. Rows with the same id count as one document (of any of their
     texts' links). An empty table gives no rows. Other columns are ignored, whatever their names."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = small_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     signed = cut(_signatures(docs, words, rows, halves))
     linkable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linkable.groupBy("digest").agg(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightmatch.llm import bpe
+from sightmatch.llm.batches import small_batches
 from sightmatch.sources.scratch import cut
 
 #: Documents are cut to capacity // k for k up to LAST_CUT; shorter tails stay whole.
@@ -159,7 +160,7 @@ def pack(
         return run
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    packed = cut(picked.mapInArrow(first, schema))
+    packed = cut(small_batches(picked).mapInArrow(first, schema))
     done, level = [packed.filter("sequence_id IS NOT NULL")], 1
     left = packed.filter("sequence_id IS NULL").select(fields)
     workers = packed.rdd.getNumPartitions()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightmatch.llm import grams
+from sightmatch.llm.batches import small_batches
 from sightmatch.llm.shingles import byte_slices
 from sightmatch.sources.scratch import cut
 
@@ -116,7 +117,7 @@ def perplexities(
     picked = docs.select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
-    return picked.mapInArrow(run, f"doc_id {id_type}, lang string, bits double, n_symbols long")
+    return small_batches(picked).mapInArrow(run, f"doc_id {id_type}, lang string, bits double, n_symbols long")
 
 
 def thresholds(
@@ -229,4 +230,4 @@ def keep_good(
                 keep[start : start + len(texts)] = settled_rate(bits, n, limit[:, 0]) <= limit[:, 1]
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

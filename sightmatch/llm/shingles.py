@@ -105,4 +105,5 @@ def byte_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, list[bytes]
         held += size
     if start < len(sizes):
         yield start, [t or b"" for t in column.slice(start).to_pylist()]
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightmatch.llm.batches import small_batches
+
 #: Bytes of text in one call of the library; longer texts are cut where that changes nothing.
 CALL_BYTES, PIECE_CHARS = 1 << 20, 1 << 18
 
@@ -100,6 +102,6 @@ def count_tokens(
 
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(
+    return small_batches(picked).mapInArrow(
         run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean"
     )
