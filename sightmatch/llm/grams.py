@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightmatch.llm.batches import small_batches
@@ -90,22 +90,25 @@ class Table:
         return at, self.keys[at] == keys
 
 
-def counted(docs: DataFrame, n: int) -> DataFrame:
-    """gram (long), n: how often each n-gram occurs in the column text of docs.
+def counted(docs: DataFrame, n: int, folds: int = 1) -> DataFrame:
+    """gram (long), n: how often each n-gram (n <= 6) occurs in the column text of docs. With
+    more than one fold (at most 256) also fold, by fold_of(): counts are by fold then.
 
     Each task folds its own n-grams, a few slices at a time, before they are shuffled."""
+    low = np.uint64((1 << (8 * n)) - 1)
+
+    def batch_of(keys, times):
+        columns = [pa.array((keys & low).view(np.int64)), pa.array(times)]
+        columns.append(pa.array((keys >> np.uint64(8 * n)).astype(np.int32)))
+        return pa.RecordBatch.from_arrays(columns, ["gram", "n", "fold"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def batch_of(keys, times):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(times)], ["gram", "n"]
-            )
-
         for batch in batches:
-            for _, texts in byte_slices(batch.column(0), SLICE_BYTES):
-                for found, _ in pack(texts, n):
+            for start, texts in byte_slices(batch.column(0), SLICE_BYTES):
+                own = batch.column(1).slice(start, len(texts)).to_numpy().astype(np.uint64)
+                for found, owner in pack(texts, n):
+                    found |= own[owner] << np.uint64(8 * n)
                     found.sort()
                     distinct, how_often = runs(found)
                     keys, times = _merge(keys, times, distinct, how_often)
@@ -115,8 +118,14 @@ def counted(docs: DataFrame, n: int) -> DataFrame:
         if len(keys):
             yield batch_of(keys, times)
 
-    rows = small_batches(docs.select("text")).mapInArrow(run, "gram long, n long")
-    return rows.groupBy("gram").agg(F.sum("n").alias("n"))
+    fold = fold_of(F.col("text"), folds) if folds > 1 else F.lit(0)
+    rows = small_batches(docs.select("text", fold.alias("fold"))).mapInArrow(run, "gram long, n long, fold int")
+    return rows.groupBy(*["fold"][: folds - 1], "gram").agg(F.sum("n").alias("n"))
+
+
+def fold_of(text: Column, folds: int) -> Column:
+    """The fold (int, from 0) of a text by its hash, so that copies of a text share theirs."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(folds)).cast("int")
 
 
 def _merge(keys, times, more, more_times):

@@ -18,6 +18,8 @@ from sightmatch.sources.scratch import cut
 ORDER, MOST_GRAMS = 5, 2_000_000
 #: Trusted texts that are counted at most, and the size above which one is passed over.
 FIT_DOCS, FIT_BYTES = 4_000, 1 << 16
+#: Parts of the trusted texts; thresholds come from each as scored by a model of the others.
+FOLDS = 5
 #: Languages with a threshold of their own; the rest share one.
 OWN_THRESHOLDS = 256
 #: Symbols of average text that a text is taken to have besides its own: short ones need more.
@@ -63,7 +65,15 @@ class KneserNey:
 
 
 def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> KneserNey:
-    """A model of the texts of docs whose ids are in trusted (column doc_id).
+    """A model of the texts of docs whose ids are in trusted (column doc_id), see fits()."""
+    return fits(docs, trusted, 1, id_col, text_col)[0]
+
+
+def fits(
+    docs: DataFrame, trusted: DataFrame, folds: int, id_col: str = "doc_id", text_col: str = "text"
+) -> list[KneserNey]:
+    """A model of the texts of docs whose ids are in trusted (column doc_id), and with more than
+    one fold a model without the texts of each.
 
     At most FIT_DOCS ids, by a hash of the id, and of those the texts of at most FIT_BYTES, are
     counted; so the model has a bound whatever the corpus."""
@@ -75,20 +85,30 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
         .join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi")
         .dropDuplicates(["doc_id"])
     )
-    table, tables = cut(grams.counted(texts, ORDER)), []
-    for k in range(ORDER - 1, -1, -1):
-        tables.append(grams.collected(table, MOST_GRAMS))
-        if k:
-            table = cut(grams.shorter(table, k))
-    return KneserNey(tables[::-1])
-
-
-def _scorer(docs: DataFrame, model: KneserNey):
-    """A function from texts (bytes) to (bits, symbols); the model goes out once per executor."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        bits = grams.sums_by_text(texts, ORDER, shipped.value.bits)
+    by_fold, models = cut(grams.counted(texts, ORDER, folds)), []
+    for left_out in range(-1, folds if folds > 1 else 0):
+        table, tables = by_fold, []
+        if folds > 1:
+            table = by_fold.filter(F.col("fold") != left_out).groupBy("gram").agg(F.sum("n").alias("n"))
+        for k in range(ORDER - 1, -1, -1):
+            tables.append(grams.collected(table, MOST_GRAMS))
+            if k:
+                table = cut(grams.shorter(table, k))
+        models.append(KneserNey(tables[::-1]))
+    return models
+
+
+def _scorer(docs: DataFrame, models: list[KneserNey]):
+    """A function from texts (bytes) and the number of each one's model to (bits, symbols); the
+    models go out once per executor."""
+    context = docs.sparkSession.sparkContext
+    shipped = [context.broadcast(m) for m in models]
+
+    def score(texts: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.zeros(len(texts))
+        for m in np.unique(which):
+            own = np.flatnonzero(which == m)
+            bits[own] = grams.sums_by_text([texts[i] for i in own], ORDER, shipped[m].value.bits)
         return bits, np.array([len(t) + 1 for t in texts], np.int64)
 
     return score
@@ -96,39 +116,53 @@ def _scorer(docs: DataFrame, model: KneserNey):
 
 def perplexities(
     docs: DataFrame,
-    model: KneserNey,
+    model: KneserNey | list[KneserNey],
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """One row per row of docs: doc_id, lang, bits (of the whole text and its end), n_symbols."""
-    score, id_type = _scorer(docs, model), docs.schema[id_col].dataType.simpleString()
+    """One row per row of docs: doc_id, lang, bits (of the whole text and its end), n_symbols.
+    Of a list of models the one of the text's fold scores it."""
+    models = model if isinstance(model, list) else [model]
+    score, id_type = _scorer(docs, models), docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in byte_slices(batch.column(2), grams.SLICE_BYTES):
-                bits, n = score(texts)
                 own = batch.slice(start, len(texts))
+                bits, n = score(texts, own.column(3).to_numpy())
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), own.column(1), pa.array(bits), pa.array(n)],
                     ["doc_id", "lang", "bits", "n_symbols"],
                 )
 
     picked = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
+        F.col(id_col).alias("doc_id"),
+        F.col(lang_col).cast("string").alias("lang"),
+        F.col(text_col).alias("text"),
+        grams.fold_of(F.col(text_col), len(models)).alias("fold"),
     )
     return small_batches(picked).mapInArrow(run, f"doc_id {id_type}, lang string, bits double, n_symbols long")
 
 
 def thresholds(
-    scored: DataFrame, trusted: DataFrame, quantile: float, slack: float
+    docs: DataFrame,
+    trusted: DataFrame,
+    models: list[KneserNey],
+    quantile: float,
+    slack: float,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
 ) -> dict[str | None, tuple[float, float]]:
     """Per language (median bits a symbol of trusted texts, threshold): the quantile of their
-    settled bits a symbol, see judge(), times 1 + slack. None: over all languages."""
+    settled bits a symbol, see judge(), times 1 + slack. None: over all languages. Each trusted
+    text is scored by that of the models which has not seen its fold."""
     ids = trusted.select(F.col("doc_id").alias("__id")).distinct()
     rate = F.col("bits") / F.col("n_symbols")
+    held_out = docs.join(ids, F.col(id_col) == F.col("__id"), "left_semi")
     own = cut(
-        scored.join(ids, F.col("doc_id") == F.col("__id"), "left_semi").select(
+        perplexities(held_out, models, id_col, text_col, lang_col).select(
             F.coalesce("lang", F.lit("")).alias("lang"), "bits", "n_symbols", rate.alias("rate")
         )
     )
@@ -172,7 +206,9 @@ def judge(
 
     The model is fitted on trusted texts (fit()); every whole text is scored. Kept are texts whose
     settled perplexity is at most the language's threshold, a quantile over all trusted texts of
-    that language, widened by `slack` (in bits).
+    that language, widened by `slack` (in bits). For the quantiles trusted texts are dealt into FOLDS
+    parts by their hash and scored by a model fitted without their part, so a threshold is that of
+    unseen texts at every size.
 
     Defined cases: null and empty texts are the end alone, which is judged like other texts. A null
     language is a language. Languages without trusted texts, and those beyond the OWN_THRESHOLDS
@@ -182,9 +218,9 @@ def judge(
     renamed = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
-    model = fit(renamed, trusted)
+    model, *others = fits(renamed, trusted, FOLDS)
     scored = cut(perplexities(renamed, model))
-    limits = thresholds(scored, trusted, quantile, slack)
+    limits = thresholds(renamed, trusted, others, quantile, slack)
     middle, top = limits.get(None, (None, None))
     spark = docs.sparkSession
     rows = [(k, float(m), float(t)) for k, (m, t) in limits.items() if k is not None]
@@ -211,20 +247,20 @@ def keep_good(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns. Texts are scored twice, for
-    the thresholds and for the choice, so that they are never shuffled."""
-    model = fit(docs, trusted, id_col, text_col)
-    limits = thresholds(perplexities(docs, model, id_col, text_col, lang_col), trusted, quantile, slack)
+    """The rows of docs that judge() keeps, with all their columns. Trusted texts are scored
+    twice, for the thresholds and for the choice."""
+    model, *others = fits(docs, trusted, FOLDS, id_col, text_col)
+    limits = thresholds(docs, trusted, others, quantile, slack, id_col, text_col, lang_col)
     if not limits:
         return docs
-    score, at = _scorer(docs, model), docs.columns.index(text_col)
+    score, at = _scorer(docs, [model]), docs.columns.index(text_col)
     by_lang = docs.columns.index(lang_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for start, texts in byte_slices(batch.column(at), grams.SLICE_BYTES):
-                bits, n = score(texts)
+                bits, n = score(texts, np.zeros(len(texts), np.int64))
                 langs = batch.column(by_lang).slice(start, len(texts)).to_pylist()
                 limit = np.array([limits.get(x or "", limits[None]) for x in langs]).reshape(-1, 2)
                 keep[start : start + len(texts)] = settled_rate(bits, n, limit[:, 0]) <= limit[:, 1]

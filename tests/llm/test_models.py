@@ -250,6 +250,17 @@ def test_quality_of_labelled_rows(spark):
     assert rates[1] > 0.99 and rates[0] < 0.1
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
+def test_quality_keeps_unlabelled_good_texts(spark, size):
+    folder = SMALL.replace("0.001", size)
+    good = queries.trusted_ids(spark, folder)
+    fifth = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = quality.judge(docs, good.filter(~fifth)).join(good.filter(fifth), "doc_id")
+    kept = [r.kept for r in got.select("kept").collect()]
+    assert len(kept) > 10 and kept.count(False) <= max(1, 0.03 * len(kept)), (kept.count(False), len(kept))
+
+
 def test_long_texts_go_through_in_parts(monkeypatch):
     rng = random.Random(1)
     texts = [bytes(rng.choices(b"abc  de\n", k=rng.choice([0, 1, 5, 300, 3000]))) for _ in range(60)]
