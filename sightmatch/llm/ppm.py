@@ -103,7 +103,8 @@ def score(
     docs: DataFrame,
     held_out: Column,
     order: int = 5,
-    most_grams: int = 2_000_000,
+    most_grams: int | None = None,
+    sent_grams: int = 2_000_000,
     most_words: int = 400_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -116,8 +117,11 @@ def score(
     context; `base_score` sums log10((c + 1) / (N + V + 1)) over words and the text's end.
 
     N-grams and words are counted over all training rows, folded in each task before they are
-    shuffled. The trie goes to the executors: at most most_grams n-grams of each order, the most
-    frequent ones (contexts it lacks are coded by shorter ones), so its size has a bound. Words: at
+    shuffled. A trie of at most sent_grams n-grams of the longest order goes to the executors. A
+    larger one stays dealt over them whole (grams.Dealt); the log10 probabilities of at most
+    sent_grams frequent n-grams go out, and the distinct others of each text are sent to the shards.
+    Both ways give the same scores. Only where most_grams is given, the trie is bounded: each order
+    keeps that many n-grams at most, the most frequent ones. Words: at
     most most_words of the frequent ones go to the executors; all other occurrences are joined with
     the counts, which thus have no hot keys. Both ways give the same sums.
 
@@ -127,11 +131,17 @@ def score(
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     held = F.coalesce(held_out, F.lit(False))
     learned = training_rows(docs, held)
-    table, tables = cut(grams.counted(learned, order + 1)), []
-    for k in range(order, -1, -1):
-        tables.append(grams.collected(table, most_grams))
-        if k:
-            table = cut(grams.shorter(table, k))
+    table, tables, dealt = cut(grams.counted(learned, order + 1)), [], None
+    if most_grams is not None:
+        for k in range(order, -1, -1):
+            tables.insert(0, grams.collected(table, most_grams))
+            if k:
+                table = cut(grams.shorter(table, k))
+    elif order < 2 or table.count() <= sent_grams:
+        tables = grams.descend(grams.fetched(table), order + 1)
+    else:
+        dealt = grams.Dealt(table, order + 1, _trie_values, sent_grams)
+        tables = [dealt.hot]
     words = cut(word_counts(learned))
     n_texts = learned.count()
     in_words = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -148,20 +158,21 @@ def score(
     context = docs.sparkSession.sparkContext
     model = context.broadcast(
         (
-            [(t.keys, *t.values) for t in reversed(tables)],
+            [(t.keys, *t.values) for t in tables],
             frequent["word"].cast(pa.binary()).combine_chunks(),
             frequent["n"].to_numpy(),
         )
     )
+    whole, n = dealt is None, order + 1
     name, kind = uuid.uuid4().hex, docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, logs = _load(name, model)
+        value_of, logs = _load(name, model, whole)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for start, texts in byte_slices(batch.column(1), grams.SLICE_BYTES):
                 texts = [t.lower() for t in texts]
-                scores = grams.sums_by_text(texts, trie.order + 1, trie.log10_probability)
+                scores, asked, times = grams.sums_and_unknown(texts, n, value_of)
                 tokens, known, sums, rare = [], [], [], []
                 for text in texts:
                     own = text.split()
@@ -180,6 +191,8 @@ def score(
                     "frequent_sum": pa.array(sums, pa.float64()),
                     "score": pa.array(scores),
                     "rare": pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+                    "asked": pa.array(asked, pa.list_(pa.int64())),
+                    "times": pa.array(times, pa.list_(pa.int64())),
                 }
                 row += len(texts)
                 yield pa.RecordBatch.from_pydict(columns)
@@ -188,7 +201,7 @@ def score(
         docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(
             run,
             f"row long, doc_id {kind}, held_out boolean, n_words long, frequent long, "
-            "frequent_sum double, score double, rare array<string>",
+            "frequent_sum double, score double, rare array<string>, asked array<long>, times array<long>",
         )
     )
     rare = (
@@ -197,7 +210,9 @@ def score(
         .groupBy("row")
         .agg(F.count(F.lit(1)).alias("rare"), F.sum(F.log10(F.col("n") + 1)).alias("rare_sum"))
     )
-    out = scored.drop("rare").join(rare, "row", "left")
+    scored = scored.drop("rare")
+    scored = scored.drop("asked", "times") if whole else dealt.completed(scored, "score")
+    out = scored.join(rare, "row", "left")
     per_token = math.log10(total + kinds + 1)
     known = F.col("frequent") + F.coalesce("rare", F.lit(0)) + int(n_texts > 0)
     sums = F.col("frequent_sum") + F.coalesce("rare_sum", F.lit(0.0)) + math.log10(n_texts + 1)
@@ -213,14 +228,20 @@ def score(
     )
 
 
+def _trie_values(tables: list[grams.Table], stats: list):
+    return Trie(tables).log10_probability
+
+
 _LOADED: dict = {}
 
 
-def _load(name: str, model):
-    """The trie and log10(count + 1) by word, once per worker process and model."""
+def _load(name: str, model, whole: bool):
+    """What gives the log10 probability of n-grams, by the whole trie or of hot ones only, and
+    log10(count + 1) by word, once per worker process and model."""
     if name not in _LOADED:
         _LOADED.clear()
         tables, words, counts = model.value
         logs = dict(zip(words.to_pylist(), np.log10(counts + 1.0).tolist(), strict=True))
-        _LOADED[name] = Trie([grams.Table(*t) for t in tables]), logs
+        tables = [grams.Table(*t) for t in tables]
+        _LOADED[name] = Trie(tables).log10_probability if whole else grams.hot_value(tables[0]), logs
     return _LOADED[name]

@@ -116,6 +116,17 @@ def test_ppm_bounded_model(spark):
     assert small < full < 0
 
 
+@pytest.mark.parametrize("sent", [0, 60])
+def test_ppm_dealt_trie_is_whole(spark, sent, monkeypatch):
+    monkeypatch.setattr(grams, "SHARD_GRAMS", 200)
+    docs = docs_of(spark, [(i, t, None) for i, t in enumerate([*made_texts(), "", None, "zzé 12 " * 40])])
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scores = [
+        {r.doc_id: r.score for r in ppm.score(docs, fold, **bound).collect()} for bound in ({}, {"sent_grams": sent})
+    ]
+    assert len(scores[0]) == 63 and scores[1] == pytest.approx(scores[0])
+
+
 def test_ppm_beats_word_counts(spark):
     rows = queries.op2_lm_scoring(spark, SMALL.replace("0.001", "0.1")).groupBy("held_out").agg(
         F.sum("score").alias("s"), F.sum("base_score").alias("b")
