@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,13 @@ from sightmatch.llm.batches import small_batches
 from sightmatch.llm.shingles import byte_slices
 from sightmatch.sources.scratch import cut
 
-#: Longest n-gram in bytes; n-grams of each order that go to the executors at most.
-ORDER, MOST_GRAMS = 5, 2_000_000
-#: Trusted texts that are counted at most, and the size above which one is passed over.
-FIT_DOCS, FIT_BYTES = 4_000, 1 << 16
+#: Longest n-gram in bytes.
+ORDER = 5
+#: Rows (fold, n-gram) up to which whole models go to the executors, and n-grams of a dealt model
+#: whose values do. The results do not depend on either.
+SENT_GRAMS, HOT_GRAMS = 2_000_000, 500_000
+#: Trusted ids up to which they are broadcast.
+SENT_IDS = 4_000_000
 #: Parts of the trusted texts; thresholds come from each as scored by a model of the others.
 FOLDS = 5
 #: Languages with a threshold of their own; the rest share one.
@@ -28,13 +33,15 @@ PRIOR = 100
 
 class KneserNey:
     """p(symbol | context) of n-grams of bytes. The longest order holds counts, shorter ones
-    the number of different bytes before the n-gram; three discounts per order."""
+    the number of different bytes before the n-gram; three discounts per order. Where the tables are
+    a shard's, `sizes` says for each order how many n-grams the whole one has, see count_kinds()."""
 
-    def __init__(self, tables: list[grams.Table]):
+    def __init__(self, tables: list[grams.Table], sizes: list[tuple] | None = None):
         self.grams, self.contexts = [], []
-        for table in tables:
+        for k, table in enumerate(tables):
             counts = table.values[0]
-            n1, n2, n3, n4 = (max(1, int((counts == i).sum())) for i in (1, 2, 3, 4))
+            once = sizes[k][1:] if sizes else [(counts == i).sum() for i in (1, 2, 3, 4)]
+            n1, n2, n3, n4 = (max(1, int(n)) for n in once)
             share = n1 / (n1 + 2 * n2)
             discounts = np.array(
                 [0, 1 - 2 * share * n2 / n1, 2 - 3 * share * n3 / n2, 3 - 4 * share * n4 / n3]
@@ -64,59 +71,77 @@ class KneserNey:
         return -np.log2(p)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> KneserNey:
+class DealtKneserNey(grams.Dealt):
+    """A KneserNey that is too large to be sent; it stays dealt over the executors."""
+
+    def __init__(self, top: DataFrame):
+        super().__init__(top, ORDER, lambda tables, sizes: KneserNey(tables, sizes).bits, HOT_GRAMS)
+
+
+Model = KneserNey | DealtKneserNey
+
+
+def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of the texts of docs whose ids are in trusted (column doc_id), see fits()."""
     return fits(docs, trusted, 1, id_col, text_col)[0]
 
 
 def fits(
     docs: DataFrame, trusted: DataFrame, folds: int, id_col: str = "doc_id", text_col: str = "text"
-) -> list[KneserNey]:
+) -> list[Model]:
     """A model of the texts of docs whose ids are in trusted (column doc_id), and with more than
-    one fold a model without the texts of each.
-
-    At most FIT_DOCS ids, by a hash of the id, and of those the texts of at most FIT_BYTES, are
-    counted; so the model has a bound whatever the corpus."""
-    ids = trusted.select(F.col("doc_id").alias("__id")).filter("__id IS NOT NULL").distinct()
-    ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(FIT_DOCS)
-    texts = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .filter(F.octet_length("text") <= FIT_BYTES)
-        .join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi")
-        .dropDuplicates(["doc_id"])
+    one fold a model without the texts of each. All rows of trusted ids are counted whole; counts
+    too many to be sent out make models that stay dealt over the executors."""
+    ids = cut(trusted.select(F.col("doc_id").alias("__id")).filter("__id IS NOT NULL").distinct())
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(
+        F.broadcast(ids) if ids.count() <= SENT_IDS else ids, F.col("doc_id") == F.col("__id"), "left_semi"
     )
-    by_fold, models = cut(grams.counted(texts, ORDER, folds)), []
+    by_fold = cut(grams.counted(texts, ORDER, folds))
+    if by_fold.count() > SENT_GRAMS:
+        whole = by_fold.groupBy("gram").agg(F.sum("n").alias("n"))
+        parts = [whole]
+        for i in range(folds if folds > 1 else 0):
+            parts.append(by_fold.filter(F.col("fold") != i).groupBy("gram").agg(F.sum("n").alias("n")))
+        return [DealtKneserNey(cut(part)) for part in parts]
+    got = by_fold.toArrow()
+    keys, times = got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(keys)
+    keys, times = keys[order], times[order]
+    fold = got["fold"].to_numpy()[order] if folds > 1 else np.zeros(len(keys), np.int32)
+    models = []
     for left_out in range(-1, folds if folds > 1 else 0):
-        table, tables = by_fold, []
-        if folds > 1:
-            table = by_fold.filter(F.col("fold") != left_out).groupBy("gram").agg(F.sum("n").alias("n"))
-        for k in range(ORDER - 1, -1, -1):
-            tables.append(grams.collected(table, MOST_GRAMS))
-            if k:
-                table = cut(grams.shorter(table, k))
-        models.append(KneserNey(tables[::-1]))
+        own = fold != left_out
+        distinct, rows = grams.runs(keys[own])
+        counts = np.add.reduceat(times[own], np.cumsum(rows) - rows) if len(rows) else times[own]
+        models.append(KneserNey(grams.descend(grams.Table(distinct, counts), ORDER)))
     return models
 
 
-def _scorer(docs: DataFrame, models: list[KneserNey]):
-    """A function from texts (bytes) and the number of each one's model to (bits, symbols); the
-    models go out once per executor."""
+def _scorer(docs: DataFrame, models: list[Model]):
+    """A function from texts (bytes) and the number of each one's model to (bits, symbols, n-grams
+    whose bits only a dealt model knows, how often each); models, or of dealt ones what is hot,
+    go out once per executor."""
     context = docs.sparkSession.sparkContext
-    shipped = [context.broadcast(m) for m in models]
+    whole = isinstance(models[0], KneserNey)
+    shipped = [context.broadcast(m if whole else m.hot) for m in models]
 
-    def score(texts: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        bits = np.zeros(len(texts))
+    def score(texts: list[bytes], which: np.ndarray):
+        bits, asked, times = np.zeros(len(texts)), [None] * len(texts), [None] * len(texts)
         for m in np.unique(which):
             own = np.flatnonzero(which == m)
-            bits[own] = grams.sums_by_text([texts[i] for i in own], ORDER, shipped[m].value.bits)
-        return bits, np.array([len(t) + 1 for t in texts], np.int64)
+            model = shipped[m].value
+            value_of = model.bits if whole else grams.hot_value(model)
+            bits[own], more, often = grams.sums_and_unknown([texts[i] for i in own], ORDER, value_of)
+            for i, keys, n in zip(own, more, often, strict=True):
+                asked[i], times[i] = keys, n
+        return bits, np.array([len(t) + 1 for t in texts], np.int64), asked, times
 
     return score
 
 
 def perplexities(
     docs: DataFrame,
-    model: KneserNey | list[KneserNey],
+    model: Model | list[Model],
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -126,15 +151,27 @@ def perplexities(
     models = model if isinstance(model, list) else [model]
     score, id_type = _scorer(docs, models), docs.schema[id_col].dataType.simpleString()
 
+    whole = isinstance(models[0], KneserNey)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for start, texts in byte_slices(batch.column(2), grams.SLICE_BYTES):
                 own = batch.slice(start, len(texts))
-                bits, n = score(texts, own.column(3).to_numpy())
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array(bits), pa.array(n)],
-                    ["doc_id", "lang", "bits", "n_symbols"],
-                )
+                bits, n, asked, times = score(texts, own.column(3).to_numpy())
+                columns = {
+                    "doc_id": own.column(0),
+                    "lang": own.column(1),
+                    "bits": pa.array(bits),
+                    "n_symbols": pa.array(n),
+                }
+                if not whole:
+                    columns["fold"] = own.column(3)
+                    columns["row"] = pa.array(range(row, row + len(texts)), pa.int64())
+                    columns["asked"] = pa.array(asked, pa.list_(pa.int64()))
+                    columns["times"] = pa.array(times, pa.list_(pa.int64()))
+                row += len(texts)
+                yield pa.RecordBatch.from_pydict(columns)
 
     picked = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -142,13 +179,19 @@ def perplexities(
         F.col(text_col).alias("text"),
         grams.fold_of(F.col(text_col), len(models)).alias("fold"),
     )
-    return small_batches(picked).mapInArrow(run, f"doc_id {id_type}, lang string, bits double, n_symbols long")
+    schema = f"doc_id {id_type}, lang string, bits double, n_symbols long"
+    if whole:
+        return small_batches(picked).mapInArrow(run, schema)
+    schema += ", fold int, row long, asked array<long>, times array<long>"
+    scored = cut(small_batches(picked).mapInArrow(run, schema))
+    parts = [m.completed(scored.filter(F.col("fold") == i), "bits") for i, m in enumerate(models)]
+    return reduce(DataFrame.unionAll, parts).drop("fold", "row")
 
 
 def thresholds(
     docs: DataFrame,
     trusted: DataFrame,
-    models: list[KneserNey],
+    models: list[Model],
     quantile: float,
     slack: float,
     id_col: str = "doc_id",
@@ -248,11 +291,13 @@ def keep_good(
     lang_col: str = "lang",
 ) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns. Trusted texts are scored
-    twice, for the thresholds and for the choice."""
+    twice, for the thresholds and for the choice. Texts are shuffled only with a dealt model."""
     model, *others = fits(docs, trusted, FOLDS, id_col, text_col)
     limits = thresholds(docs, trusted, others, quantile, slack, id_col, text_col, lang_col)
     if not limits:
         return docs
+    if isinstance(model, DealtKneserNey):
+        return _keep_by_hash(docs, model, limits, text_col, lang_col)
     score, at = _scorer(docs, [model]), docs.columns.index(text_col)
     by_lang = docs.columns.index(lang_col)
 
@@ -260,10 +305,29 @@ def keep_good(
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for start, texts in byte_slices(batch.column(at), grams.SLICE_BYTES):
-                bits, n = score(texts, np.zeros(len(texts), np.int64))
+                bits, n, _, _ = score(texts, np.zeros(len(texts), np.int64))
                 langs = batch.column(by_lang).slice(start, len(texts)).to_pylist()
                 limit = np.array([limits.get(x or "", limits[None]) for x in langs]).reshape(-1, 2)
                 keep[start : start + len(texts)] = settled_rate(bits, n, limit[:, 0]) <= limit[:, 1]
             yield batch.filter(pa.array(keep))
 
     return small_batches(docs).mapInArrow(run, docs.schema)
+
+
+def _keep_by_hash(
+    docs: DataFrame, model: DealtKneserNey, limits: dict, text_col: str, lang_col: str
+) -> DataFrame:
+    """keep_good() with a dealt model. What is kept depends on text and language alone, so the
+    verdicts come back by these, the text as its SHA-256."""
+    text_hash = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
+    keyed = docs.select(text_hash.alias("__hash"), F.col(text_col).alias("text"), lang.alias("lang"))
+    scored = perplexities(keyed, model, "__hash")
+    rows = [(k, float(m), float(t)) for k, (m, t) in limits.items() if k is not None]
+    table = docs.sparkSession.createDataFrame(rows, "lang string, middle double, top double")
+    middle, top = (F.coalesce(c, F.lit(float(x))) for c, x in zip(("middle", "top"), limits[None], strict=True))
+    good = scored.join(F.broadcast(table), "lang", "left").filter(
+        settled_rate(F.col("bits"), F.col("n_symbols"), middle) <= top
+    )
+    good = good.select(F.col("doc_id").alias("__hash"), F.col("lang").alias("__lang")).distinct()
+    return docs.join(good, (text_hash == F.col("__hash")) & (lang == F.col("__lang")), "left_semi")

@@ -261,6 +261,40 @@ def test_quality_of_labelled_rows(spark):
     assert rates[1] > 0.99 and rates[0] < 0.1
 
 
+def test_quality_of_a_dealt_model(spark, monkeypatch):
+    rows = [(i, t, "en" if i % 3 else "de") for i, t in enumerate(made_texts(40))]
+    rows += [(200, None, None), (202, "#$%&" * 300, "en"), (None, "the of", "en"), (5, rows[5][1], "en")]
+    docs, trusted = docs_of(spark, rows), spark.range(30).toDF("doc_id")
+
+    def results():
+        got = quality.judge(docs, trusted).collect()
+        left = quality.keep_good(docs, trusted)
+        assert left.columns == docs.columns
+        got = sorted((str(r.doc_id), str(r.lang), r.perplexity, r.threshold, r.kept) for r in got)
+        return got, sorted(map(str, left.collect()))
+
+    whole = results()
+    for name, value in (("SENT_GRAMS", 100), ("HOT_GRAMS", 50)):
+        monkeypatch.setattr(quality, name, value)
+    monkeypatch.setattr(grams, "SHARD_GRAMS", 500)
+    dealt = results()
+    assert len(whole[0]) == len(rows) and dealt[1] == whole[1]
+    for one, other in zip(*(x[0] for x in (whole, dealt)), strict=True):
+        assert one[:2] + one[4:] == other[:2] + other[4:] and other[2:4] == pytest.approx(one[2:4])
+
+
+def test_quality_counts_all_trusted_texts(spark):
+    texts = [f"w{i} " for i in range(4_100)] + ["long " * 20_000]
+    docs = docs_of(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    model = quality.fit(docs, docs.select("doc_id"))
+    symbols = np.array([int.from_bytes(b"\xfe" * 4 + s, "big") for s in (b"w", b"l")], np.uint64)
+    assert model.bits(symbols)[0] < 0.01
+    learned = [t.encode() for t in texts]
+    for text in (b"w4099 ", b"long lo"):
+        key = [int.from_bytes((b"\xfe" * 4 + text + b"\xff")[i : i + 5], "big") for i in range(len(text) + 1)]
+        assert model.bits(np.array(key, np.uint64)).sum() == pytest.approx(plain_kneser_ney(learned, text, quality.ORDER))
+
+
 @pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
 def test_quality_keeps_unlabelled_good_texts(spark, size):
     folder = SMALL.replace("0.001", size)
