@@ -283,6 +283,21 @@ def test_quality_of_a_dealt_model(spark, monkeypatch):
         assert one[:2] + one[4:] == other[:2] + other[4:] and other[2:4] == pytest.approx(one[2:4])
 
 
+def test_quality_discounts_are_of_whole_orders():
+    texts = [t.encode() for t in made_texts()]
+    keys = np.sort(np.concatenate([k for k, _ in grams.pack(texts, quality.ORDER)]))
+    tables = grams.descend(grams.Table(*grams.runs(keys)), quality.ORDER)
+    sizes = [(len(t.keys), *((t.values[0] == i).sum() for i in (1, 2, 3, 4))) for t in tables]
+    whole, ending = quality.KneserNey(tables), int.from_bytes(b"he", "big")
+    shard = tables[:2]
+    for t in tables[2:]:
+        own = (t.keys >> np.uint64(8)) & np.uint64(0xFFFF) == ending
+        shard.append(grams.Table(t.keys[own], t.values[0][own]))
+    asked = shard[-1].keys
+    assert len(asked) and np.allclose(quality.KneserNey(shard, sizes).bits(asked), whole.bits(asked))
+    assert not np.allclose(quality.KneserNey(shard).bits(asked), whole.bits(asked))
+
+
 def test_quality_counts_all_trusted_texts(spark):
     texts = [f"w{i} " for i in range(4_100)] + ["long " * 20_000]
     docs = docs_of(spark, [(i, t, "en") for i, t in enumerate(texts)])
