@@ -92,9 +92,8 @@ def fits(
     """A model of the texts of docs whose ids are in trusted (column doc_id), and with more than
     one fold a model without the texts of each. All rows of trusted ids are counted whole; counts
     too many to be sent out make models that stay dealt over the executors."""
-    ids = cut(trusted.select(F.col("doc_id").alias("__id")).filter("__id IS NOT NULL").distinct())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(
-        F.broadcast(ids) if ids.count() <= SENT_IDS else ids, F.col("doc_id") == F.col("__id"), "left_semi"
+        _distinct_ids(trusted), F.col("doc_id") == F.col("__id"), "left_semi"
     )
     by_fold = cut(grams.counted(texts, ORDER, folds))
     if by_fold.count() > SENT_GRAMS:
@@ -117,6 +116,12 @@ def fits(
     return models
 
 
+def _distinct_ids(trusted: DataFrame) -> DataFrame:
+    """Column __id; broadcast unless they are more than SENT_IDS, so that no texts are shuffled."""
+    ids = cut(trusted.select(F.col("doc_id").alias("__id")).filter("__id IS NOT NULL").distinct())
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 def _scorer(docs: DataFrame, models: list[Model]):
     """A function from texts (bytes) and the number of each one's model to (bits, symbols, n-grams
     whose bits only a dealt model knows, how often each); models, or of dealt ones what is hot,
@@ -201,9 +206,8 @@ def thresholds(
     """Per language (median bits a symbol of trusted texts, threshold): the quantile of their
     settled bits a symbol, see judge(), times 1 + slack. None: over all languages. Each trusted
     text is scored by that of the models which has not seen its fold."""
-    ids = trusted.select(F.col("doc_id").alias("__id")).distinct()
     rate = F.col("bits") / F.col("n_symbols")
-    held_out = docs.join(ids, F.col(id_col) == F.col("__id"), "left_semi")
+    held_out = docs.join(_distinct_ids(trusted), F.col(id_col) == F.col("__id"), "left_semi")
     own = cut(
         perplexities(held_out, models, id_col, text_col, lang_col).select(
             F.coalesce("lang", F.lit("")).alias("lang"), "bits", "n_symbols", rate.alias("rate")
