@@ -12,7 +12,7 @@ from sightmatch.llm.running import number, spread_join
 from sightmatch.sources.scratch import cut
 
 #: Children of a node; levels that one task reduces at once, and the leaves of such a block.
-FAN, LEVELS = 8, 5
+FAN, LEVELS = 8, 4
 BLOCK = FAN**LEVELS
 #: Ids of one bitmap word, and of one stretch of the directory, as powers of two.
 WORD_BITS, STRETCH_BITS = 6, 21
