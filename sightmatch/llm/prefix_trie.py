@@ -19,8 +19,9 @@ from sightmatch.sources.scratch import cut
 
 #: Turns of a conversation that are chained in one piece.
 CHUNK = 1024
-#: A subtree of more member turns than this is opened: its top is accumulated apart.
-SUBTREE_ROWS = 20_000
+#: A subtree of more member turns than this, and than the share of all turns, is opened: its top is
+#: accumulated apart.
+SUBTREE_ROWS, OPEN_SHARE = 4_000, 200_000
 #: Nodes in one task's arrays, about; opened nodes whose digests may be broadcast.
 SHARD_NODES, SENT_NODES = 200_000, 500_000
 #: Digests of the root and of nothing.
@@ -292,10 +293,11 @@ def prefix_nodes(paths: DataFrame, subtree_rows: int = SUBTREE_ROWS) -> DataFram
 
     Prefixes are told apart by 128 bits of SHA-256; two nodes with one digest but other parents or
     turns would be found as equal keys of a slot table and raise. Nodes are counted by a grouping that
-    combines before it shuffles. Subtrees with at most `subtree_rows` member turns are dealt over shards
-    by their tops; a shard accumulates its subtrees in flat arrays over a SlotTable. The nodes above,
-    at most one per `subtree_rows` turns and level, are accumulated the same way in one task, to which the
-    tops below are added up per parent before. What ends at a node is hashed as a stream of blocks.
+    combines before it shuffles. Subtrees with at most `subtree_rows` member turns (or the OPEN_SHARE-th
+    part of all turns, if that is more) are dealt over shards by their tops; a shard accumulates its
+    subtrees in flat arrays over a SlotTable. The nodes above, at most OPEN_SHARE a level, are
+    accumulated the same way in one task, to which the tops below are added up per parent before.
+    What ends at a node is hashed as a stream of blocks.
 
     Defined cases: rows without a conversation id belong to none and are left out. Null roles and texts
     are empty, null turns come first, repeated rows are further turns. Conversations whose path is empty are
@@ -311,11 +313,11 @@ def prefix_nodes(paths: DataFrame, subtree_rows: int = SUBTREE_ROWS) -> DataFram
             F.sum(F.col("length") - F.col("depth") + 1).alias("weight"),
         )
     )
-    opened = nodes.filter(F.col("weight") > subtree_rows)
+    n_nodes, n_turns = nodes.agg(F.count(F.lit(1)), F.sum("n_convs")).first()
+    is_heavy = F.col("weight") > max(subtree_rows, (n_turns or 0) // OPEN_SHARE)
+    opened = nodes.filter(is_heavy)
     heavy = opened.select("node", F.col("conv_id").alias("opened"))
-    n_nodes, n_heavy = nodes.agg(
-        F.count(F.lit(1)), F.count_if(F.col("weight") > subtree_rows)
-    ).first()
+    n_heavy = heavy.count()
     marked = rows.join(F.broadcast(heavy) if n_heavy <= SENT_NODES else heavy, "node", "left")
     tops = marked.groupBy("conv_id").agg(
         F.min_by(
@@ -326,7 +328,7 @@ def prefix_nodes(paths: DataFrame, subtree_rows: int = SUBTREE_ROWS) -> DataFram
     )
     zero = {c: F.lit(0).cast("long") for c in ("n_children", "n_leaves", "saved_tokens")}
     columns = ["node", "parent", "conv_id", "depth", "n_convs", "words", "top_parent", *zero]
-    light = nodes.filter(F.col("weight") <= subtree_rows).join(tops, "conv_id").withColumns(zero)
+    light = nodes.filter(~is_heavy).join(tops, "conv_id").withColumns(zero)
     shards = max(
         int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_nodes // SHARD_NODES
     )
