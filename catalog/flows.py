@@ -10,7 +10,7 @@ from catalog import views as v
 from catalog.vision import r6, r8
 from sightmatch import schemas
 from sightmatch.operators import evaluation, eventlog
-from sightmatch.sources import derived, readers, sinks
+from sightmatch.sources import derived, gallery, readers, sinks
 from sightmatch.sources.scratch import fresh_path
 from sightmatch.streaming import queries as streams
 
@@ -140,6 +140,23 @@ def _drain(stream: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def purge_store(spark, sf):
+    """All vectors stored as targets of many searches; those of completed searches are erased."""
+    targets = derived.table(spark, sf, "embeddings").selectExpr(
+        "vec_id % 97 AS search_id", "vec_id AS target_id", "vec_id AS target_ord", "embedding"
+    )
+    path = fresh_path(spark, "gallery")
+    gallery.add_targets(targets, path)
+    ended = eventlog.search_status(derived.status_log(spark, sf), ended=False).where(
+        "status = 'completed'"
+    )
+    gallery.purge_store(spark, path, ended, targets.schema)
+    left = gallery.stored_targets(spark, path, targets.schema)
+    return left.select(
+        "search_id", "target_id", "target_ord", F.size("embedding").cast("bigint").alias("dims")
+    )
+
+
 def event_sink(spark, sf):
     log = eventlog.to_event_log(
         history._published(spark, sf), ["frame_id"], ["target_id", "track_id"]
@@ -265,6 +282,15 @@ QUERIES = {
         ),
     ),
     "checksum_audit": (checksum_audit, None),
+    "purge_store": (
+        purge_store,
+        v.sql(
+            """
+ SELECT vec_id % 97 AS search_id, vec_id AS target_id, vec_id AS target_ord, len(embedding) AS dims
+ FROM embeddings WHERE vec_id % 97 NOT IN (SELECT search_id FROM last WHERE status = 'completed')""",
+            last=history._LAST_STATUS,
+        ),
+    ),
     "event_sink": (event_sink, v.sql("SELECT * FROM log", log=history._LOG)),
     "latest_sink": (latest_sink, history.QUERIES["latest_per_key"][1]),
     "confirm_stream": (

@@ -20,6 +20,9 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 8 * 1024 * 1024
 FACES_PER_TASK = 500_000
 
+#: Matrices sent to the executors, as broadcasts. Plans that score with them need them until they are done.
+_SHIPPED: list = []
+
 # Scores closer than this are summed again in one fixed order, so that equal targets tie.
 _NEAR = 1e-9
 
@@ -40,6 +43,15 @@ def _with_size(rows: DataFrame) -> DataFrame:
     return rows.where(usable).withColumn("_size", F.size("embedding"))
 
 
+def forget_galleries() -> int:
+    """Destroy every matrix sent to the executors so far, on the driver and on them, and say how many
+    there were. Call it once the matches are written: frames still to be scored with them fail."""
+    n = len(_SHIPPED)
+    while _SHIPPED:
+        _SHIPPED.pop().destroy(blocking=True)
+    return n
+
+
 def best_target(
     faces: DataFrame, targets: DataFrame, *, broadcast: bool | None = None
 ) -> DataFrame:
@@ -123,6 +135,7 @@ def _by_matrix(
 ) -> DataFrame:
     """Gallery under the size limit: no shuffle of the faces, one product per batch and search."""
     shipped = faces.sparkSession.sparkContext.broadcast(targets.toArrow())
+    _SHIPPED.append(shipped)
     galleries: dict = {}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sightmatch import schemas
+from sightmatch.operators import matching
 from sightmatch.params import EvidenceParams
 from sightmatch.plans.pipelines import sightings
 from sightmatch.sources.readers import stream_frames
@@ -40,6 +41,8 @@ def store_sightings(
         seen = sightings(faces, tracks, targets, threshold)
         rows = without_vectors(as_sightings(seen, batch))
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        # The vectors stay with the executors no longer than the batch.
+        matching.forget_galleries()
 
     return (
         frames.writeStream.foreachBatch(step)
