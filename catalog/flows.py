@@ -112,23 +112,33 @@ def _stored(df: DataFrame, purpose: str) -> str:
 
 
 # Streams read their input a file at a time. Its rows are dealt over the files at random, so
-# the lateness must span all of them (26 s of compressed time); a last file holds one row that is late
-# enough for the watermark to pass the others.
-_LATENESS, _FILES, _LATER_MS = "60 seconds", 3, 600_000
+# the lateness must span all of them; a last file holds one row that is late enough for the watermark to
+# pass the others and whatever they still wait for.
+_FILES, _WAIT_MS = 3, 3_600_000
 
 
-def _shuffled(df: DataFrame, purpose: str, key: str, time: str) -> str:
+def _shuffled(df: DataFrame, purpose: str, key: str, time: str, wait: str = "0L"):
+    """The files' path, and what a stream over them takes: the lateness that the rows' times ask for, an
+    origin that makes them positive, and slices by which some ten timers meet a key. `wait` is how long
+    after its time a row may still cause something."""
     path = fresh_path(df.sparkSession, purpose)
     df.repartition(_FILES).write.parquet(path)
+    first, last, longest = df.agg(
+        F.min(time), F.max(time), F.max(F.coalesce(F.expr(wait), F.lit(0)))
+    ).first()
+    span = (last or 0) - (first or 0)
+    slice_ms = max(1_000, span // 10)
     kinds = dict(df.dtypes)
-    last = df.sparkSession.range(1).select(
-        *[
-            F.lit({key: -1, time: _LATER_MS}.get(c)).cast(kinds[c]).alias(c)
-            for c in df.columns
-        ]
+    closing = {key: -1, time: (last or 0) + span + longest + 3 * slice_ms + _WAIT_MS}
+    row = df.sparkSession.range(1).select(
+        *[F.lit(closing.get(c)).cast(kinds[c]).alias(c) for c in df.columns]
     )
-    last.coalesce(1).write.mode("append").parquet(path)
-    return path
+    row.coalesce(1).write.mode("append").parquet(path)
+    return path, {
+        "lateness": f"{span + 1_000} milliseconds",
+        "origin_ms": _START_MS - min(0, first or 0),
+        "slice_ms": slice_ms,
+    }
 
 
 def _drain(stream: DataFrame, purpose: str) -> DataFrame:
@@ -137,6 +147,9 @@ def _drain(stream: DataFrame, purpose: str) -> DataFrame:
     out = fresh_path(spark, purpose)
     query = sinks.write_event_log(stream, out, fresh_path(spark, f"{purpose}-checkpoint"))
     query.awaitTermination()
+    late = streams.late_rows(query)
+    if late:
+        raise ValueError(f"{late} rows came after the watermark")
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -179,12 +192,11 @@ def latest_sink(spark, sf):
 
 
 def confirm_stream(spark, sf):
-    table = streams.as_sightings(history.seen(spark, sf), v.frame_log(spark, sf))
-    path = _shuffled(table, "sightings", "source_id", "captured_ms")
+    frames = v.frame_log(spark, sf).withColumn("search_id", F.lit(1).cast("bigint"))
+    table = streams.as_sightings(history.seen(spark, sf), frames)
+    path, how = _shuffled(table, "sightings", "source_id", "captured_ms")
     stream = readers.stream_frames(spark, path, schemas.SIGHTINGS, 1)
-    events = _drain(
-        streams.confirm_stream(stream, 0.25, lateness=_LATENESS, origin_ms=_START_MS), "confirmed"
-    )
+    events = _drain(streams.confirm_stream(stream, 0.25, **how), "confirmed")
     return events.select(
         "source_id", "target_id", "frame_id", "captured_ms", "state", "evidence_count",
         *r6("similarity"), *r8("quality"),
@@ -192,11 +204,9 @@ def confirm_stream(spark, sf):
 
 
 def track_stream(spark, sf):
-    path = _shuffled(derived.detections(spark, sf), "detections", "source_id", "captured_ms")
+    path, how = _shuffled(derived.detections(spark, sf), "detections", "source_id", "captured_ms")
     stream = readers.stream_frames(spark, path, schemas.DETECTIONS, 1)
-    tracks = _drain(
-        streams.track_stream(stream, lateness=_LATENESS, origin_ms=_START_MS), "tracks"
-    )
+    tracks = _drain(streams.track_stream(stream, **how), "tracks")
     return tracks.select(
         "source_id", "frame_id", "track_id", *r6("x1", "y1", "x2", "y2", "score"), "missed"
     )
@@ -208,11 +218,9 @@ _START_MS = 1_704_067_200_000
 
 def outage_stream(spark, sf):
     log = v.frame_log(spark, sf).select("source_id", "captured_ms")
-    path = _shuffled(log, "frames", "source_id", "captured_ms")
+    path, how = _shuffled(log, "frames", "source_id", "captured_ms", "1000L")
     stream = readers.stream_frames(spark, path, log.schema, 1)
-    return _drain(
-        streams.outage_stream(stream, 1000, _LATENESS, origin_ms=_START_MS), "outages"
-    )
+    return _drain(streams.outage_stream(stream, 1000, **how), "outages")
 
 
 def outcome_stream(spark, sf):
@@ -231,9 +239,9 @@ def outcome_stream(spark, sf):
             "captured_ms AS at_ms", "target_id", "0L AS total_count", "0L AS timeout_ms",
         )
     )
-    path = _shuffled(rows, "search-log", "search_id", "at_ms")
+    path, how = _shuffled(rows, "search-log", "search_id", "at_ms", "timeout_ms")
     stream = readers.stream_frames(spark, path, rows.schema, 1)
-    return _drain(streams.outcome_stream(stream, _LATENESS, origin_ms=_START_MS), "outcomes")
+    return _drain(streams.outcome_stream(stream, **how), "outcomes")
 
 
 def dedupe_stream(spark, sf):
@@ -243,8 +251,9 @@ def dedupe_stream(spark, sf):
     path = fresh_path(spark, "requests")
     requests.repartition(_FILES).write.parquet(path)
     stream = readers.stream_frames(spark, path, requests.schema, 1)
-    # The lateness spans all orders, so each request id comes out once.
-    return _drain(streams.dedupe_stream(stream, "at", "4000 days"), "deduped").select("request_id")
+    # A lateness that spans all orders, so that each request id comes out once.
+    days = requests.agg(F.datediff(F.max("at"), F.min("at"))).first()[0] or 0
+    return _drain(streams.dedupe_stream(stream, "at", f"{days + 1} days"), "deduped").select("request_id")
 
 
 QUERIES = {

@@ -29,6 +29,8 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 LATENESS = "5 seconds"
+# Rows of a key that are handled together, and how long it may be silent before it is forgotten.
+SLICE_MS, IDLE_MS = 1_000, 3_600_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -58,16 +60,23 @@ def _plain(values, kind: str) -> list:
 class _InOrder(StatefulProcessor):
     """Holds rows back until the watermark has passed them, then hands them on by time.
 
-    `columns` and `kinds` describe the rows; `_at` is their event time in milliseconds."""
+    `columns` and `kinds` describe the rows; `_at` is their event time in milliseconds.  Rows wait
+    by slices of `slice_ms`, each with a timer at its end, so that a timer reads the rows of its
+    slice and no others.  Timers fire in the order of their times."""
 
     columns: tuple[str, ...] = ()
     kinds: tuple[str, ...] = ()
     output: str = ""
+    slice_ms: int = SLICE_MS
+    #: A key without rows for so long loses all its state; None keeps it.
+    idle_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        fields = [f"{c} {k}" for c, k in zip(self.columns, self.kinds, strict=True)]
-        self.waiting = handle.getListState("waiting", ", ".join(["at BIGINT", *fields]))
+        fields = [f"{c}: {k}" for c, k in zip(self.columns, self.kinds, strict=True)]
+        row = ", ".join(["at: BIGINT", *fields])
+        self.waiting = handle.getMapState("waiting", "slice BIGINT", f"rows ARRAY<STRUCT<{row}>>")
+        self.last = handle.getValueState("last", "at BIGINT")
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -81,43 +90,66 @@ class _InOrder(StatefulProcessor):
         """When to look again though no row waits."""
         return None
 
+    def forget(self) -> None:
+        """Drop the further state."""
+
     def _frame(self, out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(out, columns=_names(self.output))
 
-    def _remind(self, times: list[int]) -> None:
-        due = self.next_due()
-        times = [*times, due] if due is not None else times
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if times:
-            self.handle.registerTimer(min(times))
+    def _end(self, at: int) -> int:
+        """The end of the slice that a time is in."""
+        return (at // self.slice_ms + 1) * self.slice_ms
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # One reminder is enough: for the earliest row; at it, all that is due is handled.
-        times = list(self.handle.listTimers())
+        slices: dict[int, list] = {}
         for pdf in rows:
-            # By position: computed columns come without their names.
+            # By position, after the key and before the event time: computed columns come without
+            # their names.
+            first = pdf.shape[1] - len(self.kinds) - 2
             parts = [
-                _plain(pdf.iloc[:, i + 1], kind) for i, kind in enumerate(("BIGINT", *self.kinds))
+                _plain(pdf.iloc[:, first + i], kind)
+                for i, kind in enumerate(("BIGINT", *self.kinds))
             ]
-            self.waiting.appendList(list(zip(*parts, strict=True)))
-            times.append(min(parts[0]))
-        self._remind(times)
+            for row in zip(*parts, strict=True):
+                slices.setdefault(self._end(row[0]), []).append(row)
+        for end, new in slices.items():
+            if self.waiting.containsKey((end,)):
+                new = [tuple(r) for r in self.waiting.getValue((end,))[0]] + new
+            self.waiting.updateValue((end,), (new,))
+            self.handle.registerTimer(end)
         yield self._frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        rows: list[tuple] = []
+        if self.waiting.containsKey((end,)):
+            rows = sorted((tuple(r) for r in self.waiting.getValue((end,))[0]), key=_nulls_first)
+            self.waiting.removeKey((end,))
+        out = self.release(key, rows, end)
         now = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted((tuple(r) for r in rows if r[0] <= now), key=_nulls_first)
-        rest = [tuple(r) for r in rows if r[0] > now]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        out = self.release(key, ready, now)
-        self._remind([r[0] for r in rest])
+        # A timer set for a time that has passed would wait for the next micro-batch: look now,
+        # unless a slice before it is still to come, which will look.
+        due = self.next_due()
+        while due is not None and self._end(due) <= now and not self._waits(self._end(due)):
+            end = max(end, self._end(due))
+            out += self.release(key, [], end)
+            due = self.next_due()
+        if due is not None:
+            self.handle.registerTimer(self._end(due))
+        if self.idle_ms is not None:
+            if rows:
+                self.last.update((end,))
+            silent = self._end(self.last.get()[0] + self.idle_ms) if self.last.exists() else None
+            if silent is not None and silent <= max(end, now) and not self._waits(silent):
+                self.last.clear()
+                self.forget()
+            elif silent is not None and rows:
+                self.handle.registerTimer(silent)
         yield self._frame(out)
 
+    def _waits(self, until: int) -> bool:
+        return any(end <= until for (end,) in self.waiting.keys())
+
     def close(self) -> None:
         pass
 
@@ -127,17 +159,29 @@ def _nulls_first(row: tuple) -> tuple:
 
 
 def _in_order(
-    rows: DataFrame, key: str, processor: _InOrder, lateness: str, origin_ms: int, time: str
+    rows: DataFrame,
+    key: str | list[str],
+    processor: _InOrder,
+    lateness: str,
+    origin_ms: int,
+    time: str,
 ) -> DataFrame:
     """rows by key through the processor. Event time is the column `time` (milliseconds) counted
-    from origin_ms; watermarks start at 0, so it must be positive."""
+    from origin_ms; watermarks start at 0, so it must be positive. Several keys are passed as texts,
+    empty for null: pandas has no whole numbers beside a null."""
     use_rocksdb(rows.sparkSession)
+    keys = [key] if isinstance(key, str) else key
+    text = lambda k: F.coalesce(F.col(k).cast("string"), F.lit(""))
     at = F.col(time) + origin_ms
     return (
-        rows.select(key, at.alias("_at"), *[c for c in processor.columns if c != key])
+        rows.select(
+            *[(F.col(k) if len(keys) == 1 else text(k)).alias(f"_{k}") for k in keys],
+            at.alias("_at"),
+            *processor.columns,
+        )
         .withColumn("_time", F.timestamp_millis("_at"))
         .withWatermark("_time", lateness)
-        .groupBy(key)
+        .groupBy(*[f"_{k}" for k in keys])
         .transformWithStateInPandas(
             statefulProcessor=processor,
             outputStructType=processor.output,
@@ -148,32 +192,51 @@ def _in_order(
 
 
 class _Confirming(_InOrder):
-    """Evidence states of one source, one per search, target and track, in one value: as many
-    as its live tracks have targets.  With `retire` a target that is found is left alone."""
+    """Evidence states of one search on one source: an entry per target and track with evidence, and
+    with `retire` one per target found, until the search falls silent."""
 
     columns = (
-        "frame_id", "captured_ms", "search_id", "target_id", "track_id", "similarity", "quality",
+        "frame_id", "captured_ms", "target_id", "track_id", "similarity", "quality",
     )
-    kinds = ("BIGINT", "BIGINT", "BIGINT", "BIGINT", "BIGINT", "DOUBLE", "DOUBLE")
+    kinds = ("BIGINT", "BIGINT", "BIGINT", "BIGINT", "DOUBLE", "DOUBLE")
     output = schemas.EVENTS
 
-    def __init__(self, params: EvidenceParams, threshold: float, retire: bool):
+    def __init__(
+        self, params: EvidenceParams, threshold: float, retire: bool, slice_ms: int, idle_ms: int
+    ):
         self.params, self.threshold, self.retire = params, threshold, retire
+        self.slice_ms, self.idle_ms = slice_ms, idle_ms
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.book = handle.getValueState("book", "memories STRING, found STRING")
+        self.evidence = handle.getMapState(
+            "evidence",
+            "target_id BIGINT, track_id BIGINT",
+            "kept ARRAY<BIGINT>, confirmed BOOLEAN, shown BIGINT, hit BIGINT,"
+            " similarity DOUBLE, quality DOUBLE",
+        )
+        self.found = handle.getMapState("found", "target_id BIGINT", "captured_ms BIGINT")
+
+    def forget(self) -> None:
+        self.evidence.clear()
+        self.found.clear()
 
     def release(self, key, rows: list[tuple], now: int) -> list[tuple]:
-        text, gone = self.book.get() if self.book.exists() else ("[]", "[]")
-        live = {(s, t, k): (tuple(kept), *rest) for s, t, k, kept, *rest in json.loads(text)}
-        found = {(s, t) for s, t in json.loads(gone)}
+        if not rows:
+            return []
+        search, source = (int(k) if k else None for k in key)
+        before = {
+            tuple(who): (tuple(kept), *rest) for who, (kept, *rest) in self.evidence.iterator()
+        }
+        live = dict(before)
+        found = {target for (target,) in self.found.keys()} if self.retire else set()
+        gone: dict[int, int] = {}
         out = []
         for (frame, at), part in groupby(rows, key=itemgetter(1, 2)):
             events = []
-            for *_, search, target, track, similarity, quality in part:
-                if target is None or (search, target) in found:
+            for *_, target, track, similarity, quality in part:
+                if target is None or target in found:
                     continue
-                who = (search, target, track)
+                who = (target, track)
                 live[who], told = step.on_face(
                     live.get(who, step.EMPTY), at, similarity, quality, self.threshold, self.params
                 )
@@ -183,15 +246,18 @@ class _Confirming(_InOrder):
                 events += [(who, e) for e in told]
                 if live[who] is None:
                     del live[who]
-            out += [(s, key[0], t, k, frame, at, *e) for (s, t, k), e in events]
+            out += [(search, source, *who, frame, at, *e) for who, e in events]
             if self.retire:
-                found |= {who[:2] for who, e in events if e[0] == "confirmed"}
-                live = {who: memory for who, memory in live.items() if who[:2] not in found}
-        if live or found:
-            memories = [(*who, *memory) for who, memory in live.items()]
-            self.book.update((json.dumps(memories), json.dumps(list(found))))
-        else:
-            self.book.clear()
+                gone |= {who[0]: at for who, e in events if e[0] == "confirmed"}
+                found |= gone.keys()
+                live = {who: memory for who, memory in live.items() if who[0] not in found}
+        for who in before.keys() - live.keys():
+            self.evidence.removeKey(who)
+        for who, memory in live.items():
+            if before.get(who) != memory:
+                self.evidence.updateValue(who, (list(memory[0]), *memory[1:]))
+        for target, at in gone.items():
+            self.found.updateValue((target,), (at,))
         return out
 
 
@@ -202,13 +268,17 @@ def confirm_stream(
     lateness: str = LATENESS,
     origin_ms: int = 0,
     retire: bool = False,
+    slice_ms: int = SLICE_MS,
+    idle_ms: int = IDLE_MS,
 ) -> DataFrame:
     """Events of a stream of sightings (schemas.SIGHTINGS): scored faces, plus one row without a
-    target per frame, whose ticks stamp the losses.  Takes any parameters, also those that the
+    target per search and frame, whose ticks stamp the losses.  Takes any parameters, also those that the
     batch form refuses.  With `retire` nothing comes after the frame that finds a target, as
-    from searches.retire_found on one source."""
-    processor = _Confirming(params, threshold, retire)
-    return _in_order(sightings, "source_id", processor, lateness, origin_ms, "captured_ms")
+    from searches.retire_found on one source.  A search (null counts as one) without rows for idle_ms
+    is forgotten: its evidence, and which targets it has found."""
+    processor = _Confirming(params, threshold, retire, slice_ms, idle_ms)
+    key = ["search_id", "source_id"]
+    return _in_order(sightings, key, processor, lateness, origin_ms, "captured_ms")
 
 
 class _Tracking(_InOrder):
@@ -218,13 +288,18 @@ class _Tracking(_InOrder):
     kinds = ("BIGINT", "BIGINT", "BIGINT", *["DOUBLE"] * (len(SIDES) + 1))
     output = schemas.TRACKS
 
-    def __init__(self, params: TrackerParams):
-        self.params = params
+    def __init__(self, params: TrackerParams, slice_ms: int, idle_ms: int | None):
+        self.params, self.slice_ms, self.idle_ms = params, slice_ms, idle_ms
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.book = handle.getValueState("book", "next_id BIGINT, tracks STRING")
 
+    def forget(self) -> None:
+        self.book.clear()
+
     def release(self, key, rows: list[tuple], now: int) -> list[tuple]:
+        if not rows:
+            return []
         next_id, live = 1, []
         if self.book.exists():
             next_id, text = self.book.get()
@@ -243,12 +318,14 @@ def track_stream(
     params: TrackerParams = TrackerParams(),
     lateness: str = LATENESS,
     origin_ms: int = 0,
+    slice_ms: int = SLICE_MS,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """Tracks of a stream of detections (schemas.DETECTIONS); a detector run that found nothing
-    is a row without score."""
-    return _in_order(
-        detections, "source_id", _Tracking(params), lateness, origin_ms, "captured_ms"
-    )
+    is a row without score.  A source without rows for idle_ms (None: never) is forgotten, and its
+    ids start anew."""
+    processor = _Tracking(params, slice_ms, idle_ms)
+    return _in_order(detections, "source_id", processor, lateness, origin_ms, "captured_ms")
 
 
 class _Outages(_InOrder):
@@ -258,12 +335,15 @@ class _Outages(_InOrder):
     kinds = ("BIGINT",)
     output = "source_id BIGINT, at_ms BIGINT, status STRING"
 
-    def __init__(self, gap_ms: int):
-        self.gap_ms = gap_ms
+    def __init__(self, gap_ms: int, slice_ms: int, idle_ms: int | None):
+        self.gap_ms, self.slice_ms, self.idle_ms = gap_ms, slice_ms, idle_ms
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "last_at BIGINT, last_ms BIGINT, lost BOOLEAN")
 
+    def forget(self) -> None:
+        self.seen.clear()
+
     def next_due(self) -> int | None:
         if not self.seen.exists():
             return None
@@ -289,15 +369,23 @@ class _Outages(_InOrder):
 
 
 def outage_stream(
-    frames: DataFrame, gap_ms: int, lateness: str = LATENESS, origin_ms: int = 0
+    frames: DataFrame,
+    gap_ms: int,
+    lateness: str = LATENESS,
+    origin_ms: int = 0,
+    slice_ms: int = SLICE_MS,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """running / source_lost transitions of a frame stream.  A silent source is reported once
-    the watermark has passed its gap."""
-    return _in_order(frames, "source_id", _Outages(gap_ms), lateness, origin_ms, "captured_ms")
+    the watermark has passed its gap.  One that is silent for idle_ms (longer than the gap; None: never)
+    is forgotten; when it comes back, it is running again like a new one."""
+    processor = _Outages(gap_ms, slice_ms, idle_ms)
+    return _in_order(frames, "source_id", processor, lateness, origin_ms, "captured_ms")
 
 
 class _Ending(_InOrder):
-    """Completion or timeout of one search, whichever comes first; its state goes with it."""
+    """Completion or timeout of one search, whichever comes first.  A search that has ended is kept as
+    one flag, so that its late rows start nothing, and forgotten when nothing came for idle_ms."""
 
     columns = ("at_ms", "kind", "target_id", "total_count", "timeout_ms")
     kinds = ("BIGINT", "STRING", "BIGINT", "BIGINT", "BIGINT")
@@ -306,6 +394,13 @@ class _Ending(_InOrder):
         " found_count BIGINT, total_count BIGINT"
     )
 
+    def __init__(self, slice_ms: int, idle_ms: int | None):
+        self.slice_ms, self.idle_ms = slice_ms, idle_ms
+
+    def forget(self) -> None:
+        if self.search.exists() and self.search.get()[-1]:
+            self.search.clear()
+
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.search = handle.getValueState(
             "search", "due_at BIGINT, due_ms BIGINT, total BIGINT, found STRING, done BOOLEAN"
@@ -348,10 +443,16 @@ class _Ending(_InOrder):
         return out
 
 
-def outcome_stream(log: DataFrame, lateness: str = LATENESS, origin_ms: int = 0) -> DataFrame:
+def outcome_stream(
+    log: DataFrame,
+    lateness: str = LATENESS,
+    origin_ms: int = 0,
+    slice_ms: int = SLICE_MS,
+    idle_ms: int = IDLE_MS,
+) -> DataFrame:
     """How each search ends, from a stream of (search_id, kind, at_ms, target_id,
     total_count, timeout_ms) with kind started, frame or confirmed."""
-    return _in_order(log, "search_id", _Ending(), lateness, origin_ms, "at_ms")
+    return _in_order(log, "search_id", _Ending(slice_ms, idle_ms), lateness, origin_ms, "at_ms")
 
 
 def dedupe_stream(requests: DataFrame, time: str, lateness: str = LATENESS) -> DataFrame:
@@ -360,11 +461,15 @@ def dedupe_stream(requests: DataFrame, time: str, lateness: str = LATENESS) -> D
 
 
 def as_sightings(scored: DataFrame, frames: DataFrame) -> DataFrame:
-    """Scored faces and the frame log as one table for confirm_stream."""
+    """Scored faces and the frame log as one table for confirm_stream.  A log whose frames are told per
+    search has a search_id; without one, all is one search."""
     columns = _names(schemas.SIGHTINGS)
     at = F.timestamp_millis(F.col("captured_ms")).alias("captured_at")
     faces = scored.select(*[c for c in columns if c in scored.columns and c != "captured_at"], at)
+    if "search_id" in scored.columns and "search_id" not in frames.columns:
+        raise ValueError("faces of several searches need the frames of each")
+    search = F.col("search_id") if "search_id" in frames.columns else F.lit(None)
     ticks = frames.select(
-        F.lit(None).cast("bigint").alias("search_id"), "source_id", "frame_id", "captured_ms", at
+        search.cast("bigint").alias("search_id"), "source_id", "frame_id", "captured_ms", at
     ).distinct()
     return ticks.unionByName(faces, allowMissingColumns=True).select(*columns)

@@ -141,3 +141,40 @@ def test_live_chain(spark, tmp_path):
     told = {(r.state, r.search_id) for r in got.collect()}
     assert ("candidate", 1) in told and ("confirmed", 1) in told and "lost" not in {s for s, _ in told}
     assert same(got.select(*want.columns), want)
+
+
+def test_state_of_an_ended_search_leaves(spark, tmp_path):
+    """Once searches have been silent for idle_ms, no state of theirs is left."""
+    rows = [
+        (search, 7, frame, 1_000_000 + frame * 250, target, 3, 0.9, 0.5)
+        for search in (1, 2)
+        for frame in range(12)
+        for target in ((None,) if frame % 2 else (None, 10, 11))
+    ]
+    table = spark.createDataFrame(
+        rows,
+        "search_id BIGINT, source_id BIGINT, frame_id BIGINT, captured_ms BIGINT, target_id BIGINT,"
+        " track_id BIGINT, similarity DOUBLE, quality DOUBLE",
+    ).selectExpr("*", "timestamp_millis(captured_ms) AS captured_at").select(
+        *streams._names(schemas.SIGHTINGS)
+    )
+    path = str(tmp_path / "in")
+    table.coalesce(1).write.parquet(path)
+    for at in (1_400_000, 1_500_000, 1_600_000):
+        time.sleep(0.1)
+        row = spark.range(1).select(
+            *[F.lit({"search_id": 9, "source_id": 8, "captured_ms": at}.get(c)).cast(k).alias(c) for c, k in table.dtypes]
+        )
+        row.coalesce(1).write.mode("append").parquet(path)
+    for retire in (False, True):
+        stream = readers.stream_frames(spark, path, schemas.SIGHTINGS, 1)
+        events = streams.confirm_stream(stream, 0.5, lateness="1 second", retire=retire, idle_ms=60_000)
+        query = sinks.write_event_log(events, str(tmp_path / f"out{retire}"), str(tmp_path / f"ck{retire}"))
+        query.awaitTermination()
+        told = spark.read.parquet(str(tmp_path / f"out{retire}"))
+        assert told.where("state = 'confirmed'").count() == 4
+        state = spark.read.format("statestore").option("stateVarName", "evidence").load(str(tmp_path / f"ck{retire}"))
+        assert state.count() == 0
+        for name in ("found", "last", "waiting"):
+            left = spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / f"ck{retire}"))
+            assert {r.key["_search_id"] for r in left.select("key").collect()} <= {"9"}
