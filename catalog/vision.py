@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog import views as v
 from sightmatch.functions import vectors
 from sightmatch.operators import association, detect, matching, models, quality, tracking
 from sightmatch.operators import vectors as vec_ops
-from sightmatch.params import ENROLMENT, SEARCH, TrackerParams
-from sightmatch.sources import derived
+from sightmatch.params import ENROLMENT, SEARCH, QualityProfile, TrackerParams
+from sightmatch.plans import pipelines
+from sightmatch.sources import derived, gallery, readers
+from sightmatch.sources.scratch import fresh_path
 
 
 def r6(*names: str):
@@ -252,6 +259,109 @@ _INFER_FACES_SQL = v.sql(
  GROUP BY p.vec_id HAVING energy > 0""",
 )
 
+
+
+def _png(levels: bytes) -> bytes:
+    """An 8 x 8 gray picture as PNG."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        check = struct.pack(">I", zlib.crc32(kind + body))
+        return struct.pack(">I", len(body)) + kind + body + check
+
+    rows = b"".join(b"\0" + levels[k : k + 8] for k in range(0, 64, 8))
+    head = struct.pack(">IIBBBBB", 8, 8, 8, 0, 0, 0, 0)
+    start = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head)
+    return start + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def _stored_pictures(spark, sf):
+    """Each vector as a PNG file in a folder of its own; every eleventh one is cut short."""
+
+    def encode(batches):
+        for batch in batches:
+            ids = batch.column("vec_id")
+            files = [
+                _png(data)[: 30 if i % 11 == 3 else None]
+                for i, data in zip(ids.to_pylist(), batch.column("data").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(files, pa.binary())], ["vec_id", "data"])
+
+    path = fresh_path(spark, "photos")
+    pixels = v.gray_images(spark, sf).select("vec_id", "image.data")
+    # A text file holds the bytes as they are; what ends the line is behind the end of the picture.
+    pixels.mapInArrow(encode, "vec_id BIGINT, data BINARY").select(
+        "vec_id", F.col("data").cast("string").alias("value")
+    ).write.partitionBy("vec_id").text(path)
+    photos = readers.read_photos(spark, f"{path}/*")
+    return photos.withColumn(
+        "photo_id", F.regexp_extract("path", r"vec_id=(\d+)", 1).cast("bigint")
+    )
+
+
+def photos(spark, sf):
+    """Pictures written as files, read and decoded; some are broken."""
+    return _stored_pictures(spark, sf).select("photo_id", "width", "height", "error_code")
+
+
+# Limits for pictures of 8 x 8 pixels.
+_TINY = QualityProfile(min_side=8, min_blur=5.0, min_detection=0.6, max_roll=25.0, max_yaw=0.45)
+
+
+def enrolment_end_to_end(spark, sf):
+    """Files to admitted uploads, faces, verdicts and stored targets; searches of three photos."""
+    uploads = _stored_pictures(spark, sf).selectExpr(
+        "photo_id DIV 3 AS search_id",
+        "photo_id",
+        "photo_id % 3 AS target_ord",
+        "concat(' target ', photo_id) AS name",
+        "CASE WHEN photo_id % 13 = 5 THEN 'image/gif' ELSE 'image/png' END AS content_type",
+        "CASE WHEN photo_id % 17 = 2 THEN 20000000L ELSE 100L END AS length",
+        "image",
+    )
+    store = fresh_path(spark, "gallery")
+    verdicts = pipelines.enroll_pictures(
+        uploads, _whole_face_model, "stub", store, fresh_path(spark, "staging"), _TINY
+    )
+    kinds = {"face_width": "INT", "face_height": "INT", "detection_score": "DOUBLE",
+             "quality_score": "DOUBLE", "embedding": "ARRAY<FLOAT>", "name": "STRING", "model": "STRING"}
+    schema = T.StructType.fromDDL(", ".join(f"{c} {kinds.get(c, 'BIGINT')}" for c in gallery.TARGET))
+    stored = gallery.stored_targets(spark, store, schema).select(
+        F.col("target_id").alias("photo_id"), F.size("embedding").cast("bigint").alias("dims")
+    )
+    return verdicts.join(stored, "photo_id", "left").select(
+        "search_id", "photo_id", "name", "error_code", "error", *r6("quality_score"), "dims"
+    )
+
+
+_ENROLLED_SQL = v.sql(
+    """
+ SELECT search_id, photo_id, 'target ' || photo_id AS name, code AS error_code,
+   CASE WHEN code = 'face_quality_low' THEN 'face quality is too low: ' || reasons END AS error,
+   CASE WHEN code IS NULL THEN round(0.25*0.9 + 0.25*least(1.0, 8/12.0) + 0.27*least(1.0, blur/10.0)
+     + 0.15*greatest(0.0, 1.0 - abs(light-130.0)/130.0) + 0.08, 6) END AS quality_score,
+   CASE WHEN bool_and(code IS NULL) OVER (PARTITION BY search_id) THEN 16::BIGINT END AS dims
+ FROM judged""",
+    pixels=_PIXELS,
+    whole="""
+ SELECT p.vec_id, var_pop(n.g + s.g + w.g + e.g - 4.0*p.g) AS blur, avg(p.g) AS light,
+   sum(CASE WHEN p.y < 2 THEN p.g*p.g ELSE 0 END) AS energy
+ FROM pixels p
+ JOIN pixels n ON n.vec_id = p.vec_id AND n.x = p.x AND n.y = CASE WHEN p.y = 0 THEN 1 ELSE p.y-1 END
+ JOIN pixels s ON s.vec_id = p.vec_id AND s.x = p.x AND s.y = CASE WHEN p.y = 7 THEN 6 ELSE p.y+1 END
+ JOIN pixels w ON w.vec_id = p.vec_id AND w.y = p.y AND w.x = CASE WHEN p.x = 0 THEN 1 ELSE p.x-1 END
+ JOIN pixels e ON e.vec_id = p.vec_id AND e.y = p.y AND e.x = CASE WHEN p.x = 7 THEN 6 ELSE p.x+1 END
+ GROUP BY p.vec_id""",
+    judged="""
+ SELECT *, CASE WHEN photo_id % 13 = 5 THEN 'unsupported_media_type' WHEN photo_id % 17 = 2 THEN 'image_too_large'
+   WHEN photo_id % 11 = 3 THEN 'image_decode_failed' WHEN energy = 0 THEN 'no_face'
+   WHEN reasons <> '' THEN 'face_quality_low' END AS code
+ FROM (SELECT vec_id // 3 AS search_id, vec_id AS photo_id, blur, light, energy, array_to_string(list_filter([
+   CASE WHEN blur < 5 THEN 'face_blurry' END,
+   CASE WHEN light < 35 OR light > 225 THEN 'face_exposure_bad' END], lambda r: r IS NOT NULL), ', ') AS reasons
+   FROM whole)""",
+)
+
+
 # --- boxes -------------------------------------------------------------------------------
 
 
@@ -605,6 +715,13 @@ QUERIES = {
         ),
     ),
     "infer_faces": (infer_faces, _INFER_FACES_SQL),
+    "photos": (
+        photos,
+        """
+ SELECT vec_id AS photo_id, CASE WHEN vec_id % 11 <> 3 THEN 8 END AS width, CASE WHEN vec_id % 11 <> 3 THEN 8 END AS height,
+   CASE WHEN vec_id % 11 = 3 THEN 'image_decode_failed' END AS error_code FROM embeddings""",
+    ),
+    "enrolment_end_to_end": (enrolment_end_to_end, _ENROLLED_SQL),
     "anchor_grid": (
         anchor_grid,
         v.sql(

@@ -22,6 +22,12 @@ _FACE = [
     T.StructField("embedding", T.ArrayType(T.FloatType())),
     T.StructField("landmarks", T.ArrayType(_POINT)),
 ]
+_CROP = [
+    T.StructField("face_width", T.IntegerType()),
+    T.StructField("face_height", T.IntegerType()),
+    T.StructField("blur_variance", T.DoubleType()),
+    T.StructField("brightness", T.DoubleType()),
+]
 _RAW = [
     T.StructField("anchor_idx", T.LongType()),
     *[T.StructField(n, T.DoubleType()) for n in ("cx", "cy", "w", "h", "obj", "cls0")],
@@ -66,11 +72,33 @@ def infer_faces(
     model_factory: Callable[[], Callable],
     profile: QualityProfile,
 ) -> DataFrame:
-    """Faces of each picture, with unit vectors, quality and the gate's verdict."""
-    raw = _run_model(images, keys, model_factory, _FACE)
+    """Faces of each picture, with unit vectors, quality and the gate's verdict.
+
+    One pass: a picture is read once, and its crops are measured where the model sees it, so that pixels
+    are neither shuffled nor joined."""
+
+    def factory() -> Callable:
+        model = model_factory()
+
+        def measured(pixels: np.ndarray) -> list[dict]:
+            names = [f.name for f in _CROP]
+            return [
+                face
+                | dict(
+                    zip(
+                        names,
+                        quality.crop_numbers(pixels, [face[s] for s in ("x1", "y1", "x2", "y2")]),
+                        strict=True,
+                    )
+                )
+                for face in model(pixels)
+            ]
+
+        return measured
+
+    raw = _run_model(images, keys, factory, [*_FACE, *_CROP])
     valid, _ = split_valid_vectors(raw)
-    measured = quality.crop_metrics(valid, images, keys)
-    posed = quality.add_pose(measured)
+    posed = quality.add_pose(valid)
     gated = quality.gate_quality(posed, profile)
     return normalize_vectors(quality.score_quality(gated, profile))
 

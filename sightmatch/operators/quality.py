@@ -157,6 +157,20 @@ def _crop_stats(gray: np.ndarray) -> tuple[float, float]:
     return float(laplace.var()), float(gray.mean())
 
 
+def crop_numbers(pixels: np.ndarray, box: tuple) -> tuple[int, int, float, float]:
+    """Width, height, blur and brightness of a box cut to the picture; zeros where nothing is left."""
+    x1, y1, x2, y2 = box
+    h, w, c = pixels.shape
+    left, top = max(0, int(x1)), max(0, int(y1))
+    wide = max(0, min(w, int(x2)) - left)
+    tall = max(0, min(h, int(y2)) - top)
+    if not wide or not tall:
+        return wide, tall, 0.0, 0.0
+    crop = pixels[top : top + tall, left : left + wide].astype(float)
+    gray = crop[..., 0] if c == 1 else np.rint(crop[..., :3] @ np.array(GRAY_BGR))
+    return wide, tall, *_crop_stats(gray)
+
+
 def crop_metrics(faces: DataFrame, images: DataFrame, on: list[str]) -> DataFrame:
     """Blur and brightness of every face crop, from decoded images.
 
@@ -197,16 +211,8 @@ def crop_metrics(faces: DataFrame, images: DataFrame, on: list[str]) -> DataFram
                 if data is None:
                     stats.append((None, None, None, None))
                     continue
-                left, top = max(0, int(x1)), max(0, int(y1))
-                wide = max(0, min(int(w), int(x2)) - left)
-                tall = max(0, min(int(h), int(y2)) - top)
-                if not wide or not tall:
-                    stats.append((wide, tall, 0.0, 0.0))
-                    continue
                 pixels = np.frombuffer(data, np.uint8).reshape(int(h), int(w), int(c))
-                crop = pixels[top : top + tall, left : left + wide].astype(float)
-                gray = crop[..., 0] if c == 1 else np.rint(crop[..., :3] @ np.array(GRAY_BGR))
-                stats.append((wide, tall, *_crop_stats(gray)))
+                stats.append(crop_numbers(pixels, (x1, y1, x2, y2)))
             out = pdf[kept].copy()
             names = ["face_width", "face_height", "blur_variance", "brightness"]
             found = pd.DataFrame(stats, columns=names, index=out.index, dtype="Float64")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ from sightmatch.operators import (
     evidence,
     eventlog,
     matching,
+    models,
     searches,
 )
-from sightmatch.params import EvalCriteria, EvidenceParams
+from sightmatch.params import ENROLMENT, EvalCriteria, EvidenceParams, QualityProfile
+from sightmatch.sources import gallery
 from sightmatch.sources.scratch import cut
 
 
@@ -30,6 +34,53 @@ def enrolled(photos: DataFrame, faces: DataFrame, model: str) -> tuple[DataFrame
     return good, bad
 
 
+def enroll_pictures(
+    photos: DataFrame,
+    model_factory: Callable[[], Callable],
+    model: str,
+    store: str,
+    staging: str,
+    profile: QualityProfile = ENROLMENT,
+) -> DataFrame:
+    """From uploaded pictures to stored targets; the verdict of every photo, without vectors.
+
+    photos(search_id, photo_id, target_ord, name, content_type, length, image), photo_id unique.  A
+    picture is read once: the model's faces go to `staging`, an unused folder, and all else works
+    on them.  All or nothing per search: where a photo is refused, none of its search's targets reach
+    `store` (sources.gallery).  The staged faces are erased at the end.  After a failure before it, erase
+    the folder and run again: a search that has targets in the store is not added a second time.
+    """
+    spark = photos.sparkSession
+    sized = photos.withColumns(
+        {"width": F.col("image.width"), "height": F.col("image.height")}
+    )
+    admitted = admission.admit_uploads(sized)
+    seen = models.infer_faces(
+        admitted.where("error_code IS NULL").select("photo_id", "image"),
+        ["photo_id"],
+        model_factory,
+        profile,
+    )
+    seen.write.parquet(staging)
+    faces = spark.read.schema(seen.schema).parquet(staging)
+    refused = admitted.select("photo_id", F.col("error_code").alias("_upload"), "status")
+    named = photos.select("search_id", "photo_id", "target_ord", "name")
+    checked = admission.enroll(named, faces, model).join(refused, "photo_id").withColumn(
+        "error_code", F.coalesce("_upload", "error_code")
+    )
+    verdicts = cut(checked.drop("embedding", "_upload"))
+    bad = verdicts.where("error_code IS NOT NULL").select("search_id").distinct()
+    targets = (
+        checked.join(bad, "search_id", "left_anti")
+        .where("search_id IS NOT NULL")
+        .withColumnRenamed("photo_id", "target_id")
+        .select(*gallery.TARGET)
+    )
+    gallery.add_searches(targets, store)
+    spark.createDataFrame([], seen.schema).write.mode("overwrite").parquet(staging)
+    return verdicts
+
+
 def sightings(
     faces: DataFrame,
     tracks: DataFrame,

@@ -8,12 +8,19 @@ committed.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightmatch.operators import matching
 
+# What a target is, as enrolment makes it.
+TARGET = (
+    "search_id", "target_id", "target_ord", "name", "face_width", "face_height", "detection_score",
+    "quality_score", "model", "embedding",
+)
+
 FOLDERS = 64
 FOLDER = "folder"
 # Files of a folder at most, so that one large search is written by several tasks.
@@ -38,6 +45,18 @@ def add_targets(targets: DataFrame, path: str, folders: int = FOLDERS) -> None:
     _by_folder(_dealt(targets, folders)).mode("append").parquet(path)
 
 
+def add_searches(targets: DataFrame, path: str, folders: int = FOLDERS) -> None:
+    """add_targets without the searches that the store has already, so that a run can be repeated."""
+    spark = targets.sparkSession
+    try:
+        known = stored_targets(spark, path, targets.schema).select("search_id").distinct()
+        targets = targets.join(known, "search_id", "left_anti")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    add_targets(targets, path, folders)
+
+
 def stored_targets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The targets in the store; the schema is that of the tables added."""
     whole = T.StructType([*schema.fields, T.StructField(FOLDER, T.IntegerType())])

@@ -8,7 +8,12 @@ from pathlib import Path
 import pyarrow.parquet as pq
 import pytest
 
-from sightmatch.operators import matching
+import numpy as np
+from pyspark.sql import types as T
+
+from sightmatch.operators import matching, models
+from sightmatch.params import QualityProfile
+from sightmatch.plans import pipelines
 from sightmatch.sources import gallery
 
 TARGETS = "search_id BIGINT, target_id BIGINT, target_ord INT, name STRING, embedding ARRAY<FLOAT>"
@@ -94,3 +99,72 @@ def test_purge_destroys_what_was_sent_to_executors(spark, tmp_path):
             broadcast.value
     again = matching.best_target(faces, gallery.stored_targets(spark, path, targets.schema), broadcast=True)
     assert {r.search_id for r in again.collect()} == {2}
+
+
+# --- enrolment of pictures ------------------------------------------------------------------
+
+UPLOADS = (
+    "search_id BIGINT, photo_id BIGINT, target_ord INT, name STRING, content_type STRING, length BIGINT,"
+    " image STRUCT<height: INT, width: INT, nChannels: INT, data: BINARY>"
+)
+PROFILE = QualityProfile(min_side=8, min_blur=5.0, min_detection=0.6)
+
+
+def a_model(calls):
+    def factory():
+        def model(pixels):
+            with open(calls, "a") as log:
+                log.write("x")
+            h, w, _ = pixels.shape
+            n = int(pixels[0, 0, 0]) % 3
+            return [
+                {"face_idx": k, "x1": 0.0, "y1": 0.0, "x2": float(w), "y2": float(h), "detection_score": 0.9,
+                 "embedding": [3.0, 4.0], "landmarks": None}
+                for k in range(n)
+            ]
+
+        return model
+
+    return factory
+
+
+def uploads_of(spark, pictures):
+    rng = np.random.default_rng(2)
+    rows = []
+    for search, photo, faces, kind in pictures:
+        image = None
+        if faces is not None:
+            pixels = rng.integers(60, 180, (10, 12, 3), dtype=np.uint8)
+            pixels[0, 0, 0] = 60 + faces
+            image = (10, 12, 3, bytearray(pixels.tobytes()))
+        rows.append((search, photo, photo, f" name {photo} ", kind, 100, image))
+    return spark.createDataFrame(rows, UPLOADS)
+
+
+def test_pictures_are_read_once_and_searches_stored_whole(spark, tmp_path):
+    png = "image/png"
+    pictures = [(1, 1, 1, png), (1, 2, 1, png), (2, 3, 1, png), (2, 4, 0, png), (3, 5, 1, png), (3, 6, None, png),
+                (4, 7, 2, png), (5, 8, 1, "image/gif"), (6, 9, 1, png)]
+    photos = uploads_of(spark, pictures)
+    store, staging, calls = (str(tmp_path / n) for n in ("store", "staging", "calls"))
+    verdicts = pipelines.enroll_pictures(photos, a_model(calls), "m", store, staging, PROFILE)
+    told = {r.photo_id: r.error_code for r in verdicts.collect()}
+    assert told == {1: None, 2: None, 3: None, 4: "no_face", 5: None, 6: "image_decode_failed",
+                    7: "multiple_faces", 8: "unsupported_media_type", 9: None}
+    assert "embedding" not in verdicts.columns
+    # The model saw each admitted picture once, and no face is left in the staging folder.
+    assert len(Path(calls).read_text()) == 7
+    assert not any(f.stat().st_size and pq.ParquetFile(f).metadata.num_rows for f in Path(staging).rglob("*.parquet"))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("search_id", "target_id")])
+    assert ids(spark, store, schema) == [(1, 1), (1, 2), (6, 9)]
+    # A second run adds nothing twice.
+    pipelines.enroll_pictures(photos, a_model(calls), "m", store, str(tmp_path / "again"), PROFILE)
+    assert ids(spark, store, schema) == [(1, 1), (1, 2), (6, 9)]
+
+
+def test_no_pixels_in_an_exchange(spark, tmp_path):
+    photos = uploads_of(spark, [(1, 1, 1, "image/png")])
+    path = str(tmp_path / "photos")
+    photos.write.parquet(path)
+    faces = models.infer_faces(spark.read.parquet(path), ["photo_id"], a_model("/dev/null"), PROFILE)
+    assert "Exchange" not in faces._jdf.queryExecution().executedPlan().toString()
