@@ -201,16 +201,26 @@ def _links_in_groups(apart: DataFrame, sets: DataFrame, threshold: tuple[int, in
             "sizes array<long>, packed binary",
         )
     )
-    a, b = blocks.alias("a"), blocks.alias("b")
-    met = (
+    # Pairs of blocks are made without their contents and dealt over the tasks, however many of them
+    # one group has; the contents then come by the blocks' numbers.
+    heads = blocks.select("group", "at", "low", "high", "same")
+    a, b = heads.alias("a"), heads.alias("b")
+    pairs = (
         a.join(b, F.col("a.group") == F.col("b.group"))
         .filter("a.at <= b.at")
         .filter(F.expr(f"a.high * {whole}L >= b.low * {share}L"))
         .filter("a.same IS NULL OR b.same IS NULL OR a.same != b.same")
-        .select(
-            (F.col("a.at") == F.col("b.at")).alias("own"),
-            *(F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("docs", "sizes", "packed")),
-        )
+        .select(F.col("a.at").alias("at_a"), F.col("b.at").alias("at_b"))
+        .repartition("at_a", "at_b")
+    )
+    contents = [
+        blocks.select(*(F.col(c).alias(f"{c}_{side}") for c in ("at", "docs", "sizes", "packed")))
+        for side in "ab"
+    ]
+    met = (
+        pairs.join(contents[0], "at_a")
+        .join(contents[1], "at_b")
+        .withColumn("own", F.col("at_a") == F.col("at_b"))
     )
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
