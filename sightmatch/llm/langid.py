@@ -118,13 +118,16 @@ class LanguageModel:
         return names, score, doubt
 
 
-def _fit_bits(x: np.ndarray, y: np.ndarray, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regressions, one per column of y (+1 / -1), by accelerated gradient steps."""
-    x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    w = np.zeros((x1.shape[1], y.shape[1]), np.float32)
+def _fit_bits(
+    x: np.ndarray, y: np.ndarray, used: np.ndarray, steps: int = 150
+) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic regressions, one per column of y (+1 / -1), by accelerated gradient steps. The last
+    column of x is 1; rows count where `used` is 1, and not where it is 0."""
+    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
     ahead, rate, ridge = w, 2.0, 1e-4
+    part = (used / used.sum()).astype(np.float32)[:, None]
     for t in range(steps):
-        slope = x1.T @ (-y / (1 + np.exp(y * (x1 @ ahead)))) / len(x1) + ridge * ahead
+        slope = x.T @ (-y * part / (1 + np.exp(y * (x @ ahead)))) + ridge * ahead
         new = ahead - rate * slope.astype(np.float32)
         ahead, w = new + (t / (t + 3)) * (new - w), new
     return w[:-1], w[-1]
@@ -142,8 +145,8 @@ def fit(
     """Fit on at most per_language rows of each value of lang_col (most_rows in all, but 8 of
     each), picked by a hash of id, text and place among the rows where `learn` holds and language
     and text are not null. Rows are thinned by the hash to about eight times as many before
-    they are ranked. What reaches the driver is two vectors of BINS features per row, whatever the
-    texts' lengths."""
+    they are ranked. What reaches the driver is two vectors of at most BINS features per row,
+    without the zeros, whatever the texts' lengths."""
     rows = small_batches(docs if learn is None else docs.filter(learn))
     rows = rows.select(
         F.col(lang_col).cast("string").alias("lang"),
@@ -181,31 +184,48 @@ def fit(
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.concat_arrays([own, own]),
-                        pa.array([v.tobytes() for v in x], pa.binary()),
+                        pa.array([_sparse(v) for v in x], pa.binary()),
                     ],
                     ["lang", "x"],
                 )
 
     found = picked.mapInArrow(run, "lang string, x binary").toArrow()
+    # The same model in any order of the rows.
+    found = found.sort_by([("lang", "ascending"), ("x", "ascending")])
     names = found["lang"].to_pylist()
     languages = sorted(set(names))
     if len(languages) < 2:
         return LanguageModel(languages)
-    x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(-1, BINS)
-    order = np.lexsort((x[:, : BINS // 8].sum(axis=1), names))  # the same sums in any order of rows
+    x = np.zeros((len(names), BINS + 1), np.float32)
+    x[:, BINS] = 1
+    for row, packed in zip(x, found["x"], strict=True):
+        bins, values = _dense(packed.as_buffer())
+        row[bins] = values
+    del found
     codes = codewords(len(languages))
     number = {name: i for i, name in enumerate(languages)}
-    y = codes[[number[names[i]] for i in order]].astype(np.float32)
-    x = x[order]
+    y = codes[[number[name] for name in names]].astype(np.float32)
     # Each bit's error on every fifth example, by a fit without them, is its weight in decoding.
     aside = np.arange(len(x)) % 5 == 0
-    w, b = _fit_bits(x[~aside], y[~aside], 60)
-    wrong = ((x[aside] @ w + b) * y[aside] <= 0).sum(axis=0)
+    w, b = _fit_bits(x, y, ~aside, 60)
+    wrong = ((x[::5, :BINS] @ w + b) * y[::5] <= 0).sum(axis=0)
     error = np.clip((wrong + 1) / (aside.sum() + 2), 0.001, 0.49)
-    w, b = _fit_bits(x, y)
+    w, b = _fit_bits(x, y, np.ones(len(x)))
     return LanguageModel(languages, codes, w, b, np.log((1 - error) / error))
 
 
+def _sparse(v: np.ndarray) -> bytes:
+    """The bins that are not 0, as 16-bit numbers, and their values."""
+    bins = np.flatnonzero(v)
+    return bins.astype(np.uint16).tobytes() + v[bins].tobytes()
+
+
+def _dense(packed: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    n = packed.size // 6
+    raw = np.frombuffer(packed, np.uint8)
+    return raw[: 2 * n].view(np.uint16), np.frombuffer(raw[2 * n :].tobytes(), np.float32)
+
+
 def predict(
     docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
