@@ -53,6 +53,21 @@ def manifest(spark, sf):
     )
 
 
+def manifest_errors(spark, sf):
+    """Manifests of which some are cut short, empty, of another version or with odd intervals."""
+    text = F.expr(
+        "CASE case_id % 7 WHEN 1 THEN concat('{\"version\": 1, \"cases\": [{\"id\": \"', case_id)"
+        " WHEN 2 THEN '{\"version\": 1, \"cases\": []}'"
+        " ELSE concat('{\"version\": ', IF(case_id % 7 = 3, 2, 1), ', \"cases\": [{\"id\": \"c', case_id,"
+        " '\", \"photo\": \"p\", \"video\": \"v\", \"target_name\": \"n\", \"expected_intervals_seconds\": [[1, 2',"
+        " IF(case_id % 7 = 4, ', 3', ''), ']]}]}') END"
+    )
+    path = fresh_path(spark, "bad-manifests")
+    derived.cases(spark, sf).select(text.alias("value")).write.text(path)
+    errors = readers.manifest_errors(spark, f"{path}/*.txt", lines=True)
+    return errors.groupBy("error_code", "case_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def case_reports(spark, sf):
     """Reports per case, written and read again."""
     path = fresh_path(spark, "reports")
@@ -267,6 +282,16 @@ QUERIES = {
    FROM intervals GROUP BY case_id) i USING (case_id)"""
         ),
     ),
+    "manifest_errors": (
+        manifest_errors,
+        v.sql(
+            """
+ SELECT code AS error_code, CASE WHEN m = 4 THEN 'c' || case_id END AS case_id, count(*) AS n
+ FROM (SELECT case_id, case_id % 7 AS m, CASE case_id % 7 WHEN 1 THEN 'unreadable_manifest' WHEN 2 THEN 'no_cases'
+   WHEN 3 THEN 'unsupported_version' WHEN 4 THEN 'interval_not_a_pair' END AS code FROM cases)
+ WHERE code IS NOT NULL GROUP BY 1, 2"""
+        ),
+    ),
     "case_reports": (
         case_reports,
         v.sql(

@@ -129,3 +129,44 @@ def read_manifest(
         F.round(F.get("pair", F.lit(1)) * 1000).cast("bigint").alias("end_ms"),
     )
     return cases, intervals
+
+
+def manifest_errors(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """What keeps manifests from being used: (file, case_id, error_code), one row per manifest that
+    cannot be read (`unreadable_manifest`), has no cases (`no_cases`, also an empty file) or a version
+    other than 1 (`unsupported_version`), and one per case with an interval that is not a pair
+    (`interval_not_a_pair`).  Without rows, read_manifest holds every manifest below the path."""
+    corrupt = "_corrupt"
+    read = (
+        spark.read.schema(f"{schemas.MANIFEST}, {corrupt} STRING")
+        .option("multiLine", not lines)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", corrupt)
+        .json(path)
+        .select("version", "cases", corrupt, F.col("_metadata.file_path").alias("file"))
+    )
+    case_id = F.lit(None).cast("string").alias("case_id")
+    n_cases = F.coalesce(F.size("cases"), F.lit(0))
+    code = (
+        F.when(F.col(corrupt).isNotNull(), F.lit("unreadable_manifest"))
+        .when(n_cases <= 0, F.lit("no_cases"))
+        .when(~F.col("version").eqNullSafe(1), F.lit("unsupported_version"))
+    )
+    whole = read.select("file", case_id, code.alias("error_code"))
+    not_pair = F.exists(
+        "c.expected_intervals_seconds", lambda i: F.coalesce(F.size(i), F.lit(-1)) != 2
+    )
+    pairs = read.where(F.col(corrupt).isNull()).select("file", F.explode("cases").alias("c"))
+    single = pairs.where(not_pair).select(
+        "file", F.col("c.id").alias("case_id"), F.lit("interval_not_a_pair").alias("error_code")
+    )
+    # Scans pass over files without a byte; the listing, which Spark keeps on the driver anyway, has them.
+    plain = F.regexp_replace("file", "^([a-z0-9]+):/+", "$1:/")
+    named = [(file,) for file in read.inputFiles()]
+    empty = (
+        spark.createDataFrame(named, "file STRING")
+        .withColumn("_plain", plain)
+        .join(read.select(plain.alias("_plain")), "_plain", "left_anti")
+        .select("file", case_id, F.lit("no_cases").alias("error_code"))
+    )
+    return whole.where("error_code IS NOT NULL").unionByName(single).unionByName(empty)

@@ -60,6 +60,26 @@ def test_manifest(spark, tmp_path):
     assert evaluation.validate_intervals(intervals).isEmpty()
 
 
+def test_manifest_errors(spark, tmp_path):
+    case = {"id": "a", "photo": "t.png", "video": "/v.mp4", "target_name": "N", "expected_intervals_seconds": [[1, 3]]}
+    odd = case | {"id": "b", "expected_intervals_seconds": [[1, 3], [4, 5, 6]]}
+    bodies = {
+        "good.json": json.dumps({"version": 1, "cases": [case]}, indent=1),
+        "odd.json": json.dumps({"version": 1, "cases": [case, odd]}),
+        "none.json": json.dumps({"version": 1, "cases": []}),
+        "other.json": json.dumps({"version": 2, "cases": [case]}),
+        "cut.json": json.dumps({"version": 1, "cases": [case]})[:40],
+        "empty.json": "",
+    }
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body)
+    got = readers.manifest_errors(spark, str(tmp_path / "*.json")).collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.case_id or "", r.error_code) for r in got) == [
+        ("cut.json", "", "unreadable_manifest"), ("empty.json", "", "no_cases"), ("none.json", "", "no_cases"),
+        ("odd.json", "b", "interval_not_a_pair"), ("other.json", "", "unsupported_version"),
+    ]
+
+
 def test_report_folders(spark, tmp_path):
     metrics = evaluation.case_metrics(
         spark.createDataFrame([("a", 0.5, 2000), ("a", 0.5, 9000)], "case_id STRING, threshold DOUBLE, captured_ms BIGINT"),
