@@ -114,6 +114,8 @@ def counted(docs: DataFrame, n: int, folds: int = 1) -> DataFrame:
     more than one fold (at most 256) also fold, by fold_of(): counts are by fold then.
 
     Each task folds its own n-grams, a few slices at a time, before they are shuffled."""
+    if not 1 <= n <= 6:
+        raise ValueError("n-grams of 1 to 6 bytes fit a key")
     low = np.uint64((1 << (8 * n)) - 1)
 
     def batch_of(keys, times):

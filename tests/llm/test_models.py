@@ -336,3 +336,9 @@ def test_long_texts_go_through_in_parts(monkeypatch):
     again = results()
     assert np.allclose(sums, again[0]) and sets == again[1]
     assert np.abs(shares - again[2]).max() < 0.02
+
+
+@pytest.mark.parametrize("n", [0, 7])
+def test_grams_beyond_a_key_are_refused(spark, n):
+    with pytest.raises(ValueError, match="1 to 6"):
+        grams.counted(spark.createDataFrame([("a",)], "text string"), n)
