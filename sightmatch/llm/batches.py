@@ -13,3 +13,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     """df, with the session's limit on the bytes of an Arrow batch lowered to MOST_BYTES."""
     df.sparkSession.conf.set(_BYTES, str(MOST_BYTES))
     return df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores added as it takes to differ from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

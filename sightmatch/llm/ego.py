@@ -75,7 +75,7 @@ def _blocks(vectors: DataFrame, basis: np.ndarray, epsilon: float) -> DataFrame:
             )
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth = TaskContext.get().partitionId(), 0
+        part, nth, schema = TaskContext.get().partitionId(), 0, None
         held: list[tuple] = []
 
         def block():
@@ -95,6 +95,7 @@ def _blocks(vectors: DataFrame, basis: np.ndarray, epsilon: float) -> DataFrame:
             }
 
         for batch in batches:
+            schema = _block_schema(batch.schema.types[0], batch.schema.types[2])
             for row in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
                 full = held and (len(held) + 1) * row[1] * element().itemsize > BLOCK_BYTES
                 if held and (full or row[:2] != held[0][:2]):
@@ -104,29 +105,31 @@ def _blocks(vectors: DataFrame, basis: np.ndarray, epsilon: float) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist([block()], schema)
 
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8()}
-    schema = pa.schema(
+    placed = picked.mapInArrow(
+        place, f"label {label}, size int, vec_id {id_type}, copies long, v binary, {cells}"
+    )
+    order = ["label", "size", *(f"c{i}" for i in range(DIMS)), "vec_id"]
+    return placed.orderBy(*order).mapInArrow(
+        gather,
+        f"label {label}, size int, part long, nth long, ids array<{id_type}>, "
+        "copies array<long>, packed binary, lo array<double>, hi array<double>",
+    )
+
+
+def _block_schema(label: pa.DataType, ids: pa.DataType) -> pa.Schema:
+    return pa.schema(
         [
-            ("label", kinds.get(label, pa.string())),
+            ("label", label),
             ("size", pa.int32()),
             ("part", pa.int64()),
             ("nth", pa.int64()),
-            ("ids", pa.list_(kinds.get(id_type, pa.int64()))),
+            ("ids", pa.list_(ids)),
             ("copies", pa.list_(pa.int64())),
             ("packed", pa.binary()),
             ("lo", pa.list_(pa.float64())),
             ("hi", pa.list_(pa.float64())),
         ]
     )
-    placed = picked.mapInArrow(
-        place, f"label {label}, size int, vec_id {id_type}, copies long, v binary, {cells}"
-    )
-    order = ["label", "size", *(f"c{i}" for i in range(DIMS)), "vec_id"]
-    return placed.orderBy(*order).mapInArrow(
-        gather,
-        f"label {label}, size int, part long, nth long, ids array<{id_type}>, "
-        "copies array<long>, packed binary, lo array<double>, hi array<double>",
-    )
 
 
 def _near(a: str, b: str, epsilon: float):
@@ -187,7 +190,7 @@ def near_duplicates(
     compared by a matrix product in one task, which returns counts and component representatives, at
     most one row per vector, never pairs. Equal vectors are one beforehand.
 
-    Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and
+    Defined cases: ids and labels may be of any type with an order, texts included. Vectors that are null, empty, zero or hold null or non-finite components, and
     those without label or id, are linked with nothing; without an id component_id is null and
     kept true. Vectors of unequal lengths are not linked. Rows with the same id and vector count as
     two rows, linked with each other. An empty table gives no rows. Other columns are ignored,
@@ -246,9 +249,14 @@ def near_duplicates(
                 weight = [np.asarray(row[c].values) for c in ("copies_a", "copies_b")]
                 n = np.concatenate([hits @ weight[1], np.zeros(len(y), int) if same else hits.T @ weight[0]])
                 both, least = np.concatenate(ids), least_labels(hits, same)
+                kind = row["ids_a"].type.value_type
                 used = np.flatnonzero(n > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(both[used]), pa.array(both[least[used]]), pa.array(n[used].astype(np.int64))],
+                    [
+                        pa.array(both[used], kind),
+                        pa.array(both[least[used]], kind),
+                        pa.array(n[used].astype(np.int64)),
+                    ],
                     ["vec_id", "other", "n"],
                 )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightmatch.llm.batches import free_names
 from sightmatch.sources.scratch import cut
 
 #: Space and the control characters 9 to 13, which do not count in a comparison.
@@ -40,7 +41,8 @@ def group_copies(
     groups. Digests that stand for several texts are looked for once; only their rows are
     labelled by a join on the texts too.
 
-    Defined cases: null text is empty, so empty and blank texts are one group. Rows with a null id
+    Defined cases: ids may be of any type with an order, texts included. Null text is empty, so
+    empty and blank texts are one group. Rows with a null id
     are ordinary rows whose id loses every tie. Rows with the same id and text are copies like
     others: all are counted, exactly one of them can have kept = true. An empty table gives no rows.
     Other columns are ignored, whatever their names.
@@ -52,13 +54,14 @@ def group_copies(
         digest(clean).alias("digest"),
         clean.alias("clean"),
     )
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus_id"), "doc_id"))
+    no_id = F.col("doc_id").isNull()
+    best = F.min(F.struct((-F.col("n_points")).alias("minus"), no_id.alias("no_id"), "doc_id"))
     groups = (
         rows.withColumn("salt", F.spark_partition_id() % salts)
         .groupBy("digest", "clean", "salt")
         .agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
         .groupBy("digest", "clean")
-        .agg(F.sum("n").alias("group_size"), F.max("best").alias("best"))
+        .agg(F.sum("n").alias("group_size"), F.min("best").alias("best"))
         .withColumns({"keep_id": F.col("best.doc_id"), "text_sha256": sha256(F.col("clean"))})
     )
     known = cut(groups.select("digest", "keep_id", "group_size", "text_sha256"))
@@ -90,18 +93,23 @@ def group_copies(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each group, with all their columns."""
+    """The rows of docs that stay, one of each group, with all their columns.
+
+    Defined cases: as for group_copies(). Of rows with the id and the text that stay, any one does,
+    whatever its other columns hold. An empty table gives no rows. Other columns are passed on,
+    whatever their names."""
+    copy_id, sha = free_names(docs, "copy_id", "copy_sha")
     copies = group_copies(docs, id_col, text_col).filter("kept")
-    wanted = copies.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (
-        sha256(normalised(F.col(text_col))) == F.col("__sha")
+    wanted = copies.select(F.col("doc_id").alias(copy_id), F.col("text_sha256").alias(sha))
+    same = F.col(id_col).eqNullSafe(F.col(copy_id)) & (
+        sha256(normalised(F.col(text_col))) == F.col(sha)
     )
     kept = docs.join(wanted, same, "left_semi")
     if docs.groupBy(id_col).count().filter("count > 1").isEmpty():
         return kept
     # Repeated ids: of rows with the same id and text, one stays.
     return (
-        kept.withColumn("__sha", sha256(normalised(F.col(text_col))))
-        .dropDuplicates([id_col, "__sha"])
-        .drop("__sha")
+        kept.withColumn(sha, sha256(normalised(F.col(text_col))))
+        .dropDuplicates([id_col, sha])
+        .drop(sha)
     )

@@ -106,7 +106,7 @@ class LanguageModel:
         differ = np.logaddexp(0, said) * self.trust
         up = (self.codes > 0).astype(float)
         loss = agree @ up.T + differ @ (1 - up).T
-        # Per bit, so that longer codes are not surer.
+        # In units of a bit's mean trust; the root of the number of languages softens longer codes.
         share = np.exp(-(loss - loss.min(axis=1, keepdims=True)) * 2 / self.trust.mean() / np.sqrt(loss.shape[1]))
         share /= share.sum(axis=1, keepdims=True)
         order = np.argsort(-share, axis=1, kind="stable")
@@ -263,7 +263,11 @@ def keep_known(
     docs: DataFrame, model: LanguageModel, least: float = 0.0, text_col: str = "text"
 ) -> DataFrame:
     """The rows of docs, with all their columns, whose text has a language by predict() with a
-    score of at least `least`; texts that are `und` go."""
+    score of at least `least`; texts that are `und` go.
+
+    Defined cases: as for predict(), so null texts, those without a letter, and all texts where
+    nothing was learned go. Repeated rows are rows like others. An empty table gives no rows. Other
+    columns are passed on, whatever their names."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightmatch.llm.batches import small_batches
+from sightmatch.llm.batches import free_names, small_batches
 from sightmatch.llm.components import components, least_labels
 from sightmatch.llm.shingles import byte_slices, mix, shingle_sets
 from sightmatch.sources.scratch import cut
@@ -67,12 +67,12 @@ def _signatures(docs: DataFrame, words: int, rows: int, halves: int) -> DataFram
     )
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc, shingles (array) of the documents in ids."""
-    wanted = ids.select(F.col("doc").alias("doc_id"))
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """doc, shingles (array) of the classes in wanted (doc, doc_id, digest). Texts are picked by
+    id first, so that few are hashed, then sets by digest, since an id may have several texts."""
+    ids = wanted.select("doc_id").distinct()
     if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+        ids = F.broadcast(ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,16 +80,38 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(texts, words)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(start, len(texts)),
+                        pa.array([hashlib.sha256(s.tobytes()).digest() for s in sets]),
                         pa.array(sets, pa.list_(pa.int64())),
                     ],
-                    ["doc", "shingles"],
+                    ["digest", "shingles"],
                 )
 
-    found = docs.join(wanted, "doc_id", "left_semi").mapInArrow(
-        run, f"doc {kind}, shingles array<long>"
+    found = docs.join(ids, "doc_id", "left_semi").mapInArrow(
+        run, "digest binary, shingles array<long>"
+    )
+    return (
+        found.dropDuplicates(["digest"])
+        .join(wanted.select("digest", "doc"), "digest")
+        .select("doc", "shingles")
     )
-    return found.dropDuplicates(["doc"])
+
+
+def _of_one_id(linkable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links x, y between the classes that rows of one id are in."""
+    several = linkable.groupBy("doc_id").agg(
+        F.min("digest").alias("low"), F.max("digest").alias("high")
+    )
+    several = cut(several.filter("low != high").select("doc_id"))
+    if several.isEmpty():
+        return several.select(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    numbers = classes.select("digest", "doc")
+    own = (
+        linkable.join(several, "doc_id", "left_semi")
+        .select("doc_id", "digest").distinct()
+        .join(numbers, "digest")
+    )
+    heads = own.groupBy("doc_id").agg(F.min("doc").alias("y"))
+    return own.join(heads, "doc_id").select(F.col("doc").alias("x"), "y").filter("x != y")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -288,7 +310,7 @@ def near_duplicates(
     With p = similarity ** rows, a pair shares a key with probability (1 - (1 - p) ** halves) ** 2:
     0.9996 at 0.85, 0.997 at 0.8 with the defaults.
 
-    Equal sets are one class and go on as its smallest id. In each bucket of a table all classes
+    Equal sets are one class, which goes on as a number. In each bucket of a table all classes
     are compared with its smallest one, on full sets. The links found join most buckets into one
     component each; where members of a bucket are in different ones, the documents that such
     buckets connect are compared block by block (_links_in_groups). So no linked pair that shares a
@@ -296,21 +318,23 @@ def near_duplicates(
 
     Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a text
     with fewer words is one shingle. Rows with a null id are linked with nothing, component_id
-    is null and kept is true. Rows with the same id count as one document (of any of their
-    texts' links). An empty table gives no rows. Other columns are ignored, whatever their names."""
+    is null and kept is true. Rows with the same id count as one document: it has the links of all their
+    texts, but rows without shingles are linked with nothing. An empty table gives no rows. Other columns are ignored, whatever their names."""
     docs = small_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     signed = cut(_signatures(docs, words, rows, halves))
     linkable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linkable.groupBy("digest").agg(
         F.min(F.struct("doc_id", "left", "right")).alias("least")
     )
+    # The numbers stay as they are, since the classes are written once.
+    classes = cut(classes.select("digest", "least.*", F.monotonically_increasing_id().alias("doc")))
     keys = classes.select(
-        F.col("least.doc_id").alias("doc"),
+        "doc",
         F.explode(
             F.flatten(
                 F.transform(
-                    "least.left",
-                    lambda a, i: F.transform("least.right", lambda b, j: F.xxhash64(i, j, a, b)),
+                    "left",
+                    lambda a, i: F.transform("right", lambda b, j: F.xxhash64(i, j, a, b)),
                 )
             )
         ).alias("key"),
@@ -321,8 +345,9 @@ def near_duplicates(
     buckets = cut(keys.join(tables.drop("last"), "key").filter("doc != pivot"))
     stars = buckets.select(F.col("pivot").alias("x"), F.col("doc").alias("y")).distinct()
     stars = cut(stars)
-    ids = cut(stars.select(F.explode(F.array("x", "y")).alias("doc")).distinct())
-    sets = cut(_sets(docs, ids, words))
+    met = stars.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
+    wanted = cut(classes.join(met, "doc", "left_semi").select("doc", "doc_id", "digest"))
+    sets = cut(_sets(docs, wanted, words))
     found = components(_confirmed(stars, sets, threshold), "x", "y")
 
     # Buckets whose members are not all in one component yet.
@@ -332,17 +357,18 @@ def near_duplicates(
         F.min("of_doc").alias("low"), F.max("of_doc").alias("high")
     ).filter("low != high")
     apart = cut(members.join(mixed.select("key"), "key", "left_semi").select("pivot", "doc", "of_doc").distinct())
-    more = cut(_links_in_groups(apart, sets, threshold))
+    more = _links_in_groups(apart, sets, threshold).unionAll(_of_one_id(linkable, classes))
+    more = cut(more)
     if not more.isEmpty():
         trees = found.select(F.col("node").alias("x"), F.col("component").alias("y"))
         found = components(trees.unionAll(more), "x", "y")
 
-    of_class = classes.select("digest", F.col("least.doc_id").alias("doc"))
-    # A document of several rows joins the classes of all of them.
-    of_class = (
-        of_class.join(found.withColumnRenamed("node", "doc"), "doc", "left")
-        .select("digest", F.coalesce("component", "doc").alias("component"))
-    )
+    # Components of classes are named by the smallest id in them.
+    joined = classes.select("digest", "doc", "doc_id").join(
+        found.withColumnRenamed("node", "doc"), "doc", "left"
+    ).select("digest", "doc_id", F.coalesce("component", "doc").alias("of"))
+    names = joined.groupBy("of").agg(F.min("doc_id").alias("component"))
+    of_class = joined.join(names, "of").select("digest", "component")
     labelled = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, F.col("doc_id")))
@@ -355,7 +381,11 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that stay, one document of each group, with all their columns."""
+    """The rows of docs that stay, one document of each group, with all their columns.
+
+    Defined cases: as for near_duplicates(). The rows of one id stay or go together. Rows with a
+    null id stay. An empty table gives no rows. Other columns are passed on, whatever their names."""
+    (gone_id,) = free_names(docs, "gone_id")
     gone = near_duplicates(docs, id_col=id_col, **how).filter("NOT kept")
-    gone = gone.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    gone = gone.select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightmatch.llm import grams
-from sightmatch.llm.batches import small_batches
+from sightmatch.llm.batches import free_names, small_batches
 from sightmatch.llm.shingles import byte_slices
 from sightmatch.sources.scratch import cut
 
@@ -207,7 +207,8 @@ def thresholds(
     settled bits a symbol, see judge(), times 1 + slack. None: over all languages. Each trusted
     text is scored by that of the models which has not seen its fold."""
     rate = F.col("bits") / F.col("n_symbols")
-    held_out = docs.join(_distinct_ids(trusted), F.col(id_col) == F.col("__id"), "left_semi")
+    held_out = docs.select(id_col, text_col, lang_col)
+    held_out = held_out.join(_distinct_ids(trusted), F.col(id_col) == F.col("__id"), "left_semi")
     own = cut(
         perplexities(held_out, models, id_col, text_col, lang_col).select(
             F.coalesce("lang", F.lit("")).alias("lang"), "bits", "n_symbols", rate.alias("rate")
@@ -258,7 +259,7 @@ def judge(
     unseen texts at every size.
 
     Defined cases: null and empty texts are the end alone, which is judged like other texts. A null
-    language is a language. Languages without trusted texts, and those beyond the OWN_THRESHOLDS
+    language is a language, the same as one with an empty name. Languages without trusted texts, and those beyond the OWN_THRESHOLDS
     most frequent ones, use the quantile over all trusted texts. Without any trusted text threshold
     is null and all are kept. Null ids cannot be trusted, repeated rows are rows like others. An
     empty table gives no rows. Other columns are ignored, whatever their names."""
@@ -295,7 +296,10 @@ def keep_good(
     lang_col: str = "lang",
 ) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns. Trusted texts are scored
-    twice, for the thresholds and for the choice. Texts are shuffled only with a dealt model."""
+    twice, for the thresholds and for the choice. Texts are shuffled only with a dealt model.
+
+    Defined cases: as for judge(). Without any trusted text, and from an empty table, all rows stay.
+    Other columns are passed on, whatever their names."""
     model, *others = fits(docs, trusted, FOLDS, id_col, text_col)
     limits = thresholds(docs, trusted, others, quantile, slack, id_col, text_col, lang_col)
     if not limits:
@@ -323,15 +327,16 @@ def _keep_by_hash(
 ) -> DataFrame:
     """keep_good() with a dealt model. What is kept depends on text and language alone, so the
     verdicts come back by these, the text as its SHA-256."""
+    hashed, of_lang = free_names(docs, "hashed", "of_lang")
     text_hash = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    keyed = docs.select(text_hash.alias("__hash"), F.col(text_col).alias("text"), lang.alias("lang"))
-    scored = perplexities(keyed, model, "__hash")
+    keyed = docs.select(text_hash.alias(hashed), F.col(text_col).alias("text"), lang.alias("lang"))
+    scored = perplexities(keyed, model, hashed)
     rows = [(k, float(m), float(t)) for k, (m, t) in limits.items() if k is not None]
     table = docs.sparkSession.createDataFrame(rows, "lang string, middle double, top double")
     middle, top = (F.coalesce(c, F.lit(float(x))) for c, x in zip(("middle", "top"), limits[None], strict=True))
     good = scored.join(F.broadcast(table), "lang", "left").filter(
         settled_rate(F.col("bits"), F.col("n_symbols"), middle) <= top
     )
-    good = good.select(F.col("doc_id").alias("__hash"), F.col("lang").alias("__lang")).distinct()
-    return docs.join(good, (text_hash == F.col("__hash")) & (lang == F.col("__lang")), "left_semi")
+    good = good.select(F.col("doc_id").alias(hashed), F.col("lang").alias(of_lang)).distinct()
+    return docs.join(good, (text_hash == F.col(hashed)) & (lang == F.col(of_lang)), "left_semi")

@@ -65,6 +65,18 @@ def test_drop_copies(spark):
     assert sorted(i for i, _ in got) == sorted(want.values())
 
 
+def test_copies_with_text_ids_and_odd_columns(spark):
+    schema = "doc_id string, text string, copy_id int, copy_sha string, __id int"
+    rows = [("b", "x y"), ("a", "xy"), ("a", "x y"), (None, "x  y"), ("c", "x  y"), ("d", None), ("d", "")]
+    docs = spark.createDataFrame([(i, t, 1, "s", 2) for i, t in rows], schema).repartition(3)
+    got = exact_dedup.group_copies(docs).select("doc_id", "keep_id", "group_size", "kept").collect()
+    want = [("a", "c", 5, False)] * 2 + [("b", "c", 5, False), ("c", "c", 5, True), (None, "c", 5, False)]
+    assert sorted(map(tuple, got), key=str) == sorted([*want, ("d", "d", 2, True), ("d", "d", 2, False)], key=str)
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == ["c", "d"]
+
+
 def shingles(text, k):
     words = [w for w in (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
              .replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
@@ -100,6 +112,42 @@ def plain_near(rows, k, share):
     return sorted((i, len(sets[i]), named[i], named[i] == i) for i in ids)
 
 
+def plain_near_of_ids(rows, k, share):
+    """As plain_near, for ids with several texts: links of any of them count."""
+    sets = [(i, shingles(t, k)) for i, t in rows]
+    links = [
+        (a, b)
+        for n, (a, x) in enumerate(sets)
+        for b, y in sets[n + 1 :]
+        if x and y and 100 * len(x & y) >= share * len(x | y)
+    ]
+    named = roots({i for i, _ in rows}, links)
+    out = [(i, len(s), named[i] if s else i, named[i] == i or not s) for i, s in sets]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_near_duplicates_of_repeated_ids(spark, seed):
+    rng = random.Random(seed)
+    texts = [" ".join(f"{c}{i}" for i in range(100)) for c in "ABCD"]
+    near = [t.rsplit(" ", 2)[0] + " z" for t in texts]
+    # 1-2 by A, 2-3 by B; 5 and 9 share nothing but are joined by the texts of 7.
+    rows = [(1, near[0]), (2, texts[0]), (2, texts[1]), (3, near[1]), (2, None), (2, texts[0])]
+    rows += [(7, texts[2]), (7, texts[3]), (5, near[2]), (9, near[3]), (11, "alone"), (12, None)]
+    rng.shuffle(rows)
+    want = plain_near_of_ids(rows, 3, 85)
+    got = minhash.near_duplicates(docs_of(spark, rows), words=3, threshold=(85, 100))
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    named = [(f"d{i:02}", t) for i, t in rows]
+    docs = docs_of(spark, named, DOCS.replace("doc_id long", "doc_id string"))
+    got = minhash.near_duplicates(docs, words=3, threshold=(85, 100))
+    assert sorted(map(tuple, got.collect()), key=str) == plain_near_of_ids(named, 3, 85)
+    odd = docs.withColumn("gone_id", F.lit(1)).withColumn("__id", F.lit("d01"))
+    left = minhash.drop_near_duplicates(odd, words=3, threshold=(85, 100))
+    assert left.columns == odd.columns
+    assert {r.doc_id for r in left.collect()} == {"d01", "d05", "d11", "d12"}
+
+
 def near_rows():
     rng, rows = random.Random(5), []
     vocabulary = [f"w{i}" for i in range(900)]
@@ -193,6 +241,19 @@ def test_vectors(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == plain_vectors(rows, 0.98)
 
 
+@pytest.mark.parametrize("label", ["string", "double", "date"])
+def test_vectors_with_text_ids_and_any_labels(spark, label):
+    rng = np.random.default_rng(4)
+    rows = [(f"v{i:02}", [float(x) for x in rng.normal(size=8)], i % 2) for i in range(30)]
+    rows += [(f"w{i}", [x + 0.01 for x in rows[i][1]], i % 2) for i in range(8)] + [("x", rows[0][1], None)]
+    of_label = F.when(F.col("k") == 0, F.lit("2020-01-01")).when(F.col("k") == 1, F.lit("2020-01-02"))
+    if label == "double":
+        of_label = F.col("k") / 4
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>, k int").repartition(3)
+    got = ego.near_duplicates(df.withColumn("label", of_label.cast(label)))
+    assert sorted(map(tuple, got.collect()), key=str) == plain_vectors(rows, 0.98)
+
+
 def test_no_vectors(spark):
     assert ego.near_duplicates(vectors_of(spark, [])).collect() == []
     assert [tuple(r) for r in ego.near_duplicates(vectors_of(spark, [(1, None, 0)])).collect()] == [(1, 0, 1, True)]

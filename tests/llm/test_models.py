@@ -146,6 +146,59 @@ def test_language_on_held_out_rows(spark):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
 
 
+def plain_features(text):
+    """Shares of hashed byte n-grams of one text, by dictionaries."""
+    data = text.lower()  # of bytes: A-Z alone
+    data = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in b" " + data + b" ")
+    counts = Counter()
+    for n in range(1, langid.LONGEST + 1):
+        for i in range(len(data) - n + 1):
+            if data[i] != 32 or data[i + n - 1] != 32:
+                code = int.from_bytes(data[i : i + n], "big")
+                code = (code * 0x9E3779B1 + n) % 2**32 * 0x85EBCA6B % 2**32
+                counts[code >> 20] += 1
+    length = math.sqrt(sum(counts.values()))
+    return {b: math.sqrt(c) / length for b, c in counts.items()}
+
+
+def plain_language(model, text):
+    """Language, score and doubt of one text, bit by bit."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    x = plain_features(text.encode())
+    losses = []
+    for name, word in zip(model.languages, model.codes.tolist(), strict=True):
+        loss = 0.0
+        for bit, want in enumerate(word):
+            said = float(model.offsets[bit]) + sum(v * float(model.weights[b, bit]) for b, v in x.items())
+            loss += float(model.trust[bit]) * math.log1p(math.exp(-want * said))
+        losses.append((loss, name))
+    trust = sum(map(float, model.trust)) / len(model.trust)
+    scale = 2 / trust / math.sqrt(len(model.languages))
+    least = min(losses)[0]
+    shares = [(math.exp(-(loss - least) * scale), name) for loss, name in losses]
+    total = sum(s for s, _ in shares)
+    shares = sorted(((s / total, name) for s, name in shares), key=lambda s: -s[0])
+    return shares[0][1], shares[0][0], shares[0][0] - shares[1][0] < model.margin
+
+
+def test_language_equals_plain_decoding(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-1, None, None), (-2, "", None), (-3, "12 % 7", None), (-4, "x", None), (-5, "A" * 5000, None)]
+    odd += [(-6, "ÀÉ ß \u4e2d\u6587", None), (-7, " \t a\n", None)]
+    both = docs.unionAll(spark.createDataFrame(odd, "doc_id long, text string, lang string")).cache()
+    model = langid.fit(docs)
+    assert len(model.languages) > 2
+    texts = {r.doc_id: r.text for r in both.collect()}
+    got = langid.predict(both, model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        name, score, doubt = plain_language(model, texts[r.doc_id])
+        assert r.score == pytest.approx(score, abs=1e-4)
+        if abs(score - 0.5) > 1e-3 or name == "und":
+            assert (r.lang_pred, r.ambiguous) == (name, doubt)
+
+
 def test_language_cases(spark):
     base = {"en": "the house and this thing", "de": "der Wagen und nicht wahr", "fr": "le château était où"}
     rows = [(i, f"{t} {i}", k) for i, (k, t) in enumerate([*base.items()] * 12)]
@@ -247,6 +300,54 @@ def test_quality_cases(spark):
     assert quality.judge(docs_of(spark, []), trusted).collect() == []
 
 
+def plain_judge(rows, trusted, of_fold, quantile=0.995, slack=0.03):
+    """id: (perplexity, threshold, kept), straight from the description."""
+    good = [(t or "", lang or "", fold) for (i, t, lang), fold in zip(rows, of_fold, strict=True) if i in trusted]
+    texts = [t.encode() for t, _, _ in good]
+    unseen = []
+    for t, lang, fold in good:
+        others = [o for o, (_, _, f) in zip(texts, good, strict=True) if f != fold]
+        unseen.append((lang, plain_kneser_ney(others, t.encode(), quality.ORDER), len(t.encode()) + 1))
+
+    def lower_quantile(values, q):
+        values = sorted(values)
+        return values[max(0, math.ceil(q * len(values)) - 1)]
+
+    def middle(of):
+        found = [b / n for lang, b, n in unseen if n >= 200 and (of is None or lang == of)]
+        return lower_quantile(found, 0.5) if found else None
+
+    known = {lang: middle(lang) for lang, _, _ in unseen}
+    overall = middle(None)
+    settle = lambda bits, n, m: (bits + quality.PRIOR * m) / (n + quality.PRIOR)
+    settled = [(lang, settle(b, n, known[lang] or overall)) for lang, b, n in unseen]
+    tops = {lang: lower_quantile([s for x, s in settled if x == lang], quantile) for lang, m in known.items() if m}
+    top = lower_quantile([s for _, s in settled], quantile)
+    out = {}
+    for i, t, lang in rows:
+        data, lang = (t or "").encode(), lang or ""
+        bits, n = plain_kneser_ney(texts, data, quality.ORDER), len(data) + 1
+        m, limit = (known[lang], tops[lang]) if lang in tops else (overall, top)
+        limit *= 1 + slack
+        out[i] = 2 ** (bits / n), 2**limit, settle(bits, n, m) <= limit
+    return out
+
+
+def test_quality_equals_plain_judge(spark, monkeypatch):
+    made = made_texts(36)
+    rows = [(i, t * (1 + i % 3), ("en", "de", None)[i % 3]) for i, t in enumerate(made)]
+    rows += [(100, "#$%&" * 90, "en"), (101, "zq xj " * 40, "de"), (102, None, "fr"), (103, "the of and", "fr")]
+    trusted = set(range(30))
+    folds = {r.doc_id: r.fold for r in docs_of(spark, rows).select("doc_id", grams.fold_of(F.col("text"), quality.FOLDS).alias("fold")).collect()}
+    want = plain_judge(rows, trusted, [folds[i] for i, _, _ in rows])
+    got = quality.judge(docs_of(spark, rows), spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        perplexity, limit, kept = want[r.doc_id]
+        assert (r.perplexity, r.threshold) == pytest.approx((perplexity, limit), rel=1e-4)
+        assert r.kept == kept
+
+
 def test_quality_of_labelled_rows(spark):
     folder = SMALL.replace("0.001", "0.1")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
