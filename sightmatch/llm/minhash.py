@@ -67,28 +67,34 @@ def _signatures(docs: DataFrame, words: int, rows: int, halves: int) -> DataFram
     )
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc, shingles (array) of the classes in wanted (doc, doc_id, digest). Texts are picked by
-    id first, so that few are hashed, then sets by digest, since an id may have several texts."""
-    ids = wanted.select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
+def _sets(docs: DataFrame, met: DataFrame, words: int, classes: DataFrame | None) -> DataFrame:
+    """doc, shingles (array) of the classes in met (doc). These are ids, or, where ids have several
+    texts, numbers of `classes`: texts are then picked by id and their sets by digest."""
+    kind, by_digest = docs.schema["doc_id"].dataType.simpleString(), classes is not None
+    ids = met.select(F.col("doc").alias("doc_id"))
+    if by_digest:
+        wanted = cut(classes.join(met, "doc", "left_semi").select("doc", "doc_id", "digest"))
+        ids = wanted.select("doc_id").distinct()
+    if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in byte_slices(batch.column(1), SLICE_BYTES):
                 sets = [s.view(np.int64) for s in shingle_sets(texts, words)]
+                name = batch.column(0).slice(start, len(texts))
+                if by_digest:
+                    name = pa.array([hashlib.sha256(s.tobytes()).digest() for s in sets])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([hashlib.sha256(s.tobytes()).digest() for s in sets]),
-                        pa.array(sets, pa.list_(pa.int64())),
-                    ],
-                    ["digest", "shingles"],
+                    [name, pa.array(sets, pa.list_(pa.int64()))], ["name", "shingles"]
                 )
 
-    found = docs.join(ids, "doc_id", "left_semi").mapInArrow(
-        run, "digest binary, shingles array<long>"
-    )
+    picked = docs.join(ids, "doc_id", "left_semi")
+    if not by_digest:
+        found = picked.mapInArrow(run, f"name {kind}, shingles array<long>")
+        return found.withColumnRenamed("name", "doc").dropDuplicates(["doc"])
+    found = picked.mapInArrow(run, "name binary, shingles array<long>")
+    found = found.withColumnRenamed("name", "digest")
     return (
         found.dropDuplicates(["digest"])
         .join(wanted.select("digest", "doc"), "digest")
@@ -96,14 +102,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     )
 
 
-def _of_one_id(linkable: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links x, y between the classes that rows of one id are in."""
-    several = linkable.groupBy("doc_id").agg(
-        F.min("digest").alias("low"), F.max("digest").alias("high")
-    )
-    several = cut(several.filter("low != high").select("doc_id"))
-    if several.isEmpty():
-        return several.select(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+def _of_one_id(linkable: DataFrame, several: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links x, y between the classes that rows of one id are in, for the ids in several."""
     numbers = classes.select("digest", "doc")
     own = (
         linkable.join(several, "doc_id", "left_semi")
@@ -310,7 +310,8 @@ def near_duplicates(
     With p = similarity ** rows, a pair shares a key with probability (1 - (1 - p) ** halves) ** 2:
     0.9996 at 0.85, 0.997 at 0.8 with the defaults.
 
-    Equal sets are one class, which goes on as a number. In each bucket of a table all classes
+    Equal sets are one class, which goes on as its smallest id, or as a number if some id has
+    several sets, since it could then stand for several classes. In each bucket of a table all classes
     are compared with its smallest one, on full sets. The links found join most buckets into one
     component each; where members of a bucket are in different ones, the documents that such
     buckets connect are compared block by block (_links_in_groups). So no linked pair that shares a
@@ -326,8 +327,17 @@ def near_duplicates(
     classes = linkable.groupBy("digest").agg(
         F.min(F.struct("doc_id", "left", "right")).alias("least")
     )
-    # The numbers stay as they are, since the classes are written once.
-    classes = cut(classes.select("digest", "least.*", F.monotonically_increasing_id().alias("doc")))
+    several = linkable.groupBy("doc_id").agg(
+        F.min("digest").alias("low"), F.max("digest").alias("high")
+    )
+    several = several.filter("low != high").select("doc_id")
+    numbered = not several.isEmpty()
+    if numbered:
+        # The numbers stay as they are, since the classes are written once.
+        number = F.monotonically_increasing_id().alias("doc")
+        classes = cut(classes.select("digest", "least.*", number))
+    else:
+        classes = classes.select("digest", "least.*", F.col("least.doc_id").alias("doc"))
     keys = classes.select(
         "doc",
         F.explode(
@@ -345,9 +355,8 @@ def near_duplicates(
     buckets = cut(keys.join(tables.drop("last"), "key").filter("doc != pivot"))
     stars = buckets.select(F.col("pivot").alias("x"), F.col("doc").alias("y")).distinct()
     stars = cut(stars)
-    met = stars.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
-    wanted = cut(classes.join(met, "doc", "left_semi").select("doc", "doc_id", "digest"))
-    sets = cut(_sets(docs, wanted, words))
+    met = cut(stars.select(F.explode(F.array("x", "y")).alias("doc")).distinct())
+    sets = cut(_sets(docs, met, words, classes if numbered else None))
     found = components(_confirmed(stars, sets, threshold), "x", "y")
 
     # Buckets whose members are not all in one component yet.
@@ -357,18 +366,22 @@ def near_duplicates(
         F.min("of_doc").alias("low"), F.max("of_doc").alias("high")
     ).filter("low != high")
     apart = cut(members.join(mixed.select("key"), "key", "left_semi").select("pivot", "doc", "of_doc").distinct())
-    more = _links_in_groups(apart, sets, threshold).unionAll(_of_one_id(linkable, classes))
+    more = _links_in_groups(apart, sets, threshold)
+    if numbered:
+        more = more.unionAll(_of_one_id(linkable, several, classes))
     more = cut(more)
     if not more.isEmpty():
         trees = found.select(F.col("node").alias("x"), F.col("component").alias("y"))
         found = components(trees.unionAll(more), "x", "y")
 
-    # Components of classes are named by the smallest id in them.
-    joined = classes.select("digest", "doc", "doc_id").join(
+    of_class = classes.select("digest", "doc", "doc_id").join(
         found.withColumnRenamed("node", "doc"), "doc", "left"
-    ).select("digest", "doc_id", F.coalesce("component", "doc").alias("of"))
-    names = joined.groupBy("of").agg(F.min("doc_id").alias("component"))
-    of_class = joined.join(names, "of").select("digest", "component")
+    ).select("digest", "doc_id", F.coalesce("component", "doc").alias("component"))
+    if numbered:
+        # Components of numbers are named by the smallest id in them.
+        names = of_class.groupBy("component").agg(F.min("doc_id").alias("name"))
+        of_class = of_class.join(names, "component").select("digest", F.col("name").alias("component"))
+    of_class = of_class.select("digest", "component")
     labelled = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, F.col("doc_id")))
