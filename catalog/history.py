@@ -161,13 +161,13 @@ def event_history(spark, sf):
 
 
 def evidence_with_box(spark, sf):
-    events = _events(spark, sf, [0.25])
-    tracks = derived.tracks0(spark, sf).where("track_id % 10 = 0").withColumn(
-        "track_id", F.col("source_id")
-    )
-    boxed = evidence.with_track_box(events, tracks)
+    """Every face counts for both tracks of its source."""
+    numbers = F.array(*[F.col("source_id") * 10 + det for det in (0, 2)])
+    both = seen(spark, sf).withColumn("track_id", F.explode(numbers))
+    events = evidence.confirm(both, v.frame_log(spark, sf), threshold=0.25)
+    boxed = evidence.with_track_box(events, derived.tracks0(spark, sf))
     return boxed.select(
-        "source_id", "target_id", "frame_id", "state",
+        "source_id", "target_id", "track_id", "frame_id", "state",
         F.round("bbox.x1", 6).alias("x1"), F.round("bbox.y2", 6).alias("y2"),
     )
 
@@ -487,9 +487,11 @@ QUERIES = {
         evidence_with_box,
         v.sql(
             """
- SELECT e.source_id, e.target_id, e.frame_id, e.state, round(t.x1, 6) AS x1, round(t.y2, 6) AS y2
- FROM told e JOIN tracks0 t ON t.source_id = e.source_id AND t.frame_id = e.frame_id AND t.track_id % 10 = 0""",
-            **state_views([0.25], 3),
+ SELECT e.source_id, e.target_id, e.track_id, e.frame_id, e.state, round(t.x1, 6) AS x1, round(t.y2, 6) AS y2
+ FROM told e JOIN tracks0 t ON t.source_id = e.source_id AND t.frame_id = e.frame_id AND t.track_id = e.track_id""",
+            seen_both="""
+ SELECT s.* REPLACE (s.source_id*10 + d.det AS track_id) FROM seen s CROSS JOIN (SELECT unnest([0, 2]) AS det) d""",
+            **state_views([0.25], 3, "seen_both"),
         ),
     ),
     "live_search": (

@@ -42,7 +42,9 @@ _VIEWS = {
    f.value AS blur_variance, CAST(f.k*256 AS DOUBLE)/100.0 AS brightness
  FROM frames f""",
     "targets": """
- SELECT vec_id AS target_id, vec_id AS target_ord, embedding FROM embeddings WHERE vec_id < 20""",
+ SELECT vec_id AS target_id, vec_id AS target_ord,
+   CASE WHEN vec_id % 2 = 1 THEN list_concat(embedding[2:], embedding[1:1]) ELSE embedding END AS embedding
+ FROM embeddings""",
     "tracks0": """
  SELECT source_id, frame_id, captured_ms, source_id*10 + det_idx AS track_id,
    x1, y1, x2 + 60.0 - det_idx*30.0 AS x2, y2 + 40.0 AS y2, score

@@ -476,8 +476,9 @@ def match_gallery(spark, sf):
 
 
 def match_gallery_join(spark, sf):
+    """In blocks so small that the gallery has several at every scale."""
     found = matching.match_gallery(
-        v.assessed(spark, sf), _gallery(spark, sf), 0.25, broadcast=False
+        v.assessed(spark, sf), _gallery(spark, sf), 0.25, broadcast=False, block_bytes=64 * 1024
     )
     return found.select("source_id", "frame_id", "target_id", *r6("similarity"))
 
@@ -490,9 +491,11 @@ _MATCH_SQL = v.sql(
 
 
 def match_target(spark, sf):
-    one = derived.targets(spark, sf).where("target_id = 3")
-    seen = matching.match_target(v.assessed(spark, sf), one)
-    return seen.select("source_id", "frame_id", *r6("similarity"), *r8("quality"))
+    """Every source is a search of its own, for the target with its number."""
+    one = derived.targets(spark, sf).withColumn("search_id", F.col("target_id"))
+    faces = v.assessed(spark, sf).withColumn("search_id", F.col("source_id"))
+    seen = matching.match_target(faces, one)
+    return seen.select("source_id", "frame_id", "target_id", *r6("similarity"), *r8("quality"))
 
 
 def threshold_sweep(spark, sf):
@@ -786,8 +789,8 @@ QUERIES = {
         match_target,
         v.sql(
             """
- SELECT a.source_id, a.frame_id, round(d.similarity, 6) AS similarity, round(a.quality, 8) AS quality
- FROM accepted a JOIN dots d USING (vec_id) WHERE d.target_id = 3"""
+ SELECT a.source_id, a.frame_id, d.target_id, round(d.similarity, 6) AS similarity, round(a.quality, 8) AS quality
+ FROM accepted a JOIN dots d ON d.vec_id = a.vec_id AND d.target_id = a.source_id"""
         ),
     ),
     "threshold_sweep": (

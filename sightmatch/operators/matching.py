@@ -53,7 +53,11 @@ def forget_galleries() -> int:
 
 
 def best_target(
-    faces: DataFrame, targets: DataFrame, *, broadcast: bool | None = None
+    faces: DataFrame,
+    targets: DataFrame,
+    *,
+    broadcast: bool | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The most similar target of its search for each face; ties go to the lowest target_ord.
 
@@ -61,7 +65,8 @@ def best_target(
     targets(search_id, target_id, target_ord, embedding).  Returns the face columns without
     the vector, plus target_id, target_ord, similarity.  No pair table arises: a face meets
     its gallery inside the task and leaves as one row.  Faces without a whole vector, or without a
-    target whose vector is as long, give no row.  Both ways score with the same code.
+    target whose vector is as long, give no row; a repeated face gives a row each time.  Both ways
+    score with the same code.
     """
     targets = _with_size(
         targets.select(
@@ -82,8 +87,10 @@ def best_target(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    way = _by_matrix if broadcast else _by_blocks
-    return way(_with_size(faces), targets, kept, found)
+    faces = _with_size(faces)
+    if broadcast:
+        return _by_matrix(faces, targets, kept, found)
+    return _by_blocks(faces, targets, kept, found, block_bytes)
 
 
 class _Gallery:
@@ -153,15 +160,20 @@ def _by_matrix(
 
 
 def _by_blocks(
-    faces: DataFrame, targets: DataFrame, kept: list[str], found: T.StructType
+    faces: DataFrame,
+    targets: DataFrame,
+    kept: list[str],
+    found: T.StructType,
+    block_bytes: int,
 ) -> DataFrame:
     """Gallery of any size. Each search's targets are cut into blocks and its faces into shares,
     as many as their numbers ask for; a block and a share meet in one sorted run, the targets first,
     so that faces are scored as they stream by. Only where a search has several blocks its
-    faces' rows are reduced to the best (combined before their shuffle)."""
+    faces' rows are reduced to the best (combined before their shuffle); repeated rows are told by a
+    hash of their content, which does not change when a task is run again, and counted."""
     row_bytes = F.col("_size").cast("bigint") * 8
     blocks = targets.groupBy(*_GALLERY).agg(
-        F.ceil(F.count(F.lit(1)) * F.first(row_bytes) / BLOCK_BYTES).cast("int").alias("_blocks")
+        F.ceil(F.count(F.lit(1)) * F.first(row_bytes) / block_bytes).cast("int").alias("_blocks")
     )
     shares = faces.groupBy(*_GALLERY).agg(
         F.ceil(F.count(F.lit(1)) / FACES_PER_TASK).cast("int").alias("_shares")
@@ -170,8 +182,11 @@ def _by_blocks(
     own = lambda columns, n: F.pmod(F.xxhash64(*columns), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     nothing = lambda kind: F.lit(None).cast(kind)
-    face = F.struct(*kept)
-    face_type = T.StructType([faces.schema[c] for c in kept])
+    several = (plan.agg(F.max("_blocks")).first()[0] or 0) > 1
+    more = [T.StructField("_content", T.LongType()), T.StructField("_met", T.IntegerType())]
+    face_type = T.StructType([*[faces.schema[c] for c in kept], *(more if several else [])])
+    carried = face_type.names
+    scored = T.StructType([*face_type, *found.fields[len(kept) :]])
     id_type, vector_type = (targets.schema[c].dataType for c in ("target_id", "embedding"))
     first = targets.join(plan, _GALLERY).select(
         *_GALLERY,
@@ -182,13 +197,23 @@ def _by_blocks(
         nothing(face_type).alias("face"),
         "embedding",
     )
-    then = faces.join(plan, _GALLERY).select(
+    # Maps cannot be hashed.
+    content = [
+        F.to_json(F.struct(c)) if "map<" in faces.schema[c].dataType.simpleString() else F.col(c)
+        for c in kept
+    ]
+    met = faces.join(plan, _GALLERY).withColumn("_block", every("_blocks"))
+    if several:
+        met = met.withColumn("_content", F.xxhash64(*content, "embedding")).withColumn(
+            "_met", F.col("_block")
+        )
+    then = met.select(
         *_GALLERY,
-        every("_blocks").alias("_block"),
+        "_block",
         own(FACE, "_shares").alias("_share"),
         nothing("bigint").alias("target_ord"),
         nothing(id_type).alias("target_id"),
-        face.alias("face"),
+        F.struct(*carried).alias("face"),
         F.col("embedding").cast(vector_type).alias("embedding"),
     )
     meeting = [*_GALLERY, "_block", "_share"]
@@ -214,18 +239,22 @@ def _by_blocks(
                 gallery = gallery or _Gallery(pa.Table.from_batches(held))
                 fields = seen.column("face").flatten()
                 rows = pa.RecordBatch.from_arrays(
-                    [*fields, seen.column("embedding")], [*kept, "embedding"]
+                    [*fields, seen.column("embedding")], [*carried, "embedding"]
                 )
-                yield gallery.answer(rows, kept, found.names)
+                yield gallery.answer(rows, carried, scored.names)
 
-    best = runs.mapInArrow(score, found)
-    if (plan.agg(F.max("_blocks")).first()[0] or 0) <= 1:
+    best = runs.mapInArrow(score, scored)
+    if not several:
         return best
     rank = F.struct(F.col("similarity"), -F.col("target_ord"))
     row = F.struct(*[c for c in found.names if c not in FACE])
     return (
-        best.groupBy(*FACE)
-        .agg(F.max_by(row, rank).alias("_row"))
+        best.groupBy(*FACE, "_content")
+        .agg(
+            F.max_by(row, rank).alias("_row"),
+            (F.count(F.lit(1)) / F.size(F.collect_set("_met"))).cast("int").alias("_times"),
+        )
+        .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
         .select(*[F.col(c) if c in FACE else F.col(f"_row.{c}").alias(c) for c in found.names])
     )
 
@@ -236,6 +265,7 @@ def match_gallery(
     threshold: float,
     *,
     broadcast: bool | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Accepted faces with their best target, if that target is still active and similar enough.
 
@@ -244,7 +274,7 @@ def match_gallery(
     """
     if "accepted" in faces.columns:
         faces = faces.where("accepted")
-    best = best_target(faces, targets, broadcast=broadcast)
+    best = best_target(faces, targets, broadcast=broadcast, block_bytes=block_bytes)
     best = best.where(F.col("similarity") >= threshold)
     if "active" not in targets.columns:
         return best

@@ -83,12 +83,14 @@ def faces(spark: SparkSession, sf_dir: str, *, vectors: bool = True) -> DataFram
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gallery of search 1: the view's definition is the first twenty vectors."""
-    return table(spark, sf_dir, "embeddings").where("vec_id < 20").select(
+    """The gallery of search 1: all vectors.  Every second one has its first component moved to
+    the end, so that the faces made from it have no equal target and meet the thresholds."""
+    turned = "concat(slice(embedding, 2, size(embedding) - 1), slice(embedding, 1, 1))"
+    return table(spark, sf_dir, "embeddings").select(
         F.lit(1).cast("bigint").alias("search_id"),
         F.col("vec_id").alias("target_id"),
         F.col("vec_id").alias("target_ord"),
-        "embedding",
+        F.expr(f"IF(vec_id % 2 = 1, {turned}, embedding)").alias("embedding"),
     )
 
 
