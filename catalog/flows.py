@@ -238,6 +238,40 @@ def outage_stream(spark, sf):
     return _drain(streams.outage_stream(stream, 1000, **how), "outages")
 
 
+def run_every_stream(spark, sf):
+    log = v.frame_log(spark, sf)
+    path, how = _shuffled(log, "cadence", "source_id", "captured_ms")
+    stream = readers.stream_frames(spark, path, log.schema, 1)
+    return _drain(streams.run_every_stream(stream, 5.0, **how), "runs").select("source_id", "frame_id")
+
+
+def event_log_stream(spark, sf):
+    """Events of all searches numbered while they come, and read back from the sink."""
+    events = history._published(spark, sf)
+    path, how = _shuffled(events, "published", "search_id", "occurred_at")
+    stream = readers.stream_frames(spark, path, events.schema, 1)
+    numbered = streams.event_log_stream(stream, ["frame_id"], ["target_id", "track_id"], **how)
+    return _drain(numbered, "numbered").drop("event_id")
+
+
+def tracks_as_of_stream(spark, sf):
+    """Frames, detector runs and their tracks as three streams."""
+    log = v.frame_log(spark, sf)
+    tracks = derived.tracks0(spark, sf)
+    inputs = []
+    for name, rows in (("log", log), ("tracks", tracks), ("ticks", log)):
+        if name != "log":
+            rows = rows.where("frame_id % 3 = 0")
+        path, how = _shuffled(rows, f"as-of-{name}", "source_id", "captured_ms")
+        inputs.append((how, readers.stream_frames(spark, path, rows.schema, 1)))
+    # The whole log spans the others.
+    how = inputs[0][0]
+    placed = streams.tracks_as_of_stream(*[stream for _, stream in inputs], idle_ms=None, **how)
+    return _drain(placed, "as-of").select(
+        "source_id", "frame_id", "tick_frame", "track_id", *r6("x1", "y1")
+    )
+
+
 def outcome_stream(spark, sf):
     started = v.search_list(spark, sf).join(
         v.search_targets(spark, sf).groupBy("search_id").agg(F.count(F.lit(1)).alias("total_count")),
@@ -342,6 +376,9 @@ QUERIES = {
             gaps=history._GAPS,
         ),
     ),
+    "run_every_stream": (run_every_stream, history.QUERIES["run_every"][1]),
+    "event_log_stream": (event_log_stream, history.QUERIES["event_log"][1]),
+    "tracks_as_of_stream": (tracks_as_of_stream, vision.QUERIES["tracks_as_of"][1]),
     "outcome_stream": (
         outcome_stream,
         v.sql(

@@ -24,8 +24,7 @@ def to_event_log(
     `events` has search_id, type, occurred_at (ms); `order` breaks ties of the time, `data`
     lists the payload columns.  Vectors are refused: they do not belong into histories.
     """
-    if "embedding" in data:
-        raise ValueError("event payloads must not hold vectors")
+    _refuse_vectors(data)
     numbered = ordered.number_rows(events, ["search_id"], ["occurred_at", *order], "seq", size)
     return numbered.select(
         F.lit("1").alias("schema_version"),
@@ -38,6 +37,18 @@ def to_event_log(
     )
 
 
+def _refuse_vectors(data: list[str]) -> None:
+    if "embedding" in data:
+        raise ValueError("event payloads must not hold vectors")
+
+
+def envelopes(events: DataFrame, data: list[str], *more: str) -> DataFrame:
+    """Events with their payload as text, before they are numbered."""
+    _refuse_vectors(data)
+    payload = F.to_json(F.struct(*data)).alias("data")
+    return events.select("search_id", "occurred_at", "type", *more, payload)
+
+
 def replay(log: DataFrame, after_seq: int = 0) -> DataFrame:
     """The envelopes after a sequence number, oldest first within each search."""
     return log.where(F.col("seq") > max(0, after_seq)).orderBy("search_id", "seq")

@@ -33,14 +33,18 @@ def without_vectors(df: DataFrame) -> DataFrame:
     return df
 
 
-def write_event_log(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream of envelopes to a table; the checkpoint makes each row land once."""
+def write_event_log(
+    log: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Append a stream of envelopes to a table; the checkpoint makes each row land once.  `trigger` is
+    what DataStreamWriter.trigger takes, e.g. {"processingTime": "1 second"}; without it the query
+    handles what is there and ends."""
     return (
         without_vectors(log)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start(path)
     )
 

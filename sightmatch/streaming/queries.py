@@ -9,6 +9,7 @@ Spark and counted (late_rows).
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -20,6 +21,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from sightmatch import schemas
 from sightmatch.functions.boxes import SIDES
+from sightmatch.operators.eventlog import envelopes
+from sightmatch.operators.evidence import cadence_ms
 from sightmatch.operators.tracking import advance, track_rows
 from sightmatch.params import EvidenceParams, TrackerParams
 from sightmatch.streaming import state as step
@@ -455,6 +458,174 @@ def outcome_stream(
     return _in_order(log, "search_id", _Ending(slice_ms, idle_ms), lateness, origin_ms, "at_ms")
 
 
+class _Every(_InOrder):
+    """The frames of one source that are far enough apart."""
+
+    columns = ("captured_ms", "frame_id")
+    kinds = ("BIGINT", "BIGINT")
+    output = "source_id BIGINT, frame_id BIGINT, captured_ms BIGINT"
+
+    def __init__(self, gap_ms: int, slice_ms: int, idle_ms: int | None):
+        self.gap_ms, self.slice_ms, self.idle_ms = gap_ms, slice_ms, idle_ms
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "captured_ms BIGINT")
+
+    def forget(self) -> None:
+        self.run.clear()
+
+    def release(self, key, rows: list[tuple], now: int) -> list[tuple]:
+        if not rows:
+            return []
+        before = self.run.get()[0] if self.run.exists() else None
+        out = []
+        for _, ms, frame in rows:
+            if before is None or ms - before >= self.gap_ms:
+                before = ms
+                out.append((key[0], frame, ms))
+        self.run.update((before,))
+        return out
+
+
+def run_every_stream(
+    frames: DataFrame,
+    hz: float,
+    lateness: str = LATENESS,
+    origin_ms: int = 0,
+    slice_ms: int = SLICE_MS,
+    idle_ms: int | None = IDLE_MS,
+) -> DataFrame:
+    """The frames on which a model with this rate runs, as from evidence.run_every.  Whatever has piled
+    up, a model gets no more than its rate; frames between are dropped before it sees them.  A source
+    that is silent for idle_ms starts anew (it must outlast the interval; None: never)."""
+    processor = _Every(cadence_ms(hz), slice_ms, idle_ms)
+    return _in_order(frames, "source_id", processor, lateness, origin_ms, "captured_ms")
+
+
+class _Numbering(_InOrder):
+    """Envelopes of one search, numbered in publishing order."""
+
+    output = (
+        "schema_version STRING, search_id BIGINT, seq BIGINT, event_id STRING, type STRING,"
+        " occurred_at BIGINT, data STRING"
+    )
+
+    def __init__(self, order: list[tuple[str, str]], slice_ms: int, idle_ms: int | None):
+        self.columns = ("occurred_at", *[c for c, _ in order], "type", "data")
+        self.kinds = ("BIGINT", *[k for _, k in order], "STRING", "STRING")
+        self.slice_ms, self.idle_ms = slice_ms, idle_ms
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.counter = handle.getValueState("counter", "seq BIGINT")
+
+    def forget(self) -> None:
+        self.counter.clear()
+
+    def release(self, key, rows: list[tuple], now: int) -> list[tuple]:
+        if not rows:
+            return []
+        last = self.counter.get()[0] if self.counter.exists() else 0
+        out = []
+        for seq, (_, at, *_, kind, data) in enumerate(rows, start=last + 1):
+            # The same in every attempt, unlike a random one.
+            event_id = str(uuid.uuid5(uuid.NAMESPACE_OID, f"{key[0]}/{seq}"))
+            out.append(("1", key[0], seq, event_id, kind, at, data))
+        self.counter.update((last + len(rows),))
+        return out
+
+
+def event_log_stream(
+    events: DataFrame,
+    order: list[str],
+    data: list[str],
+    lateness: str = LATENESS,
+    origin_ms: int = 0,
+    slice_ms: int = SLICE_MS,
+    idle_ms: int | None = None,
+) -> DataFrame:
+    """Envelopes of a stream of events, as from eventlog.to_event_log: numbered 1.. per search, in
+    the order of time and then `order` (whole numbers, floating point numbers or texts).  The counter of a
+    search lives in the state store, so that a restart from the checkpoint goes on where it was and
+    no number comes twice; it is kept unless idle_ms is given."""
+    kinds = {"bigint": "BIGINT", "int": "BIGINT", "double": "DOUBLE", "string": "STRING"}
+    types = dict(events.dtypes)
+    wrong = [c for c in order if types[c] not in kinds]
+    if wrong:
+        raise ValueError(f"events cannot be ordered by {', '.join(wrong)}")
+    processor = _Numbering([(c, kinds[types[c]]) for c in order], slice_ms, idle_ms)
+    rows = envelopes(events, data, *order)
+    return _in_order(rows, "search_id", processor, lateness, origin_ms, "occurred_at")
+
+
+class _AsOf(_InOrder):
+    """Frames of one source with the tracks of the latest detector run; the state holds that run."""
+
+    #: Kinds of rows, in the order in which those of a frame are taken.
+    RUN, TRACK, FRAME = 0, 1, 2
+    columns = ("captured_ms", "frame_id", "row", "track_id", *SIDES, "score")
+    kinds = ("BIGINT", "BIGINT", "BIGINT", "BIGINT", *["DOUBLE"] * (len(SIDES) + 1))
+    output = (
+        "source_id BIGINT, frame_id BIGINT, captured_ms BIGINT, tick_frame BIGINT, track_id BIGINT,"
+        " x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, score DOUBLE"
+    )
+
+    def __init__(self, slice_ms: int, idle_ms: int | None):
+        self.slice_ms, self.idle_ms = slice_ms, idle_ms
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        fields = ", ".join(f"{c}: {k}" for c, k in zip(self.columns[3:], self.kinds[3:], strict=True))
+        self.latest = handle.getValueState(
+            "latest", f"tick_frame BIGINT, tracks ARRAY<STRUCT<{fields}>>"
+        )
+
+    def forget(self) -> None:
+        self.latest.clear()
+
+    def release(self, key, rows: list[tuple], now: int) -> list[tuple]:
+        if not rows:
+            return []
+        tick, tracks = None, []
+        if self.latest.exists():
+            tick, tracks = self.latest.get()
+            tracks = [tuple(t) for t in tracks]
+        out = []
+        for _, ms, frame, row, *track in rows:
+            if row == self.FRAME:
+                out += [(key[0], frame, ms, tick, *t) for t in tracks]
+                continue
+            if frame != tick:
+                tick, tracks = frame, []
+            if row == self.TRACK:
+                tracks.append(tuple(track))
+        self.latest.update((tick, tracks))
+        return out
+
+
+def tracks_as_of_stream(
+    frames: DataFrame,
+    tracks: DataFrame,
+    ticks: DataFrame | None = None,
+    lateness: str = LATENESS,
+    origin_ms: int = 0,
+    slice_ms: int = SLICE_MS,
+    idle_ms: int | None = IDLE_MS,
+) -> DataFrame:
+    """Each frame of a stream with the tracks of the latest detector run at or before it, as from
+    association.tracks_as_of.  `frames`, `tracks` (source_id, frame_id, captured_ms, track_id, box,
+    score) and `ticks` (the frames on which the detector ran) are streams of their own and may run
+    ahead of each other by the lateness.  After idle_ms without a row a source has no run."""
+    marked = lambda rows, kind: rows.withColumn("row", F.lit(kind).cast("bigint"))
+    narrow = lambda rows: rows.select("source_id", "frame_id", "captured_ms")
+    table = marked(
+        tracks.select("source_id", "frame_id", "captured_ms", *_AsOf.columns[3:]), _AsOf.TRACK
+    )
+    others = [(narrow(frames), _AsOf.FRAME)] + ([] if ticks is None else [(narrow(ticks), _AsOf.RUN)])
+    for rows, kind in others:
+        table = table.unionByName(marked(rows, kind), allowMissingColumns=True)
+    processor = _AsOf(slice_ms, idle_ms)
+    return _in_order(table, "source_id", processor, lateness, origin_ms, "captured_ms")
+
+
 def dedupe_stream(requests: DataFrame, time: str, lateness: str = LATENESS) -> DataFrame:
     """The first request of each request id within the lateness."""
     return requests.withWatermark(time, lateness).dropDuplicatesWithinWatermark(["request_id"])

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from sightmatch import schemas
-from sightmatch.operators import evidence, searches, tracking
+from sightmatch.operators import association, eventlog, evidence, searches, tracking
 from sightmatch.params import EvidenceParams
 from sightmatch.plans import live, pipelines
 from sightmatch.sources import readers, sinks
@@ -178,3 +179,73 @@ def test_state_of_an_ended_search_leaves(spark, tmp_path):
         for name in ("found", "last", "waiting"):
             left = spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / f"ck{retire}"))
             assert {r.key["_search_id"] for r in left.select("key").collect()} <= {"9"}
+
+
+def test_numbers_go_on_after_a_restart(spark, tmp_path):
+    """Three batches, the last two after a restart from the checkpoint: every number once, as in the batch
+    form, and each envelope its own id."""
+    rng = random.Random(5)
+    kinds = "search_id BIGINT, occurred_at BIGINT, frame_id BIGINT, type STRING, target_id BIGINT"
+    events = [
+        (s, 1_000_000 + 100 * (i // 2), i, rng.choice(("candidate", "lost")), rng.choice((1, 2, None)))
+        for s in (1, 2, 3) for i in range(60)
+    ]
+    path, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    parts = [[e for e in events if lo <= e[2] < lo + 20] for lo in (0, 20, 40)]
+
+    def run(*batches):
+        for rows in batches:
+            spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(path)
+            time.sleep(0.1)
+        stream = readers.stream_frames(spark, path, kinds, 1)
+        log = streams.event_log_stream(stream, ["frame_id"], ["target_id"], "1 second")
+        sinks.write_event_log(log, out, checkpoint, {"availableNow": True}).awaitTermination()
+        return spark.read.parquet(out)
+
+    first = run(rng.sample(parts[0], len(parts[0])))
+    n = first.count()
+    assert n < len(events)
+    log = run(*[rng.sample(p, len(p)) for p in parts[1:]], [(9, 90_000_000, 0, "candidate", None)])
+    want = eventlog.to_event_log(spark.createDataFrame(events, kinds), ["frame_id"], ["target_id"])
+    assert same(log.drop("event_id"), want.drop("event_id"))
+    assert log.select("event_id").distinct().count() == len(events)
+    after = eventlog.replay(log, 50)
+    assert [(r.search_id, r.seq) for r in after.collect()] == [(s, n) for s in (1, 2, 3) for n in range(51, 61)]
+    assert spark.read.format("statestore").option("stateVarName", "waiting").load(checkpoint).count() == 1
+    with pytest.raises(ValueError, match="vectors"):
+        streams.event_log_stream(log, [], ["embedding"])
+
+
+def test_cadence_and_runs_as_streams(spark, tmp_path):
+    rng = random.Random(6)
+    frames, ticks, tracks = [], [], []
+    for source in (1, 2, 3):
+        at = 1_000_000
+        for frame in range(80):
+            at += rng.choice((0, 40, 120, 4000 if frame == 30 else 70))
+            frames.append((source, frame, at))
+            if frame % 4 == 2 and source != 3:
+                ticks.append((source, frame, at))
+                # Some runs find nothing.
+                tracks += [
+                    (source, frame, at, t, 1.0 * t, 0.0, 9.0, 9.0, rng.random()) for t in range(rng.choice((0, 1, 3)))
+                ]
+    kinds = "source_id BIGINT, frame_id BIGINT, captured_ms BIGINT"
+    frames, ticks = (spark.createDataFrame(rows, kinds) for rows in (frames, ticks))
+    tracks = spark.createDataFrame(
+        tracks, f"{kinds}, track_id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, score DOUBLE"
+    )
+    paths = {
+        name: in_files(rows, str(tmp_path / name), "source_id", 2)
+        for name, rows in (("frames", frames), ("ticks", ticks), ("tracks", tracks))
+    }
+    read = lambda name, rows: readers.stream_frames(spark, paths[name], rows.schema, 1)
+    got = drain(streams.run_every_stream(read("frames", frames), 5.0, "1 hour"), tmp_path, "runs")
+    assert same(got, evidence.run_every(frames, 5.0))
+    for given in (ticks, None):
+        more = () if given is None else (read("ticks", ticks),)
+        stream = streams.tracks_as_of_stream(read("frames", frames), read("tracks", tracks), *more, lateness="1 hour")
+        got = drain(stream, tmp_path, f"as-of-{len(more)}")
+        want = association.tracks_as_of(frames, tracks, given)
+        assert got.count() > 100
+        assert same(got, want.select(*got.columns))
