@@ -261,6 +261,43 @@ def dedupe_requests(spark, sf):
     return done.select("ord", "request_id", "search_id")
 
 
+def timed_requests(spark, sf):
+    """Requests at the time of their order, and when their searches would end, some never."""
+    days = derived.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("search_id"),
+        (F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint") * 86_400_000).alias("at_ms"),
+    )
+    requests = _search_requests(spark, sf).join(days, "search_id")
+    ends = requests.where("search_id % 5 <> 0").selectExpr(
+        "request_id", "search_id", "at_ms + (search_id % 11)*50*86400000 AS ended_at"
+    )
+    return requests.select("request_id", "search_id", "ord", "at_ms"), ends
+
+
+def answer_requests(spark, sf):
+    requests, ends = timed_requests(spark, sf)
+    return searches.answer_requests(requests, ends)
+
+
+# A request id's requests in order, with the search that is active after each.
+ANSWER_SQL = """
+WITH RECURSIVE reqs AS ({reqs}),
+timed AS (
+ SELECT r.*, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 86400000 AS at_ms,
+   CASE WHEN search_id % 5 <> 0 AND search_id % 11 > 0 THEN (search_id % 11)*50*86400000 END AS lasts
+ FROM reqs r JOIN orders ON o_orderkey = search_id),
+named AS (
+ SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY at_ms, search_id) AS n FROM timed
+ WHERE request_id <> ''),
+walk AS (
+ SELECT request_id, search_id AS ord, at_ms, n, search_id AS active, at_ms + lasts AS until FROM named WHERE n = 1
+ UNION ALL
+ SELECT r.request_id, r.search_id, r.at_ms, r.n, CASE WHEN r.at_ms >= w.until THEN r.search_id ELSE w.active END,
+   CASE WHEN r.at_ms >= w.until THEN r.at_ms + r.lasts ELSE w.until END
+ FROM walk w JOIN named r ON r.request_id = w.request_id AND r.n = w.n + 1)
+SELECT request_id, active AS search_id, ord, CAST(at_ms AS BIGINT) AS at_ms FROM walk
+UNION ALL SELECT request_id, search_id, search_id, CAST(at_ms AS BIGINT) FROM timed WHERE coalesce(request_id, '') = ''"""
+
 _SEARCH_REQUESTS = """
  SELECT o_orderkey AS search_id, CASE WHEN o_orderkey%9 = 0 THEN NULL WHEN o_orderkey%9 = 1 THEN ''
    ELSE CAST(o_custkey AS VARCHAR) END AS request_id FROM orders"""
@@ -373,6 +410,7 @@ QUERIES = {
             reqs=_SEARCH_REQUESTS,
         ),
     ),
+    "answer_requests": (answer_requests, ANSWER_SQL.format(reqs=_SEARCH_REQUESTS)),
     "dedupe_requests": (
         dedupe_requests,
         v.sql(

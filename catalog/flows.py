@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog import history, scoring, vision
+from catalog import admit, history, scoring, vision
 from catalog import views as v
 from catalog.vision import r6, r8
 from sightmatch import schemas
@@ -293,6 +293,24 @@ def outcome_stream(spark, sf):
     return _drain(streams.outcome_stream(stream, **how), "outcomes")
 
 
+def answer_stream(spark, sf):
+    """Requests and ended searches as two streams, read from one log."""
+    requests, ends = admit.timed_requests(spark, sf)
+    log = requests.withColumn("kind", F.lit("request")).unionByName(
+        ends.withColumnRenamed("ended_at", "at_ms").withColumn("kind", F.lit("end")),
+        allowMissingColumns=True,
+    )
+    path, how = _shuffled(log, "requests", "request_id", "at_ms")
+    ended = F.col("kind").eqNullSafe("end")
+    stream = lambda: readers.stream_frames(spark, path, log.schema, 1)
+    return _drain(
+        streams.answer_stream(
+            stream().where(~ended), stream().where(ended).withColumnRenamed("at_ms", "ended_at"), **how
+        ),
+        "answers",
+    )
+
+
 def dedupe_stream(spark, sf):
     requests = derived.table(spark, sf, "orders").selectExpr(
         "CAST(o_custkey AS STRING) AS request_id", "CAST(o_orderdate AS TIMESTAMP) AS at"
@@ -393,6 +411,7 @@ QUERIES = {
  WHERE found = total OR timeout_ms IS NOT NULL""",
         ),
     ),
+    "answer_stream": (answer_stream, admit.QUERIES["answer_requests"][1]),
     "dedupe_stream": (
         dedupe_stream,
         "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS request_id FROM orders",

@@ -123,7 +123,7 @@ def _matrix(lists: pa.Array, n: int) -> np.ndarray:
     return flat.reshape(n, -1).astype(np.float64)
 
 
-def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+def key_runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """(key, rows) of each stretch of equal keys."""
     codes = np.zeros(batch.num_rows, np.int64)
     for key in keys:
@@ -148,11 +148,11 @@ def _by_matrix(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not galleries:
             for whole in shipped.value.sort_by([(k, "ascending") for k in _GALLERY]).combine_chunks().to_batches():
-                for key, rows in _runs(whole, _GALLERY):
+                for key, rows in key_runs(whole, _GALLERY):
                     galleries[key] = _Gallery(pa.Table.from_batches([rows]))
         for batch in batches:
             order = pa.compute.sort_indices(batch, [(k, "ascending") for k in _GALLERY])
-            for key, part in _runs(batch.take(order), _GALLERY):
+            for key, part in key_runs(batch.take(order), _GALLERY):
                 if key in galleries:
                     yield galleries[key].answer(part, kept, found.names)
 
@@ -226,7 +226,7 @@ def _by_blocks(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, gallery = None, [], None
         for batch in batches:
-            for key, part in _runs(batch, meeting):
+            for key, part in key_runs(batch, meeting):
                 if key != at:
                     at, held, gallery = key, [], None
                 is_face = pa.compute.is_valid(part.column("face"))

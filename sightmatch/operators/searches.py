@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightmatch.functions import ordered, text
 from sightmatch.operators.eventlog import last_per_key
+from sightmatch.operators.matching import key_runs
 from sightmatch.params import LATENCY_WINDOW, TERMINAL_STATUSES
+from sightmatch.sources.scratch import cut
 
 TARGET = ["search_id", "target_id"]
 
+# The end of a search that goes on.
+_FOREVER = 2**62
+
 
 def _confirmed(events: DataFrame) -> DataFrame:
     return events.where(F.col("state") == "confirmed")
@@ -47,6 +56,75 @@ def dedupe_requests(requests: DataFrame) -> DataFrame:
     ).drop("_first")
 
 
+def names_a_request() -> Column:
+    return F.coalesce(F.col("request_id") != "", F.lit(False))
+
+
+def answer_requests(
+    requests: DataFrame, ends: DataFrame, size: int = ordered.SLICE_MS
+) -> DataFrame:
+    """Requests (request_id, search_id, ord, at_ms) with the search that answers each: the active one of
+    its request id, or else the one it would start itself.
+
+    `ends` (search_id, ended_at) tells when a search ends once it has started; at that time it is
+    active no more.  One that is not listed, or only with times up to its request, goes on.  Requests
+    without an id each start their own.  Times must not be null; `ord` breaks their ties.
+
+    Who starts a search is a chain through the requests of an id.  A request at which all searches that
+    earlier ones could have started are over starts one in any case, so the chain is cut there and its
+    parts are scanned on their own, jumping from start to start.
+    """
+    over = ends.select("search_id", F.col("ended_at").alias("_ended"))
+    later = requests.select("search_id", "at_ms").join(over, "search_id").where("_ended > at_ms")
+    until = later.groupBy("search_id", "at_ms").agg(F.min("_ended").alias("_until"))
+    lived = (
+        requests.where(names_a_request())
+        .join(until, ["search_id", "at_ms"], "left")
+        .withColumn("_until", F.coalesce("_until", F.lit(_FOREVER)))
+    )
+    key = ["request_id"]
+    numbered = cut(ordered.number_rows(lived, key, ["at_ms", "ord"], "_n", size))
+    reach = ordered.running_max(numbered, key, "_n", "_until", "_reach", ordered.SLICE_IDS)
+    linked = ordered.previous(reach, key, "_n", {"_before": "_reach"}, ordered.SLICE_IDS)
+    free = F.col("_before").isNull() | (F.col("at_ms") >= F.col("_before"))
+    placed = ordered.newest(
+        linked, key, "_n", {"_part": F.when(free, F.col("_n"))}, ordered.SLICE_IDS
+    )
+    part = [*key, "_part"]
+    runs = (
+        placed.select(*requests.columns, "_part", "_n", "_until")
+        .repartition(*part)
+        .sortWithinPartitions(*part, "_n")
+    )
+    names = requests.columns
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, search, until = None, None, 0
+        for batch in batches:
+            for who, rows in key_runs(batch, part):
+                times, over = (
+                    rows.column(c).to_numpy(zero_copy_only=False) for c in ("at_ms", "_until")
+                )
+                own = rows.column("search_id")
+                # Position 0 is the search that was active before these rows.
+                known = pa.concat_arrays([pa.array([search], own.type), own])
+                answers = np.zeros(len(times), np.int64)
+                i = int(np.searchsorted(times, until)) if who == at else 0
+                while i < len(times):
+                    until, search = int(over[i]), own[i].as_py()
+                    end = int(np.searchsorted(times, until))
+                    answers[i:end] = i + 1
+                    i = end
+                at = who
+                given = known.take(pa.array(answers))
+                yield pa.RecordBatch.from_arrays(
+                    [given if c == "search_id" else rows.column(c) for c in names], names
+                )
+
+    answered = runs.mapInArrow(scan, requests.schema)
+    return answered.unionByName(requests.where(~names_a_request()))
+
+
 def get_searches(ids: DataFrame, views: DataFrame) -> DataFrame:
     """Views by search id; unknown ids get an error code."""
     known = views.withColumn("_known", F.lit(True))

@@ -23,6 +23,7 @@ from sightmatch import schemas
 from sightmatch.functions.boxes import SIDES
 from sightmatch.operators.eventlog import envelopes
 from sightmatch.operators.evidence import cadence_ms
+from sightmatch.operators.searches import names_a_request
 from sightmatch.operators.tracking import advance, track_rows
 from sightmatch.params import EvidenceParams, TrackerParams
 from sightmatch.streaming import state as step
@@ -626,6 +627,60 @@ def tracks_as_of_stream(
     return _in_order(table, "source_id", processor, lateness, origin_ms, "captured_ms")
 
 
+class _Answering(_InOrder):
+    """The active search of one request id."""
+
+    columns = ("at_ms", "asks", "ord", "search_id")
+    kinds = ("BIGINT", "BIGINT", "BIGINT", "BIGINT")
+    output = "request_id STRING, search_id BIGINT, ord BIGINT, at_ms BIGINT"
+
+    def __init__(self, slice_ms: int):
+        self.slice_ms = slice_ms
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.active = handle.getValueState("active", "search_id BIGINT")
+
+    def release(self, key, rows: list[tuple], now: int) -> list[tuple]:
+        active = self.active.get()[0] if self.active.exists() else None
+        out = []
+        # Ends come before requests of the same time.
+        for _, ms, asks, ord_, search in rows:
+            if asks:
+                active = search if active is None else active
+                out.append((key[0], active, ord_, ms))
+            elif active == search:
+                active = None
+        if active is not None:
+            self.active.update((active,))
+        elif self.active.exists():
+            self.active.clear()
+        return out
+
+
+def answer_stream(
+    requests: DataFrame,
+    ends: DataFrame,
+    lateness: str = LATENESS,
+    origin_ms: int = 0,
+    slice_ms: int = SLICE_MS,
+) -> DataFrame:
+    """Which search answers each request, as from searches.answer_requests, from a stream of requests
+    (request_id, search_id, ord, at_ms) and one of ended searches (request_id, search_id, ended_at).  A
+    request id is remembered while its search is active and no longer.  Requests without an id are
+    answered at once."""
+    whole = [F.col(c).cast("bigint") for c in ("search_id", "ord", "at_ms")]
+    own = requests.where(~names_a_request()).select("request_id", *whole)
+    asked = requests.where(names_a_request()).select(
+        "request_id", *whole, F.lit(1).cast("bigint").alias("asks")
+    )
+    ended = ends.where(names_a_request()).select(
+        "request_id", "search_id", F.col("ended_at").alias("at_ms"), F.lit(0).cast("bigint").alias("asks")
+    )
+    both = asked.unionByName(ended, allowMissingColumns=True)
+    answered = _in_order(both, "request_id", _Answering(slice_ms), lateness, origin_ms, "at_ms")
+    return answered.unionByName(own)
+
+
 def dedupe_stream(requests: DataFrame, time: str, lateness: str = LATENESS) -> DataFrame:
     """The first request of each request id within the lateness."""
     return requests.withWatermark(time, lateness).dropDuplicatesWithinWatermark(["request_id"])
